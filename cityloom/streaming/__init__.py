@@ -1,0 +1,5 @@
+"""No streaming operators: the feature set covered here is batch only.
+
+The one ordered log (scenario changes) is resolved by
+:mod:`cityloom.operators.scenario`.
+"""
