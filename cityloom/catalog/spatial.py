@@ -257,14 +257,13 @@ def population_within_centroid(spark, d):
 
 @query(with_layers("ward", "zone") + f""", s AS (SELECT
  sum(z.population*{shared('w','z')}/{area('z')}) AS served FROM ward w JOIN zone z
- ON {meet('w','z')} WHERE w.id < 30), t AS (SELECT sum(population) AS total FROM zone)
+ ON {meet('w','z')}), t AS (SELECT sum(population) AS total FROM zone)
  SELECT round(served,2) AS served, round(total,2) AS total,
  round(CASE WHEN total>0 THEN least(1,greatest(0,served/total)) ELSE 0 END,4) AS ratio
  FROM s, t""")
 def coverage_ratio(spark, d):
-    """The served area is the part of town with the lowest ward numbers."""
     return aggregation.coverage_summary(
-        boxes(spark, d, "ward").where("id < 30"),
+        boxes(spark, d, "ward"),
         boxes(spark, d, "zone", "z_", ["population"]), BOX, pbox("z_"), "z_population")
 
 

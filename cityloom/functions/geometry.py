@@ -371,6 +371,53 @@ def clip_area_rings(rings, convex_ring) -> Column:
     return _sum(F.transform(_c(rings), lambda r: clip_area(r, convex_ring)))
 
 
+def ring_area_in_box(ring, box) -> Column:
+    """Signed area of any ring inside an axis-aligned box, as a sum over its edges.
+
+    Under each edge the height, held to the box, is integrated along the part of the edge
+    that lies between the box sides; no vertex lists are built.
+    """
+    x0, y0, x1, y1 = [_c(v) for v in box]
+    h = y1 - y0
+
+    def ramp(y):
+        return (F.pow(F.greatest(y, F.lit(0.0)), F.lit(2.0))
+                - F.pow(F.greatest(y - h, F.lit(0.0)), F.lit(2.0))) / 2
+
+    def under(e):
+        ax, ay = e["a"]["x"], e["a"]["y"] - y0
+        slope = (e["b"]["y"] - e["a"]["y"]) / (e["b"]["x"] - ax)
+        ends = F.struct(F.least(F.greatest(ax, x0), x1).alias("p"),
+                        F.least(F.greatest(e["b"]["x"], x0), x1).alias("q"),
+                        slope.alias("m"), ax.alias("ax"), ay.alias("ay"))
+
+        def area_of(c):
+            ys = F.struct((c["ay"] + (c["p"] - c["ax"]) * c["m"]).alias("u"),
+                          (c["ay"] + (c["q"] - c["ax"]) * c["m"]).alias("v"))
+            return let(ys, lambda y: (c["q"] - c["p"]) * F.when(
+                y["u"] == y["v"], F.least(F.greatest(y["u"], F.lit(0.0)), h)).otherwise(
+                (ramp(y["v"]) - ramp(y["u"])) / (y["v"] - y["u"])))
+        return F.when(e["b"]["x"] == ax, F.lit(0.0)).otherwise(let(ends, area_of))
+    return -_sum(F.transform(edges(_c(ring)), under))
+
+
+def area_in_box(rings, box) -> Column:
+    return _sum(F.transform(_c(rings), lambda r: ring_area_in_box(r, box)))
+
+
+def disc_area_in_box(x, y, radius, box, quarter_segments: int = 16) -> Column:
+    """Area of the polygonal disc inside a box. Boxes wholly inside or outside, most of
+    them, are settled without looking at the ring."""
+    x, y, r = _c(x), _c(y), _c(radius)
+    b = [_c(v) for v in box]
+    inner = r * math.cos(math.pi / (4 * quarter_segments))
+    far = F.hypot(F.greatest(x - b[0], b[2] - x), F.greatest(y - b[1], b[3] - y))
+    ring = F.element_at(disc_rings(x, y, r, quarter_segments), 1)
+    return (F.when(box_distance(x, y, *b) >= r, F.lit(0.0))
+            .when(far <= inner, box_area(*b))
+            .otherwise(F.greatest(F.lit(0.0), ring_area_in_box(ring, b))))
+
+
 def triangles(ring) -> Column:
     """Fan of signed triangles: ``struct<s, t>`` with ``t`` counter-clockwise."""
     r = _c(ring)
