@@ -29,10 +29,10 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, *, left_id: str, right_
     """Up to ``k`` nearest right points per left point: ``left_id, right_id, distance,
     rank`` (ties by right id). Each round joins only the lefts that still lack k
     neighbours inside the radius and doubles it; the last round reaches everything."""
-    places = cut(_thin(right, right_xy, right_id, on, k))
     seekers = left.select(*on, left_id, *left_xy)
     probe = seekers.dropDuplicates([*on, *left_xy]).drop(left_id)
-    box_l, box_r = _span(probe, left_xy), _span(places, right_xy)
+    places = cut(_thin(right, right_xy, right_id, on, k))
+    box_l, box_r = _spans(probe, left_xy, places, right_xy)
     if box_l is None or box_r is None:
         return seekers.limit(0).select(*on, left_id, F.lit(None).cast(
             dict(right.dtypes)[right_id]).alias(right_id), F.lit(0.0).alias("distance"),
@@ -41,31 +41,35 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, *, left_id: str, right_
              + max(box_l[3], box_r[3]) - min(box_l[1], box_r[1]) + 1.0)
     limit = reach if max_distance is None else min(reach, max_distance)
     side = max(box_r[2] - box_r[0], box_r[3] - box_r[1], 1e-3)
-    radius = start_radius or side * (k / max(box_r[4], 1)) ** 0.5
+    # At an even density about 4 pi k places lie in the first ring.
+    radius = start_radius or 2.0 * side * (k / max(box_r[4], 1)) ** 0.5
     radius = min(max(radius, 1e-3), limit)
     distance = point_distance(left_xy[0], left_xy[1], right_xy[0], right_xy[1])
+    spot = [*on, *left_xy]
     found: DataFrame | None = None
     todo = probe
     while True:
         pairs = box_pairs(todo, places, (*left_xy, *left_xy), (*right_xy, *right_xy),
                           margin=radius, condition=distance <= radius, on=on,
                           grid=Grid(_pow2(2 * radius), rows=int(box_l[4] + box_r[4])))
-        near = top_per_group(pairs.select(*on, *left_xy, right_id, distance.alias("distance")),
-                             [*on, *left_xy], [F.col("distance"), F.col(right_id)], k)
-        if radius >= limit:
-            done = near
+        near = pairs.select(*spot, right_id, distance.alias("distance"))
+        if k == 1:
+            best = near.groupBy(*spot).agg(F.min(F.struct("distance", right_id)).alias("_b"))
+            near = best.select(*spot, f"_b.{right_id}", "_b.distance", F.lit(1).alias("rank"))
         else:
-            full = near.where(F.col("rank") == k).select(*on, *left_xy)
-            near = cut(near)
-            full = near.where(F.col("rank") == k).select(*on, *left_xy)
-            done = near.join(full, [*on, *left_xy], "left_semi")
-            todo = cut(todo.join(full, [*on, *left_xy], "left_anti"))
+            near = top_per_group(near, spot, [F.col("distance"), F.col(right_id)], k)
+        if radius >= limit:
+            found = near if found is None else found.unionByName(near)
+            break
+        near = cut(near)
+        full = near.where(F.col("rank") == k).select(*spot)
+        done = near if k == 1 else near.join(full, spot, "left_semi")
         found = done if found is None else found.unionByName(done)
-        if radius >= limit or is_empty(todo):
+        todo = cut(todo.join(full, spot, "left_anti"))
+        if is_empty(todo):
             break
         radius = min(radius * 2, limit)
-    return seekers.join(found, [*on, *left_xy]).select(
-        *on, left_id, right_id, "distance", "rank")
+    return seekers.join(found, spot).select(*on, left_id, right_id, "distance", "rank")
 
 
 def _pow2(value: float) -> float:
@@ -75,10 +79,13 @@ def _pow2(value: float) -> float:
     return p
 
 
-def _span(df: DataFrame, xy: Sequence[str]):
-    row = df.agg(F.min(xy[0]), F.min(xy[1]), F.max(xy[0]), F.max(xy[1]),
-                 F.count(F.lit(1))).head()
-    return None if row[0] is None else row
+def _spans(left: DataFrame, left_xy, right: DataFrame, right_xy) -> list:
+    """Bounds and row count of both sides, in one job; None for an empty side."""
+    parts = [df.agg(F.lit(i).alias("s"), F.min(xy[0]), F.min(xy[1]), F.max(xy[0]),
+                    F.max(xy[1]), F.count(F.lit(1)))
+             for i, (df, xy) in enumerate(((left, left_xy), (right, right_xy)))]
+    rows = {r[0]: tuple(r)[1:] for r in parts[0].union(parts[1]).collect()}
+    return [None if rows[i][0] is None else rows[i] for i in (0, 1)]
 
 
 def nearest(left: DataFrame, right: DataFrame, **kw) -> DataFrame:

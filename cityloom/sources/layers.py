@@ -91,7 +91,7 @@ LAYERS: dict[str, tuple[str, dict[str, str]]] = {
         "y": _d(f"CAST(floor({_P}/50) AS BIGINT)*200")}),
     "change": ("events", {
         "change_id": "event_id", "scenario_id": "user_id%5",
-        "object_type": "'parcels'", "object_id": "user_id",
+        "object_type": "'LAND_PARCELS'", "object_id": "user_id",
         "operation": "CASE event_type WHEN 'signup' THEN 'INSERT' "
                      "WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END",
         "parameters": "props"}),
