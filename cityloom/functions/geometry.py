@@ -136,8 +136,9 @@ def centroid(rings) -> Column:
         return F.aggregate(es, zero, add)
 
     first = F.element_at(F.element_at(_c(rings), 1), 1)
+    closed = first == F.element_at(F.element_at(_c(rings), 1), -1)
     return let(sums(all_edges(rings)), lambda t: (
-        F.when(F.abs(t["c"]) > 0, vertex(t["cx"] / (3 * t["c"]), t["cy"] / (3 * t["c"])))
+        F.when(closed & (F.abs(t["c"]) > 0), vertex(t["cx"] / (3 * t["c"]), t["cy"] / (3 * t["c"])))
         .when(t["d"] > 0, vertex(t["dx"] / t["d"], t["dy"] / t["d"]))
         .otherwise(first)))
 
