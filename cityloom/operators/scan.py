@@ -78,15 +78,15 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], v
         return df.withColumn(name, F.sum(value).over(w))
     s = sliced(df.withColumn("_v", value), [*_names(keys), *order], slices)
     carry = s.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_t"))
-    carry = carry.withColumn("_before", F.coalesce(F.sum("_t").over(
+    carry = carry.withColumn("_carry", F.coalesce(F.sum("_t").over(
         Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     local = Window.partitionBy(*keys, "_slice").orderBy("_pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (s.withColumn("_local", F.sum("_v").over(local))
             .join(carry, [*keys, "_slice"])
-            .withColumn(name, F.col("_before") + F.col("_local"))
-            .drop("_slice", "_pos", "_v", "_local", "_before"))
+            .withColumn(name, F.col("_carry") + F.col("_local"))
+            .drop("_slice", "_pos", "_v", "_local", "_carry"))
 
 
 def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column,
@@ -101,15 +101,15 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], val
     tail = s.where(F.col("_v").isNotNull()).groupBy(*keys, "_slice").agg(
         F.max_by("_v", "_pos").alias("_t"))
     slots = s.select(*keys, "_slice").distinct().join(tail, [*keys, "_slice"], "left")
-    carry = slots.withColumn("_before", F.last("_t", ignorenulls=True).over(
+    carry = slots.withColumn("_carry", F.last("_t", ignorenulls=True).over(
         Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
             Window.unboundedPreceding, -1))).drop("_t")
     local = Window.partitionBy(*keys, "_slice").orderBy("_pos").rowsBetween(
         Window.unboundedPreceding, -1)
     return (s.withColumn("_local", F.last("_v", ignorenulls=True).over(local))
             .join(carry, [*keys, "_slice"])
-            .withColumn(name, F.coalesce("_local", "_before"))
-            .drop("_slice", "_pos", "_v", "_local", "_before"))
+            .withColumn(name, F.coalesce("_local", "_carry"))
+            .drop("_slice", "_pos", "_v", "_local", "_carry"))
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,

@@ -8,8 +8,12 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SHAPE = "struct<kind:string,srid:int,rings:array<array<struct<x:double,y:double>>>>"
+_VERTEX = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+SHAPE = T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("srid", T.IntegerType()),
+    T.StructField("rings", T.ArrayType(T.ArrayType(_VERTEX)))])
 _KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString",
           6: "MultiPolygon"}
 _NUMBER = re.compile(r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?")

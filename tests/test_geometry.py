@@ -54,7 +54,7 @@ def test_line_functions(spark):
             g.line_distance("s0", F.lit(2.), F.lit(3.)), g.centroid("s0")["x"])
     assert r[0] == 6.0
     assert [tuple(v) for v in r[1]] == [(1., 0.), (4., 0.), (4., 1.)]
-    assert r[2] == 2.0 and abs(r[3] - (2 * 4 + 4 * 2) / 6) < 1e-12
+    assert abs(r[2] - math.hypot(2, 1)) < 1e-12 and abs(r[3] - (2 * 4 + 4 * 2) / 6) < 1e-12
 
 
 def test_hull(spark):
