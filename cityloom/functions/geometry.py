@@ -398,7 +398,10 @@ def ring_area_in_box(ring, box) -> Column:
             return let(ys, lambda y: (c["q"] - c["p"]) * F.when(
                 y["u"] == y["v"], F.least(F.greatest(y["u"], F.lit(0.0)), h)).otherwise(
                 (ramp(y["v"]) - ramp(y["u"])) / (y["v"] - y["u"])))
-        return F.when(e["b"]["x"] == ax, F.lit(0.0)).otherwise(let(ends, area_of))
+        # Most edges pass the box by and cost two comparisons.
+        aside = ((F.least(ax, e["b"]["x"]) >= x1) | (F.greatest(ax, e["b"]["x"]) <= x0)
+                 | (e["b"]["x"] == ax))
+        return F.when(aside, F.lit(0.0)).otherwise(let(ends, area_of))
     return -_sum(F.transform(edges(_c(ring)), under))
 
 

@@ -86,9 +86,8 @@ def constraint_hits(parcels: DataFrame, constraints: DataFrame, *, key: Sequence
         shared = g.overlap_area("rings", "c_rings")
     else:
         meets = g.box_box_distance(cb, BOX) <= buffer
-        ring = F.element_at(g.box_rings(*BOX), 1)
-        shared = F.when(buffer > 0, g.clip_area(ring, g.buffered_box_ring(
-            *cb, buffer))).otherwise(g.box_overlap(BOX, cb))
+        shared = F.when(buffer > 0, g.ring_area_in_box(g.buffered_box_ring(
+            *cb, buffer), BOX)).otherwise(g.box_overlap(BOX, cb))
     pairs = box_pairs(constraints, parcels, cb, BOX, margin=buffer, condition=meets, **kw)
     overlap = F.when(F.col(area) > 0, shared / F.col(area)).otherwise(F.lit(0.0))
     return pairs.select(*key, "c_id", "c_type", "c_severity", "c_weight",

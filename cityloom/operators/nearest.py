@@ -40,9 +40,9 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, *, left_id: str, right_
     reach = (max(box_l[2], box_r[2]) - min(box_l[0], box_r[0])
              + max(box_l[3], box_r[3]) - min(box_l[1], box_r[1]) + 1.0)
     limit = reach if max_distance is None else min(reach, max_distance)
-    side = max(box_r[2] - box_r[0], box_r[3] - box_r[1], 1e-3)
+    wide, high, n = box_r[2] - box_r[0], box_r[3] - box_r[1], max(box_r[4], 1)
     # At an even density about 4 pi k places lie in the first ring.
-    radius = start_radius or 2.0 * side * (k / max(box_r[4], 1)) ** 0.5
+    radius = start_radius or 2.0 * max((wide * high * k / n) ** 0.5, max(wide, high) * k / n)
     radius = min(max(radius, 1e-3), limit)
     distance = point_distance(left_xy[0], left_xy[1], right_xy[0], right_xy[1])
     spot = [*on, *left_xy]

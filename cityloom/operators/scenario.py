@@ -43,7 +43,7 @@ def _judge(changes: DataFrame, base: DataFrame, group_rows: int | None) -> DataF
     """Add ``exists`` (before the change) and ``reason`` (NULL when applied)."""
     op = F.col("operation")
     effect = F.when(op == "delete", F.lit(False)).when(
-        (op == "add") & _has_geometry() & ~F.coalesce(F.col("_void"), F.lit(False)), F.lit(True))
+        (op == "add") & _has_geometry(), F.lit(True))
     known = base.select("entity_type", F.col("id").cast("string").alias("entity_id")).distinct(
         ).withColumn("_base", F.lit(True))
     ordered = last_before(changes, list(KEY), [F.col("change_id")], effect, "_before",
@@ -67,42 +67,42 @@ def judge(changes: DataFrame, base: DataFrame, group_rows: int | None = None) ->
 
     ``base``: entity_type, id of the existing objects, shared by all scenarios. An add
     without id is named ``proposed-<type>-<n>`` with n one above the number of such
-    objects at that moment. That number needs the verdicts of earlier changes; only an
-    unlucky clash of such a name can change it, so the naming pass repeats until no
-    verdict moves, which is nearly always once.
+    objects at that moment. That number needs the verdicts of the changes before it, and
+    a verdict may hang on such a name; so naming and judging alternate until the names
+    stay. Each pass settles at least the first open name of a scenario, and normally all.
     """
-    changes = changes.withColumn("_void", F.lit(False))
-    nameless = changes.where(F.col("entity_id").isNull() & (F.col("operation") == "add"))
-    if is_empty(nameless):
-        return _judge(changes, base, group_rows).drop("_void", "_base")
+    if is_empty(changes.where(F.col("entity_id").isNull() & (F.col("operation") == "add"))):
+        return _judge(changes, base, group_rows).drop("_base")
     sizes = base.groupBy("entity_type").agg(F.count(F.lit(1)).alias("_n0"))
-    open_ = F.col("entity_id").isNull() & (F.col("operation") == "add")
-    todo = cut(changes.withColumn("_auto", open_).withColumn("_counted", open_ & _has_geometry()))
-    void_before = -1
+    auto = F.col("entity_id").isNull() & (F.col("operation") == "add")
+    todo = cut(changes.withColumn("_auto", auto))
+    first = _judge(todo.where(~F.col("_auto")), base, group_rows)
+    assumed = todo.where("_auto").select("change_id", _has_geometry().cast("int").alias("_step"))
+    steps = _steps(first).unionByName(assumed)
+    before = None
     while True:
-        named = todo.where(~F.col("_auto"))
-        judged = _judge(named.drop("_auto", "_counted"), base, group_rows)
-        step = judged.select("change_id", F.when(F.col("reason").isNull(), F.when(
-            F.col("operation") == "add", 1).when(F.col("operation") == "delete", -1))
-            .alias("_step"))
-        moved = todo.join(step, "change_id", "left").withColumn(
-            "_d", F.when(F.col("_counted"), 1).otherwise(F.coalesce("_step", F.lit(0))))
+        moved = todo.join(steps, "change_id", "left").withColumn(
+            "_d", F.coalesce("_step", F.lit(0))).drop("_step")
         total = running_total(moved, ["scenario_id", "entity_type"], [F.col("change_id")],
                               F.col("_d"), "_sum", group_rows)
         size = F.coalesce("_n0", F.lit(0)) + F.col("_sum") - F.col("_d") + 1
-        names = total.join(F.broadcast(sizes), "entity_type", "left").withColumn(
+        named = total.join(F.broadcast(sizes), "entity_type", "left").withColumn(
             "entity_id", F.when(F.col("_auto"), F.concat(
                 F.lit("proposed-"), F.col("entity_type"), F.lit("-"), size.cast("string")))
-            .otherwise(F.col("entity_id")))
-        out = cut(_judge(names.drop("_n0", "_sum", "_d", "_step"), base, group_rows))
-        clash = out.where(F.col("_auto") & (F.col("reason") == "add id already exists"))
-        n = clash.count()
-        if n == void_before or n == 0:
-            return out.drop("_void", "_auto", "_counted", "_base")
-        void_before = n
-        bad = clash.select("change_id", F.lit(True).alias("_clash"))
-        todo = cut(todo.join(bad, "change_id", "left").withColumn(
-            "_counted", F.col("_counted") & F.col("_clash").isNull()).drop("_clash"))
+            .otherwise(F.col("entity_id"))).select(*todo.columns)
+        out = cut(_judge(named, base, group_rows).drop("_base"))
+        mark = out.where("_auto").agg(F.sum(F.xxhash64("change_id", "entity_id").cast(
+            "decimal(38,0)"))).head()[0]
+        if mark == before:
+            return out.drop("_auto")
+        before, steps = mark, _steps(out)
+
+
+def _steps(judged: DataFrame) -> DataFrame:
+    """What each applied change does to the number of objects of its type."""
+    return judged.select("change_id", F.when(F.col("reason").isNull(), F.when(
+        F.col("operation") == "add", 1).when(F.col("operation") == "delete", -1)
+        .otherwise(0)).otherwise(0).alias("_step"))
 
 
 def resolve(judged: DataFrame, base: DataFrame) -> DataFrame:

@@ -26,21 +26,38 @@ def _spread(frontier: DataFrame, edges: DataFrame, keys: Sequence[str], edge_by:
     return step.groupBy(*keys).agg(F.min("value").alias("value"))
 
 
+def _two_hops(edges: DataFrame, edge_by: Sequence[str], weight: str | None,
+              cutoff: float | None) -> DataFrame:
+    """Edges and two-edge ways as ``node, _to, _w``: half as many rounds for a few times
+    the rows (road junctions have few neighbours)."""
+    w = F.lit(0.0) if weight is None else F.col(weight)
+    one = edges.select(*edge_by, F.col("src").alias("node"), F.col("dst").alias("_to"),
+                       w.alias("_w"))
+    if cutoff is not None:
+        one = one.where(F.col("_w") <= cutoff)
+    on = one.select(*edge_by, F.col("node").alias("_to"), F.col("_to").alias("_far"),
+                    F.col("_w").alias("_w2"))
+    two = one.join(on, [*edge_by, "_to"]).select(
+        *edge_by, "node", F.col("_far").alias("_to"), (F.col("_w") + F.col("_w2")).alias("_w"))
+    both = one.unionByName(two).where("node <> _to")
+    if cutoff is not None:
+        both = both.where(F.col("_w") <= cutoff)
+    return both.groupBy(*edge_by, "node", "_to").agg(F.min("_w").alias("_w"))
+
+
 def relax(edges: DataFrame, starts: DataFrame, *, by: Sequence[str] = (),
           edge_by: Sequence[str] = (), weight: str | None = "time",
-          cutoff: float | None = None, hops: int = 4, value: str = "cost") -> DataFrame:
+          cutoff: float | None = None, hops: int = 3, value: str = "cost") -> DataFrame:
     """Smallest value per (by..., node) reachable from ``starts`` along directed edges.
 
     ``starts``: by..., node, ``value``. With a weight the value grows along edges (shortest
-    time); without one it is carried unchanged (smallest label that reaches a node).
+    time); without one it is carried unchanged (smallest label that reaches a node). One
+    round follows ``hops`` edges or two-edge ways.
     ``edge_by`` names the keys by which the edge table itself differs (runs).
     """
     keys = [*by, "node"]
-    cols = [*edge_by, F.col("src").alias("node"), F.col("dst").alias("_to")]
-    if weight is not None:
-        cols.append(F.col(weight).alias("_w"))
-    # Laid out by source once; a lost block is read again from its source.
-    net = edges.select(*cols).repartition(*edge_by, "node").persist()
+    # Laid out by source once; a lost block is computed again from its source.
+    net = _two_hops(edges, edge_by, weight, cutoff).repartition(*edge_by, "node").persist()
     state = cut(starts.groupBy(*keys).agg(F.min(value).alias("value"))
                 .withColumn("fresh", F.lit(True)))
     while True:
@@ -62,7 +79,7 @@ def relax(edges: DataFrame, starts: DataFrame, *, by: Sequence[str] = (),
 
 def travel_times(edges: DataFrame, origins: DataFrame, destinations: DataFrame, *,
                  origin_key: str, dest_key: str, cutoff: float | None = None,
-                 by: Sequence[str] = (), hops: int = 4) -> DataFrame:
+                 by: Sequence[str] = (), hops: int = 3) -> DataFrame:
     """Long travel-time matrix ``by..., origin_key, dest_key, cost``.
 
     Both sides come snapped (``node``). One search runs per distinct node on the origin
@@ -79,7 +96,7 @@ def travel_times(edges: DataFrame, origins: DataFrame, destinations: DataFrame,
 
 def nearest_time(edges: DataFrame, origins: DataFrame, facilities: DataFrame, *,
                  origin_key: str, cutoff: float | None = None, by: Sequence[str] = (),
-                 hops: int = 4) -> DataFrame:
+                 hops: int = 3) -> DataFrame:
     """Time from each origin to its nearest facility, from one search that starts at all
     facilities and follows the edges backwards. The state is one row per node, whatever
     the number of facilities."""
@@ -91,13 +108,14 @@ def nearest_time(edges: DataFrame, origins: DataFrame, facilities: DataFrame, *,
 
 def next_hops(edges: DataFrame, dist: DataFrame, by: Sequence[str] = (),
               edge_by: Sequence[str] = ()) -> DataFrame:
-    """For distances *to* a target: the next node on a best way, ``node, next, length``."""
-    a = dist.select(*by, F.col("node").alias("src"), F.col("cost").alias("_cs"))
+    """For distances *to* a target: the next node on a best way, ``node, next, length``.
+    Times are positive, so the neighbour with the least total is always nearer."""
+    a = dist.where("cost > 0").select(*by, F.col("node").alias("src"))
     b = dist.select(*by, F.col("node").alias("dst"), F.col("cost").alias("_cd"))
-    on_way = edges.select(*edge_by, "src", "dst", "time", "length").join(
-        a, [*edge_by, "src"]).join(b, [*by, "dst"]).where(
-        F.col("_cd") + F.col("time") == F.col("_cs"))
-    best = on_way.groupBy(*by, "src").agg(F.min(F.struct("dst", "length")).alias("_b"))
+    options = edges.select(*edge_by, "src", "dst", "time", "length").join(
+        a, [*edge_by, "src"]).join(b, [*by, "dst"])
+    best = options.groupBy(*by, "src").agg(F.min(F.struct(
+        (F.col("_cd") + F.col("time")).alias("t"), "dst", "length")).alias("_b"))
     return best.select(*by, F.col("src").alias("node"), F.col("_b.dst").alias("next"),
                        F.col("_b.length").alias("length"))
 
@@ -225,7 +243,7 @@ def routable_core(edges: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- service areas
 def service_area_nodes(edges: DataFrame, origins: DataFrame, cutoff: float,
-                       key: str = "origin_id", hops: int = 4) -> DataFrame:
+                       key: str = "origin_id", hops: int = 3) -> DataFrame:
     """Nodes within ``cutoff`` seconds of each snapped origin: key, node, cost."""
     seeds = origins.select("node", key).withColumn("cost", F.lit(0.0))
     return relax(edges, seeds, by=[key], cutoff=cutoff, hops=hops)
@@ -261,6 +279,157 @@ def isochrone_bands(edges: DataFrame, origins: DataFrame, cutoffs: Sequence[floa
 
 
 # ------------------------------------------------------------------- resilience
+def spanning_forest(pairs: DataFrame) -> DataFrame:
+    """Tree edges ``u, v`` (u < v) of an undirected graph given as distinct u < v rows.
+
+    Every component takes its smallest outgoing edge and merges along it; the number of
+    rounds grows with log(nodes), not with the length of ways.
+    """
+    live = cut(pairs.select("u", "v", F.col("u").alias("cu"), F.col("v").alias("cv")))
+    forest: DataFrame | None = None
+    while not is_empty(live):
+        rank = F.struct("u", "v")
+        ends = live.select(rank.alias("e"), F.explode(F.array(
+            F.struct(F.col("cu").alias("c"), F.col("cv").alias("o")),
+            F.struct(F.col("cv").alias("c"), F.col("cu").alias("o")))).alias("s"))
+        best = cut(ends.groupBy("s.c").agg(F.min(F.struct("e", F.col("s.o").alias("o")))
+                                           .alias("b")).select("c", "b.e", "b.o"))
+        step = best.select("e.u", "e.v").distinct()
+        forest = step if forest is None else forest.unionByName(step)
+        merged = components(best.select(F.col("c").alias("src"), F.col("o").alias("dst")))
+        merged = cut(merged)
+        a, b = (merged.select(F.col("node").alias(k), F.col("component").alias("_" + k))
+                for k in ("cu", "cv"))
+        live = cut(live.join(a, "cu").join(b, "cv").where("_cu <> _cv").select(
+            "u", "v", F.col("_cu").alias("cu"), F.col("_cv").alias("cv")))
+    return pairs.select("u", "v").limit(0) if forest is None else forest
+
+
+def _doubling(table: DataFrame, link: str, key: str, carry: dict[str, Column]) -> DataFrame:
+    """Follow ``link`` pointers to the end by doubling; ``carry`` combines the values of a
+    row with those of the row it points to (named ``r_<column>``)."""
+    names = list(carry)
+    state = cut(table)
+    while not is_empty(state.where(F.col(link).isNotNull())):
+        right = state.select(F.col(key).alias(link), F.col(link).alias("_next"),
+                             *[F.col(n).alias("r_" + n) for n in names])
+        state = cut(state.join(right, link, "left").select(
+            key, F.col("_next").alias(link), *[c.alias(n) for n, c in carry.items()]))
+    return state.drop(link)
+
+
+def rooted_tree(forest: DataFrame) -> DataFrame:
+    """``node, parent, tin, tout`` for a forest: each tree is rooted at its smallest node,
+    and a node lies below another when its interval lies inside. Positions come from
+    ranking the closed tour around each tree."""
+    tree = components(forest.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    arcs = cut(forest.select(F.explode(F.array(
+        F.struct(F.col("u").alias("a"), F.col("v").alias("b")),
+        F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("s")).select("s.*"))
+    # After arriving by (a, b) the tour leaves by the neighbour of b that follows a.
+    w = Window.partitionBy("a").orderBy("b")
+    turn = arcs.select(F.col("a").alias("b"), F.col("b").alias("a"), F.coalesce(
+        F.lead("b").over(w), F.first("b").over(w)).alias("c"))
+    first = tree.where("node = component").join(
+        arcs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("f")), "node").select(
+        F.struct(F.col("node").alias("a"), F.col("f").alias("b")).alias("start"))
+    # Rank backwards: the arc before the start arc ends the list.
+    succ = turn.select(F.struct("a", "b").alias("arc"),
+                       F.struct(F.col("b").alias("a"), F.col("c").alias("b")).alias("next"))
+    stop = first.select(F.col("start").alias("next"), F.lit(True).alias("_stop"))
+    chain = succ.join(stop, "next", "left").select(
+        "arc", F.when(F.col("_stop").isNull(), F.col("next")).alias("next"), F.lit(1).alias("n"))
+    left = _doubling(chain, "next", "arc", {
+        "n": F.col("n") + F.coalesce("r_n", F.lit(0))})
+    total = tree.groupBy("component").agg((2 * F.count(F.lit(1)) - 2).alias("_m"))
+    sizes = tree.join(total, "component").select(F.col("node").alias("a"), "component", "_m")
+    pos = left.select("arc.a", "arc.b", "n").join(sizes, "a").withColumn(
+        "p", F.col("_m") - F.col("n") + 1)
+    back = pos.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("p").alias("q"))
+    down = pos.join(back, ["a", "b"]).where("p < q").select(
+        F.col("b").alias("node"), F.col("a").alias("parent"), F.col("p").alias("tin"),
+        F.col("q").alias("tout"))
+    roots = total.select(F.col("component").alias("node"), F.lit(None).cast(
+        dict(down.dtypes)["parent"]).alias("parent"), F.lit(0).alias("tin"),
+        (F.col("_m") + 1).alias("tout"))
+    return cut(down.unionByName(roots))
+
+
+def _subtree_reach(tree: DataFrame, own: DataFrame) -> DataFrame:
+    """Smallest and largest ``tin`` that non-tree edges reach from each subtree.
+    ``own``: node, lo, hi. Ancestor pointers double; each round hands the values of nodes
+    2**k levels down to their ancestor."""
+    state = cut(own.select("node", "lo", "hi"))
+    jump = cut(tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("up")))
+    while not is_empty(jump):
+        risen = state.join(jump, "node").groupBy(F.col("up").alias("node")).agg(
+            F.min("lo").alias("l2"), F.max("hi").alias("h2"))
+        state = cut(state.join(risen, "node", "left").select(
+            "node", F.least("lo", "l2").alias("lo"), F.greatest("hi", "h2").alias("hi")))
+        above = jump.select(F.col("node").alias("up"), F.col("up").alias("_u2"))
+        jump = cut(jump.join(above, "up").select("node", F.col("_u2").alias("up")))
+    return state
+
+
+def cut_structure(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bridges ``u, v``; articulation points ``node``) of the undirected graph.
+
+    Tarjan and Vishkin's parallel method: tree edges, named by their lower node, belong to
+    one block when a non-tree edge ties them together; blocks are components of that
+    relation. A bridge is a block of one tree edge that no other edge passes over; a cut
+    node touches two blocks or more.
+    """
+    pairs = cut(edges.where("src <> dst").select(
+        F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct())
+    forest = cut(spanning_forest(pairs))
+    tree = rooted_tree(forest)
+    other = pairs.join(forest, ["u", "v"], "left_anti")
+    at = tree.select("node", "tin", "tout")
+    tu = at.withColumnsRenamed({"node": "u", "tin": "iu", "tout": "ou"})
+    tv = at.withColumnsRenamed({"node": "v", "tin": "iv", "tout": "ov"})
+    spans = cut(other.join(tu, "u").join(tv, "v"))
+    far = spans.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.col("iv").alias("x")),
+        F.struct(F.col("v").alias("node"), F.col("iu").alias("x")))).alias("s")).select("s.*")
+    ext = far.groupBy("node").agg(F.min("x").alias("_l"), F.max("x").alias("_h"))
+    own = at.join(ext, "node", "left").select(
+        "node", F.least("tin", "_l").alias("lo"), F.greatest("tin", "_h").alias("hi"))
+    full = cut(tree.join(_subtree_reach(tree, own), "node"))
+    child = full.where("parent IS NOT NULL")
+    inside = (F.col("lo") >= F.col("tin")) & (F.col("hi") <= F.col("tout"))
+    bridges = child.where(inside).select(F.least("node", "parent").alias("u"),
+                                         F.greatest("node", "parent").alias("v"))
+    # Tie tree edges: across unrelated ends of a non-tree edge, and to the parent edge when
+    # the subtree reaches outside its parent's interval.
+    unrelated = spans.where("NOT (iu <= iv AND ov <= ou) AND NOT (iv <= iu AND ou <= ov)").select(
+        F.col("u").alias("src"), F.col("v").alias("dst"))
+    up = full.where("parent IS NOT NULL").select(
+        F.col("node").alias("parent"), F.col("tin").alias("pi"), F.col("tout").alias("po"))
+    climb = child.join(up, "parent").where("lo < pi OR hi > po").select(
+        F.col("node").alias("src"), F.col("parent").alias("dst"))
+    alone = child.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    block = components(unrelated.unionByName(climb).unionByName(alone))
+    tagged = child.join(block, "node").select("node", "parent", "component")
+    touches = tagged.select("node", "component").unionByName(
+        tagged.select(F.col("parent").alias("node"), "component")).distinct()
+    cuts = touches.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    return bridges, cuts
+
+
+def resilience(edges: DataFrame, bridges: DataFrame, cut_nodes: DataFrame) -> DataFrame:
+    """Counts of weak spots and the redundancy index 1 - bridges / directed edges."""
+    b = bridges.agg(F.count(F.lit(1)).alias("bridge_edges"))
+    n = cut_nodes.agg(F.count(F.lit(1))).scalar()
+    e = edges.agg(F.count(F.lit(1))).scalar()
+    return b.select("bridge_edges", n.alias("articulation_points"),
+                    F.bround(1.0 - F.col("bridge_edges") / e, 4).alias("redundancy_index"))
+
+
+def off_main_network(labelled: DataFrame, snapped: DataFrame, key: str) -> DataFrame:
+    """Snapped facilities whose node is not on the largest component."""
+    return snapped.join(largest_component(labelled), "node", "left_anti").select(key)
+
+
 def degree_summary(edges: DataFrame) -> DataFrame:
     """nodes, directed edges and average degree 2E/N of the undirected graph."""
     und = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
