@@ -96,12 +96,14 @@ def travel_times(edges: DataFrame, origins: DataFrame, destinations: DataFrame,
 
 def nearest_time(edges: DataFrame, origins: DataFrame, facilities: DataFrame, *,
                  origin_key: str, cutoff: float | None = None, by: Sequence[str] = (),
-                 hops: int = 3) -> DataFrame:
+                 edge_by: Sequence[str] | None = None, hops: int = 3) -> DataFrame:
     """Time from each origin to its nearest facility, from one search that starts at all
-    facilities and follows the edges backwards. The state is one row per node, whatever
-    the number of facilities."""
+    facilities and follows the edges backwards. The state is one row per node (and run),
+    whatever the number of facilities. ``edge_by``: run keys the edges differ by, ``by``
+    unless given."""
     seeds = facilities.select(*by, "node").distinct().withColumn("cost", F.lit(0.0))
-    reach = relax(reversed_edges(edges), seeds, by=by, edge_by=by, cutoff=cutoff, hops=hops)
+    reach = relax(reversed_edges(edges), seeds, by=by, cutoff=cutoff, hops=hops,
+                  edge_by=by if edge_by is None else edge_by)
     return origins.select(*by, origin_key, "node").join(reach, [*by, "node"]).select(
         *by, origin_key, "cost")
 
