@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, is_empty
+from ..session import cut, is_empty, written
 from .network import nodes_of, reversed_edges
 
 
@@ -361,15 +361,15 @@ def _subtree_reach(tree: DataFrame, own: DataFrame) -> DataFrame:
     """Smallest and largest ``tin`` that non-tree edges reach from each subtree.
     ``own``: node, lo, hi. Ancestor pointers double; each round hands the values of nodes
     2**k levels down to their ancestor."""
-    state = cut(own.select("node", "lo", "hi"))
-    jump = cut(tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("up")))
+    state = written(own.select("node", "lo", "hi"))
+    jump = written(tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("up")))
     while not is_empty(jump):
         risen = state.join(jump, "node").groupBy(F.col("up").alias("node")).agg(
             F.min("lo").alias("l2"), F.max("hi").alias("h2"))
-        state = cut(state.join(risen, "node", "left").select(
+        state = written(state.join(risen, "node", "left").select(
             "node", F.least("lo", "l2").alias("lo"), F.greatest("hi", "h2").alias("hi")))
         above = jump.select(F.col("node").alias("up"), F.col("up").alias("_u2"))
-        jump = cut(jump.join(above, "up").select("node", F.col("_u2").alias("up")))
+        jump = written(jump.join(above, "up").select("node", F.col("_u2").alias("up")))
     return state
 
 
