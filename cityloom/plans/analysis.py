@@ -153,9 +153,8 @@ def hazard_response(edges: DataFrame, closed: DataFrame, hazard: DataFrame,
                     stations: DataFrame) -> DataFrame:
     """First responder to one event on the free network, during it, and with measures.
     ``hazard``: its rows by run; stations: station_id, type, x, y."""
-    kind, place = hazard.select("hazard_type", "cx", "cy").head(), None
-    place = (kind["cx"], kind["cy"])
-    responder = HAZARDS.get(kind["hazard_type"], HAZARDS["fire"])[4]
+    kind, *place = hazard.select("hazard_type", "cx", "cy").head()
+    responder = HAZARDS.get(kind, HAZARDS["fire"])[4]
     runs = edges.withColumn("run", F.explode(F.array(
         F.lit("normal"), F.lit("base"), F.lit("mitigated"))))
     net = cut(network.degrade(runs, closed.select("run", "road_id", "effect"), 3.0, ["run"]))
