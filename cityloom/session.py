@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,28 @@ def local_session(app: str = "cityloom", cpus: str | int = "*", partitions: int
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python tasks find
+    it wherever the driver was started from."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/{name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = f"{folder}/{f}"
+                    out.write(full, f"{name}/{os.path.relpath(full, root)}")
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in ``spark.checkpoint.dir``.
 
