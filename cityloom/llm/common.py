@@ -38,6 +38,27 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | Column,
     return big.join(F.broadcast(small) if few else small.hint("merge"), on, how)
 
 
+def retain(docs: DataFrame, verdicts: DataFrame, key: Column) -> DataFrame:
+    """Rows of ``docs``, with its own columns, whose verdict is to keep them.
+
+    ``verdicts`` has doc_id, key and keep for every row; ``key`` is a hash of the text of
+    ``docs``. Rows equal in id and text are told apart by number only: if some of them are
+    kept and some not, one stays.
+    """
+    dead = written(verdicts.groupBy("doc_id", "key").agg(
+        F.count(F.when(F.col("keep"), 1)).alias("stay"), F.count(F.lit(1)).alias("n"))
+        .where("stay < n").select(F.col("doc_id").alias("dead_id"), F.col("key").alias("dead_key"),
+                                  "stay"))
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"), key.alias("key"))
+    match = (F.col("key") == F.col("dead_key")) & F.col("id").eqNullSafe(F.col("dead_id"))
+    kept = join_small(rows, dead, match, "left_anti")
+    repeats = cut(dead.where("stay > 0"))
+    if repeats.limit(1).count():
+        kept = kept.unionByName(
+            join_small(rows, repeats, match, "left_semi").dropDuplicates(["id", "key"]))
+    return kept.select("row.*")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -100,5 +121,5 @@ def publish(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 __all__ = ["BROADCAST_ROWS", "CHUNK_BYTES", "as_batch", "byte_texts", "cut", "join_small",
-           "mounted", "numbered", "partitions", "publish", "shared_folder", "slices",
+           "mounted", "numbered", "partitions", "publish", "retain", "shared_folder", "slices",
            "text_of", "written"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, numbered, text_of, written
+from .common import cut, join_small, numbered, retain, text_of, written
 
 #: Fingerprints that one owner is meant to hold; owners grow with the rows.
 OWNER_ROWS = 2_000_000
@@ -174,21 +174,7 @@ def exact_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with its own columns, without the rows that :func:`exact_duplicates` drops.
-
-    Rows are told apart by id and text; of rows equal in both, one stays.
-    """
-    found = exact_duplicates(docs)
-    drop = written(found.groupBy("text_sha256", "doc_id").agg(
-        F.count(F.when(F.col("kept"), 1)).alias("stay"), F.count(F.lit(1)).alias("n"))
-        .where("stay < n").select(
-            F.col("text_sha256").alias("dead_sha"), F.col("doc_id").alias("dead_id"), "stay"))
-    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"),
-                       F.sha2(text_of(docs), 256).alias("sha"))
-    match = (F.col("sha") == F.col("dead_sha")) & F.col("id").eqNullSafe(F.col("dead_id"))
-    kept = join_small(rows, drop, match, "left_anti")
-    repeats = cut(drop.where("stay > 0"))
-    if repeats.limit(1).count():
-        kept = kept.unionByName(
-            join_small(rows, repeats, match, "left_semi").dropDuplicates(["id", "sha"]))
-    return kept.select("row.*")
+    """``docs`` with its own columns, without the rows that :func:`exact_duplicates` drops."""
+    verdicts = exact_duplicates(docs).select(
+        "doc_id", F.col("text_sha256").alias("key"), F.col("kept").alias("keep"))
+    return retain(docs, verdicts, F.sha2(text_of(docs), 256))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .jaccard_join import similarity_classes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,9 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """)
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder))
+
+
+@query()
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity_classes(documents(spark, folder)).select(
+        "doc_id", "class_id", "class_size", "links", F.col("is_first").alias("kept"))
