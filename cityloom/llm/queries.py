@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
 from .jaccard_join import similarity_classes
+from .language_id import language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +41,8 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_classes(documents(spark, folder)).select(
         "doc_id", "class_id", "class_size", "links", F.col("is_first").alias("kept"))
+
+
+@query()
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id(documents(spark, folder))
