@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_duplicates
 from .jaccard_join import similarity_classes
 from .language_id import language_id
+from .mixing import mixed_sizes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +47,31 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id(documents(spark, folder))
+
+
+@query(r"""
+WITH sized AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS spot, CAST(len(regexp_extract_all(
+           coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM sized GROUP BY source),
+f AS (SELECT *, 2.0::DOUBLE * source_size AS cap, cap / w AS full_at FROM s),
+g AS (SELECT *, coalesce(sum(cap) OVER p, 0) AS caps, coalesce(sum(w) OVER p, 0) AS ws FROM f
+      WINDOW p AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT 1.5::DOUBLE * sum(source_size) AS budget, sum(w) AS tw FROM s),
+l AS (SELECT coalesce(min(full_at_level.lv), 'infinity'::DOUBLE) AS lv FROM (
+      SELECT (budget - caps) / (tw - ws) AS lv FROM g, b WHERE (budget - caps) / (tw - ws) <= full_at
+      ORDER BY full_at, source NULLS LAST LIMIT 1) AS full_at_level),
+t AS (SELECT source, source_size, least(cap, lv * w) AS target FROM f, l),
+q AS (SELECT sized.*, source_size, target, sum(size) OVER (PARTITION BY sized.source ORDER BY spot, doc_id
+             ROWS UNBOUNDED PRECEDING) - size AS start0
+      FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, start0 + turn * source_size AS start, least(size, ceil(target) - (start0 + turn * source_size)) AS words,
+             (start0 + turn * source_size + size) / target AS finish
+      FROM q, (SELECT unnest([0, 1]) AS turn) WHERE size > 0 AND start0 + turn * source_size < ceil(target)),
+r AS (SELECT doc_id, greatest(least(words, floor(budget) - sum(words) OVER (ORDER BY finish, source NULLS LAST, spot,
+             doc_id, turn ROWS UNBOUNDED PRECEDING) + words), 0) AS words FROM e, b)
+SELECT q.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN (SELECT doc_id, sum(words) AS taken FROM r GROUP BY doc_id) AS k USING (doc_id)
+""")
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed_sizes(documents(spark, folder))
