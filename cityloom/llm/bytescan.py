@@ -74,11 +74,15 @@ class Scan:
 
     def hasher(self, fold: bool = False):
         """``f(starts, ends)``: 64-bit hash of each span; ``fold`` equates A-Z and a-z."""
-        bits = max(12, int(len(self.data)).bit_length())
-        up, down = _powers(bits)
-        total = np.zeros(len(self.data) + 1, U)
-        np.cumsum(_bytes_table(fold)[self.data] * up[:len(self.data)], out=total[1:])
-        return lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
+        return span_hasher(self.data, fold)
+
+
+def span_hasher(data: np.ndarray, fold: bool = False):
+    """``f(starts, ends)``: 64-bit hash of each span of the bytes ``data``."""
+    up, down = _powers(max(12, int(len(data)).bit_length()))
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(_bytes_table(fold)[data] * up[:len(data)], out=total[1:])
+    return lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:

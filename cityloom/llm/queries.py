@@ -11,6 +11,7 @@ from .exact_dedup import exact_duplicates
 from .jaccard_join import similarity_classes
 from .language_id import language_id
 from .mixing import mixed_sizes
+from .sentence_pieces import default_model, encode, read_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +76,10 @@ FROM q LEFT JOIN (SELECT doc_id, sum(words) AS taken FROM r GROUP BY doc_id) AS
 """)
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_sizes(documents(spark, folder))
+
+
+@query()
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded and decoded; the digest of the ids stands for them."""
+    coded = encode(documents(spark, folder), read_model(default_model()), check=True)
+    return coded.select("doc_id", "n_tokens", "n_bytes", "round_trip", F.xxhash64("ids").alias("ids_hash"))
