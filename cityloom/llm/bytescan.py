@@ -97,6 +97,14 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def prefix_runs(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of each run of items a to b-1, of any lengths."""
+    up, down = _powers(max(12, int(len(hashes) + 1).bit_length()))
+    total = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * up[:len(hashes)], out=total[1:])
+    return mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
+
+
 def inside(owner: np.ndarray, k: int) -> np.ndarray:
     """Whether the run of ``k`` items that begins at i stays with one owner."""
     n = len(owner) - k + 1

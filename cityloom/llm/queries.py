@@ -12,6 +12,7 @@ from .jaccard_join import similarity_classes
 from .language_id import language_id
 from .mixing import mixed_sizes
 from .sentence_pieces import default_model, encode, read_model
+from .span_dedup import remove_repeated_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +84,9 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded; the digest of the ids stands for them."""
     coded = encode(documents(spark, folder), read_model(default_model()), check=True)
     return coded.select("doc_id", "n_tokens", "n_bytes", "round_trip", F.xxhash64("ids").alias("ids_hash"))
+
+
+@query()
+def op10_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeated_spans(documents(spark, folder)).select(
+        "doc_id", "n_sentences", "n_removed", (F.col("n_removed") == 0).alias("untouched"), "removed", "text")
