@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_duplicates
 from .jaccard_join import similarity_classes
 from .language_id import language_id
+from .line_quality import judge, learn
 from .mixing import mixed_sizes
 from .sentence_pieces import default_model, encode, read_model
 from .span_dedup import remove_repeated_spans
@@ -90,3 +91,9 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op10_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated_spans(documents(spark, folder)).select(
         "doc_id", "n_sentences", "n_removed", (F.col("n_removed") == 0).alias("untouched"), "removed", "text")
+
+
+@query()
+def op9_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return judge(docs, learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))).drop("key")
