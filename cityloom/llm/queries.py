@@ -12,6 +12,8 @@ from .jaccard_join import similarity_classes
 from .language_id import language_id
 from .line_quality import judge, learn
 from .mixing import mixed_sizes
+from .secret_scan import digest, find_secrets
+from .secret_scan import learn as learn_secrets
 from .sentence_pieces import default_model, encode, read_model
 from .span_dedup import remove_repeated_spans
 
@@ -97,3 +99,9 @@ def op10_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return judge(docs, learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))).drop("key")
+
+
+@query()
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return digest(find_secrets(docs, learn_secrets(docs)))
