@@ -16,6 +16,7 @@ from .secret_scan import digest, find_secrets
 from .secret_scan import learn as learn_secrets
 from .sentence_pieces import default_model, encode, read_model
 from .span_dedup import remove_repeated_spans
+from .warc import capture_histories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,15 @@ def op9_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return digest(find_secrets(docs, learn_secrets(docs)))
+
+
+@query("""
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM (SELECT page_id, body, CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS keep
+      FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))
+""")
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return capture_histories(spark.read.parquet(f"{folder}/pages.parquet")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
