@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import unquote, urlparse
@@ -17,7 +19,7 @@ from ..session import cut, ensure_checkpoint_dir, written
 #: A join side of at most so many short rows (under about 100 bytes each) is broadcast.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a vectorised step works on at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:
@@ -88,6 +90,33 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
             yield batch.slice(a, b - a)
 
 
+_CACHES: list = []
+
+
+def kept_in_worker(cache):
+    """Register what a function cached by ``lru_cache`` keeps between the tasks of a worker."""
+    _CACHES.append(cache)
+    return cache
+
+
+def frugal(run, keeps=None):
+    """``run`` for ``mapInArrow``, in a worker that serves many kinds of tasks: what other operators
+    have cached is dropped first, and freed memory goes back to the system afterwards."""
+    def wrapped(batches):
+        for cache in _CACHES:
+            if cache is not keeps:
+                cache.cache_clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+    return wrapped
+
+
 def as_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type)
@@ -120,6 +149,6 @@ def publish(path: str, arrays: dict[str, np.ndarray]) -> None:
         os.replace(part, f"{path}/{name}.npy")
 
 
-__all__ = ["BROADCAST_ROWS", "CHUNK_BYTES", "as_batch", "byte_texts", "cut", "join_small",
-           "mounted", "numbered", "partitions", "publish", "retain", "shared_folder", "slices",
+__all__ = ["BROADCAST_ROWS", "CHUNK_BYTES", "as_batch", "byte_texts", "cut", "frugal", "join_small",
+           "kept_in_worker", "mounted", "numbered", "partitions", "publish", "retain", "shared_folder", "slices",
            "text_of", "written"]

@@ -12,6 +12,7 @@ from .jaccard_join import similarity_classes
 from .language_id import language_id
 from .line_quality import judge, learn
 from .mixing import mixed_sizes
+from .ngram_lm import language_model_scores
 from .secret_scan import digest, find_secrets
 from .secret_scan import learn as learn_secrets
 from .sentence_pieces import default_model, encode, read_model
@@ -118,3 +119,8 @@ FROM (SELECT page_id, body, CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVE
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return capture_histories(spark.read.parquet(f"{folder}/pages.parquet")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model_scores(documents(spark, folder))
