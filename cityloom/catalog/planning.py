@@ -108,8 +108,8 @@ METRICS = """m AS (SELECT p_partkey AS candidate_id, p_brand AS run,
  CASE WHEN p_partkey%11=0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS slope,
  CAST(p_partkey%100 AS DOUBLE)/100 AS flood_risk,
  CAST(p_partkey%7 AS DOUBLE)/100 AS penalty0 FROM part)"""
-CRITERIA = (mcda.Criterion("population_served", 0.5), mcda.Criterion("slope", 0.3, "cost"),
-            mcda.Criterion("flood_risk", 0.2, "cost", floor=0.1, ceiling=0.8))
+CRITERIA = (("population_served", 0.5), ("slope", 0.3, "cost"),
+            ("flood_risk", 0.2, "cost", "", 0.1, 0.8))
 
 
 def minmax_sql(col, cost=False, lo=None, hi=None, part=""):
@@ -135,7 +135,7 @@ SUM_SCORE = "round_even(n1*0.5,6)+round_even(n2*0.3,6)+round_even(n3*0.2,6)-pena
 @query(f"""{NORMED} SELECT candidate_id, round_even(least(1,greatest(0,{SUM_SCORE})),6) AS score,
  round_even({SUM_SCORE},6) AS raw_score, round_even(penalty0,6) AS penalty FROM n""")
 def score_weighted_sum(spark, d):
-    out = mcda.score(part_metrics(spark, d), mcda.Profile("p", CRITERIA), "penalty0")
+    out = mcda.score(part_metrics(spark, d), mcda.profile(spark, *CRITERIA), "penalty0")
     return out.select("candidate_id", "score", "raw_score", "penalty")
 
 
@@ -146,8 +146,9 @@ def score_weighted_sum(spark, d):
  *pow(greatest(n2,1e-6),0.3)*pow(greatest(n3,1e-6),0.2)-penalty0)),6) AS score FROM n""")
 def score_weighted_product(spark, d):
     """Many runs at once: every brand is scored against itself."""
-    prof = mcda.Profile("p", CRITERIA, "weighted_product")
-    out = mcda.score(part_metrics(spark, d), prof, "penalty0", by=["run"])
+    prof = mcda.profile(spark, *CRITERIA)
+    out = mcda.score(part_metrics(spark, d), prof, "penalty0", by=["run"],
+                     aggregation="weighted_product")
     return out.select("run", "candidate_id", "score")
 
 
@@ -156,8 +157,8 @@ def score_weighted_product(spark, d):
  SELECT candidate_id, round_even(n1*0.5,6) AS population, round_even(n2*0.3,6) AS slope,
  round_even(n3*0.2,6) AS flood FROM n""")
 def normalize_zscore(spark, d):
-    prof = mcda.Profile("p", CRITERIA, normalization="zscore_clipped")
-    out = mcda.score(part_metrics(spark, d), prof)
+    prof = mcda.profile(spark, *CRITERIA)
+    out = mcda.score(part_metrics(spark, d), prof, normalization="zscore_clipped")
     c = F.col("criteria")
     return out.select("candidate_id", *[
         c[n]["contribution"].alias(a) for n, a in (
@@ -168,7 +169,7 @@ def normalize_zscore(spark, d):
  AS score FROM n) SELECT candidate_id, row_number() OVER (ORDER BY score DESC, candidate_id)
  AS rank FROM s""")
 def rank_candidates(spark, d):
-    out = mcda.score(part_metrics(spark, d), mcda.Profile("p", CRITERIA), "penalty0")
+    out = mcda.score(part_metrics(spark, d), mcda.profile(spark, *CRITERIA), "penalty0")
     return mcda.rank(out).select("candidate_id", "rank")
 
 
@@ -177,14 +178,14 @@ def rank_candidates(spark, d):
  AS rank FROM s) SELECT score AS median_score FROM r
  WHERE rank=(SELECT count(*) FROM s)//2+1""")
 def median_score(spark, d):
-    out = mcda.score(part_metrics(spark, d), mcda.Profile("p", CRITERIA), "penalty0")
+    out = mcda.score(part_metrics(spark, d), mcda.profile(spark, *CRITERIA), "penalty0")
     return mcda.middle_score(mcda.rank(out))
 
 
 @query(f"""{NORMED} SELECT candidate_id, round_even(n1*0.5,6) AS population_served,
  round_even(n2*0.3,6) AS slope, round_even(population_served,3) AS raw FROM n""")
 def flatten_breakdown(spark, d):
-    out = mcda.score(part_metrics(spark, d), mcda.Profile("p", CRITERIA))
+    out = mcda.score(part_metrics(spark, d), mcda.profile(spark, *CRITERIA))
     m = out.withColumn("b", mcda.flatten_breakdown())
     return m.select("candidate_id", F.col("b")["population_served"].alias("population_served"),
                     F.col("b")["slope"].alias("slope"),
@@ -236,24 +237,40 @@ def weights_to_profile(spark, d):
         "o_custkey AS planner", "CASE o_orderpriority WHEN '1-URGENT' THEN ' Population' "
         "WHEN '2-HIGH' THEN 'Flood risk' WHEN '3-MEDIUM' THEN 'Coverage' WHEN '5-LOW' THEN "
         "'FLOOD' ELSE 'noise' END AS label", "floor(o_totalprice/1000)-100D AS weight")
-    out = mcda.label_weights(labels, mcda.criteria_catalogue(spark), ["planner"])
+    out = mcda.label_weights(labels, mcda.known_labels(spark), ["planner"])
     return out.select("planner", "metric", "direction", F.round("weight", 6).alias("weight"))
 
 
-@query(with_layers("parcel") + """, t AS (SELECT id AS parcel_id,
- least(100,70+(id*3)%28) AS pc, least(100,65+(id*5)%32) AS ac,
- greatest(0,100-coalesce(slope,2e0)*5) AS ls,
- greatest(0,(1-coalesce(flood_risk,0.05e0))*100) AS fs, 800e0+(id*150)%2500 AS dist FROM parcel),
- u AS (SELECT *, 0.30e0*pc+0.20e0*ac+0.20e0*ls+0.15e0*fs+0.10e0*least(100,dist/3000e0*100)
- +0.05e0*90 AS total FROM t)
+LABELS = """WITH l AS (SELECT o_custkey AS planner, CASE o_orderkey%5 WHEN 0 THEN 'Slope ' WHEN 1
+ THEN 'colour' ELSE 'area' END AS label, CASE o_orderkey%3 WHEN 0 THEN 'much' WHEN 1 THEN '-2'
+ ELSE '4' END AS weight FROM orders)"""
+
+
+@query(LABELS + """ SELECT planner, label, CASE WHEN label='colour' THEN 'unknown label' WHEN weight='much'
+ THEN 'no number' ELSE 'negative, counted as 0' END AS note FROM l
+ WHERE label='colour' OR weight<>'4'""")
+def profile_notes(spark, d):
+    labels = table(spark, d, "orders").selectExpr(
+        "o_custkey AS planner", "CASE o_orderkey%5 WHEN 0 THEN 'Slope ' WHEN 1 THEN 'colour' "
+        "ELSE 'area' END AS label", "CASE o_orderkey%3 WHEN 0 THEN 'much' WHEN 1 THEN '-2' "
+        "ELSE '4' END AS weight")
+    return mcda.label_notes(labels, mcda.known_labels(spark), ["planner"])
+
+
+@query(with_layers("parcel", "zone", "facility") + """, t AS (SELECT p.id AS parcel_id,
+ greatest(0,100-coalesce(slope,2e0)*5) AS land, greatest(0,(1-coalesce(flood_risk,0.05e0))*100) AS dry,
+ CASE status WHEN 'vacant' THEN 100e0 WHEN 'under_development' THEN 60e0 ELSE 0e0 END AS free
+ FROM parcel p), u AS (SELECT *, 0.5e0*land+0.3e0*dry+0.2e0*free AS total FROM t)
  SELECT parcel_id, round_even(total,1) AS score, CASE WHEN total>=80 THEN 'Highly Suitable'
- WHEN total>=65 THEN 'Suitable' ELSE 'Conditional' END AS recommendation FROM u
- ORDER BY round_even(total,1) DESC, parcel_id LIMIT 25""")
+ WHEN total>=65 THEN 'Suitable' ELSE 'Conditional' END AS recommendation FROM u""")
 def older_site_score(spark, d):
     p = layer(spark, d, "parcel").selectExpr(
-        "id AS parcel_id", "coalesce(slope, 2D) AS slope",
-        "coalesce(flood_risk, 0.05D) AS flood_risk")
-    return mcda.older_site_score(p, 25).select("parcel_id", "score", "recommendation")
+        "id AS parcel_id", "greatest(0D, 100D - coalesce(slope, 2D) * 5D) AS land",
+        "greatest(0D, (1D - coalesce(flood_risk, 0.05D)) * 100D) AS dry",
+        "CASE status WHEN 'vacant' THEN 100D WHEN 'under_development' THEN 60D ELSE 0D END AS free")
+    out = mcda.banded_score(p, {"land": 0.5, "dry": 0.3, "free": 0.2},
+                            ((80.0, "Highly Suitable"), (65.0, "Suitable")), "Conditional")
+    return out.select("parcel_id", "score", "recommendation")
 
 
 # ------------------------------------------------------------------ site search

@@ -44,10 +44,13 @@ class Requirements:
 def site_suitability(parcels: DataFrame, req: Requirements, *,
                      constraint_layer: DataFrame | None = None,
                      zones: DataFrame | None = None, facilities: DataFrame | None = None,
-                     times: DataFrame | None = None, profile: mcda.Profile | None = None,
-                     weights: dict | None = None) -> SiteSearch:
-    """``constraint_layer`` is ``c_``-prefixed (see ``constraint_hits``)."""
-    profile = profile or mcda.profile_from_labels(weights, req.facility_type)[0]
+                     times: DataFrame | None = None, profile: DataFrame | None = None,
+                     labels: DataFrame | None = None) -> SiteSearch:
+    """``constraint_layer`` is ``c_``-prefixed (see ``constraint_hits``). ``profile`` is a profile table;
+    else a planner's ``labels`` (label, weight), else the built-in one of the facility type."""
+    if profile is None:
+        profile = (mcda.builtin_profile(parcels.sparkSession, req.facility_type) if labels is None
+                   else mcda.planner_profile(labels, req.facility_type))
     parcels = parcels if "area" in parcels.columns else parcels.withColumn(
         "area", g.box_area(*BOX))
     hits = None if constraint_layer is None else constraints.constraint_hits(

@@ -138,18 +138,21 @@ def test_pareto_in_blocks(spark):
 def test_normalise_flat_and_null(spark):
     df = spark.createDataFrame([(1, 5.0, None), (2, 5.0, 3.0), (3, 5.0, 1.0)],
                                "candidate_id int, flat double, gap double")
-    prof = mcda.Profile("p", (mcda.Criterion("flat", 0.5), mcda.Criterion("gap", 0.5)))
+    prof = mcda.profile(spark, ("flat", 0.5), ("gap", 0.5))
     got = {r.candidate_id: r.score for r in mcda.score(df, prof).collect()}
     assert got == {1: 0.25, 2: 0.75, 3: 0.25}
 
 
-def test_profile_from_labels():
-    prof, notes = mcda.profile_from_labels({"Flood risk": 30, "flood": 10, "Population": 60,
-                                            "slope": -5, "colour": 3, "area": "x"})
-    assert {c.name: round(c.weight, 3) for c in prof.criteria} == {
-        "flood_risk": 0.4, "population_served": 0.6}
-    assert len(notes) == 3
-    assert mcda.profile_from_labels({"slope": 0})[0].name == "hospital"
+def test_planner_profile(spark):
+    labels = spark.createDataFrame([("Flood risk", "30"), ("flood", "10"), (" Population", "60"),
+                                    ("slope", "-5"), ("colour", "3"), ("area", "x")], "label string, weight string")
+    prof = mcda.planner_profile(labels, "hospital").collect()
+    assert {r.metric: round(r.weight, 3) for r in prof} == {"flood_risk": 0.4, "population_served": 0.6}
+    notes = mcda.label_notes(labels, mcda.known_labels(spark)).collect()
+    assert {r.label: r.note for r in notes} == {
+        "slope": "negative, counted as 0", "colour": "unknown label", "area": "no number"}
+    none = mcda.planner_profile(labels.where("label = 'slope'"), "hospital")
+    assert none.count() == mcda.builtin_profile(spark, "hospital").count()
 
 
 def test_attribute_rule_nulls(spark):
