@@ -9,7 +9,7 @@ from ..fixed_values import (FACILITY_CATEGORY, INGEST_CAPACITY, INGEST_RADIUS, I
 from ..functions import geometry as g
 from ..operators import network
 from ..operators.overlay import BOX
-from ..sources import overpass
+from ..sources import codec, overpass
 from ..sources.layers import layer, table, with_layers
 from . import query
 
@@ -99,7 +99,7 @@ def extract_roads(spark, d):
  {cases(f"coalesce({HIGHWAY},'residential')", INGEST_SPEEDS, '30')} AS speed_limit,
  CASE p_partkey%5 WHEN 0 THEN 4 WHEN 2 THEN 1 ELSE 2 END*600 AS capacity FROM part""")
 def ingest_roads(spark, d):
-    return overpass.ingest_roads(elements(spark, d).where("pos = 0")).select(
+    return overpass.ingest_roads(elements(spark, d)).select(
         "id", "road_class", "lanes", "speed_limit", "capacity")
 
 
@@ -108,7 +108,7 @@ def ingest_roads(spark, d):
  {cases('type', INGEST_CAPACITY, '50')} AS capacity, {cases('type', INGEST_RADIUS, '2000e0')}
  AS service_radius_m FROM t WHERE type IN ('hospital','school','police')""")
 def ingest_facilities(spark, d):
-    return overpass.ingest_facilities(elements(spark, d).where("pos = 0")).select(
+    return overpass.ingest_facilities(elements(spark, d)).select(
         "id", "type", "name", "capacity", "service_radius_m")
 
 
@@ -129,7 +129,7 @@ LV = "CASE p_partkey%7 WHEN 0 THEN 4e0 WHEN 1 THEN 3715e0 WHEN 2 THEN 2.9e0 END"
  CASE how WHEN 1 THEN 0.95e0 WHEN 2 THEN 0.85e0 ELSE 0.35e0 END AS confidence,
  CAST(round_even(least(5000,a*floors/20e0),0) AS INTEGER) AS population_estimate FROM w""")
 def ingest_buildings(spark, d):
-    e = elements(spark, d).where("pos = 0").join(
+    e = elements(spark, d).join(
         table(spark, d, "part").select(F.col("p_partkey").alias("id"),
                                        ((F.col("p_size") + 1) * (F.col("p_size") + 1))
                                        .cast("double").alias("m2")), "id")
@@ -142,7 +142,7 @@ def ingest_buildings(spark, d):
  AND p_partkey%13<>1) SELECT id, land_use, {cases('land_use', INGEST_ZONING, "'R1'")} AS zoning,
  'vacant' AS development_status FROM t WHERE land_use IS NOT NULL""")
 def ingest_parcels(spark, d):
-    return overpass.ingest_parcels(elements(spark, d).where("pos = 0")).select(
+    return overpass.ingest_parcels(elements(spark, d)).select(
         "id", "land_use", "zoning", "development_status")
 
 
@@ -167,7 +167,7 @@ def layer_report(spark, d):
     e = elements(spark, d)
     n = e.agg(F.count(F.lit(1)).alias("n"))
     fetched = n.withColumn("layer", F.explode(F.array(F.lit("facilities"), F.lit("water"))))
-    one = e.where("pos = 0")
+    one = e
     written = (overpass.ingest_facilities(one).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "layer", F.lit("facilities")).unionByName(overpass.ingest_water(one).agg(
             F.count(F.lit(1)).alias("n")).withColumn("layer", F.lit("water"))))
@@ -233,3 +233,23 @@ def road_deltas(spark, d):
     changed = p.where("p_size%10=7").select(F.col("p_partkey").alias("id"),
                                             F.lit(120.0).alias("speed"))
     return network.apply_road_deltas(base, added, removed, changed)
+
+
+PARTS = """, s AS (SELECT id, maxx-minx AS w, maxy-miny AS h FROM parcel)"""
+
+
+@query(with_layers("parcel") + PARTS + """ SELECT id, round(2*w*h-w*h/4,2) AS area, 2 AS n_parts,
+ 1 AS holes, true AS valid FROM s""")
+def two_part_polygons(spark, d):
+    """Every parcel as text of two parts, the first with a hole and all rings turned the wrong way."""
+    def ring(x0, y0, x1, y1, flip=False):
+        at = [(x0, y0), (x0, y1), (x1, y1), (x1, y0), (x0, y0)]
+        return "concat('(', " + ", ', ', ".join(f"{x}, ' ', {y}" for x, y in (at[::-1] if flip else at)) + ", ')')"
+    w, h = "(maxx-minx)", "(maxy-miny)"
+    hole = ring(f"minx+{w}/4", f"miny+{h}/4", f"maxx-{w}/4", f"maxy-{h}/4", True)
+    text = (f"concat('MULTIPOLYGON((', {ring('minx', 'miny', 'maxx', 'maxy')}, ', ', {hole}, '), (', "
+            f"{ring(f'minx+2*{w}', 'miny', f'maxx+2*{w}', 'maxy')}, '))')")
+    shapes = codec.decoded(layer(spark, d, "parcel").select("id", F.expr(text).alias("text")), "text")
+    done = overpass.repair_polygons(shapes)
+    return done.select("id", F.round(g.area("rings"), 2).alias("area"), F.size(g.parts("rings")).alias("n_parts"),
+                       F.size(F.filter("outer", lambda o: ~o)).alias("holes"), "valid")

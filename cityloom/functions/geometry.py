@@ -110,6 +110,16 @@ def area(rings) -> Column:
     return _sum(F.transform(_c(rings), ring_area))
 
 
+def parts(rings) -> Column:
+    """Rings grouped by part: a counter-clockwise ring begins one, clockwise rings are its holes."""
+    return F.aggregate(
+        _c(rings), F.array().cast("array<array<array<struct<x:double,y:double>>>>"),
+        lambda acc, r: F.when(ring_area(r) > 0, F.concat(acc, F.array(F.array(r)))).otherwise(
+            let(F.size(acc), lambda n: F.when(n == 0, acc).otherwise(F.concat(
+                F.slice(acc, F.lit(1), n - 1),
+                F.array(F.concat(F.element_at(acc, -1), F.array(r))))))))
+
+
 def length(rings) -> Column:
     return _sum(F.transform(all_edges(rings), lambda e: F.hypot(
         e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
@@ -469,6 +479,18 @@ def convex_hull(points) -> Column:
     return let(ring, lambda r: F.concat(r, F.slice(r, 1, 1)))
 
 
+def grown_hull(rings, distance, quarter_segments: int = 16) -> Column:
+    """Closed convex ring around the convex hull of ``rings``, grown by ``distance`` with rounded
+    corners: the hull of a regular polygon set on every vertex of the hull."""
+    n, d = 4 * quarter_segments, _c(distance)
+    corners = F.lit([math.cos(2 * math.pi * i / n) for i in range(n)]), F.lit(
+        [math.sin(2 * math.pi * i / n) for i in range(n)])
+    hull = convex_hull(F.flatten(_c(rings)))
+    spread = F.flatten(F.transform(hull, lambda v: F.zip_with(
+        *corners, lambda c, s: vertex(v["x"] + d * c, v["y"] + d * s))))
+    return let(spread, convex_hull)
+
+
 def interpolate(line, distance) -> Column:
     """Vertex at a distance along a line."""
     def between(e, m, seg, d):

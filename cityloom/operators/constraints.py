@@ -76,14 +76,19 @@ def constraint_hits(parcels: DataFrame, constraints: DataFrame, *, key: Sequence
     """Parcel x constraint pairs that meet, with the share of the parcel covered.
 
     ``parcels``: key, area, bounds (and ``rings``); ``constraints``: ``c_``-prefixed
-    ``c_type, c_severity, c_weight, c_buffer`` and bounds (and ``c_rings``).
+    ``c_type, c_severity, c_weight, c_buffer`` and bounds (and ``c_rings``). The share is that of
+    the buffered constraint; the buffer around rings is that of their convex hull, which is exact for
+    convex shapes and an upper bound for others (whether a pair meets is always exact).
     """
     cb = pbox("c_")
     buffer = F.coalesce(F.col("c_buffer"), F.lit(0.0))
     if rings:
+        # Grown once a constraint, not once a pair.
+        constraints = constraints.withColumn("c_grown", F.when(buffer > 0, g.grown_hull("c_rings", buffer)))
         meets = F.when(buffer > 0, g.shape_distance("c_rings", "rings") <= buffer).otherwise(
             g.intersects("rings", "c_rings"))
-        shared = g.overlap_area("rings", "c_rings")
+        shared = F.when(buffer > 0, g.clip_area_rings("rings", "c_grown")).otherwise(
+            g.overlap_area("rings", "c_rings"))
     else:
         meets = g.box_box_distance(cb, BOX) <= buffer
         shared = F.when(buffer > 0, g.ring_area_in_box(g.buffered_box_ring(

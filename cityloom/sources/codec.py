@@ -5,21 +5,37 @@ from __future__ import annotations
 import re
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_VERTEX = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-SHAPE = T.StructType([
+_LISTS = T.ArrayType(T.ArrayType(T.DoubleType()))
+_RAW = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("srid", T.IntegerType()),
-    T.StructField("rings", T.ArrayType(T.ArrayType(_VERTEX)))])
+    T.StructField("xs", _LISTS), T.StructField("ys", _LISTS),
+    T.StructField("outer", T.ArrayType(T.BooleanType()))])
 _KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString",
           6: "MultiPolygon"}
 _NUMBER = re.compile(r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?")
+_POLYGON = re.compile(r"\(\s*(\([^()]*\)(?:\s*,\s*\([^()]*\))*)\s*\)")
 
 
-def _from_wkb(data: bytes):
+def _shape(kind: int, srid: int | None, rings: list[np.ndarray], outer: list[bool]) -> dict:
+    """One decoded value. Outer rings of polygons run counter-clockwise and holes clockwise, so
+    that areas add up and the parts of a multi-polygon stay apart."""
+    if kind in (3, 6):
+        def turned(r, out):
+            x, y = r[:, 0], r[:, 1]
+            area = np.sum(x[:-1] * y[1:] - x[1:] * y[:-1]) + x[-1] * y[0] - x[0] * y[-1]
+            return r[::-1] if (area < 0) == out and area != 0 else r
+        rings = [turned(r, out) if len(r) else r for r, out in zip(rings, outer, strict=True)]
+    return {"kind": _KINDS[kind], "srid": srid, "xs": [r[:, 0] for r in rings],
+            "ys": [r[:, 1] for r in rings], "outer": outer}
+
+
+def _from_wkb(data: bytes) -> dict:
     pos = 0
 
     def shape():
@@ -31,7 +47,7 @@ def _from_wkb(data: bytes):
         if code & 0x20000000:
             srid = struct.unpack_from(order + "i", data, pos)[0]
             pos += 4
-        extra = bool(code & 0x80000000) + bool(code & 0x40000000)
+        width = 2 + bool(code & 0x80000000) + bool(code & 0x40000000)
         kind = code & 0xFF
 
         def count():
@@ -40,38 +56,42 @@ def _from_wkb(data: bytes):
             pos += 4
             return n
 
-        def points(n):
+        def run(n):
             nonlocal pos
-            width = 2 + extra
-            flat = struct.unpack_from(f"{order}{n * width}d", data, pos)
+            flat = np.frombuffer(data, f"{order}f8", n * width, pos).reshape(n, width)
             pos += 8 * n * width
-            return [{"x": flat[i], "y": flat[i + 1]} for i in range(0, n * width, width)]
+            return flat[:, :2]
         if kind == 1:
-            rings = [points(1)]
-        elif kind == 2:
-            rings = [points(count())]
-        elif kind == 3:
-            rings = [points(count()) for _ in range(count())]
-        else:
-            rings = [r for _ in range(count()) for r in shape()[2]]
-        return kind, srid, rings
-    kind, srid, rings = shape()
-    return {"kind": _KINDS[kind], "srid": srid, "rings": rings}
-
-
-def _from_wkt(text: str):
+            return kind, srid, [run(1)], [True]
+        if kind == 2:
+            return kind, srid, [run(count())], [True]
+        if kind == 3:
+            rings = [run(count()) for _ in range(count())]
+            return kind, srid, rings, [i == 0 for i in range(len(rings))]
+        parts = [shape() for _ in range(count())]
+        return kind, srid, [r for p in parts for r in p[2]], [o for p in parts for o in p[3]]
+    return _shape(*shape())
+
+
+def _from_wkt(text: str) -> dict:
     srid = None
     if text.upper().startswith("SRID="):
         head, text = text.split(";", 1)
         srid = int(head[5:])
     name = text.split("(", 1)[0].strip().split(" ")[0].upper()
-    kind = next(k for k in _KINDS.values() if k.upper() == name)
+    kind = next(k for k, v in _KINDS.items() if v.upper() == name)
+
+    def ring(group: str) -> np.ndarray:
+        return np.array([[float(v) for v in _NUMBER.findall(p)[:2]] for p in group.split(",")]).reshape(-1, 2)
     groups = re.findall(r"\(([^()]*)\)", text)
-    if kind == "MultiPoint" and len(groups) > 1:
-        groups = [", ".join(groups)]
-    rings = [[dict(zip("xy", map(float, _NUMBER.findall(p)))) for p in gr.split(",")]
-             for gr in groups]
-    return {"kind": kind, "srid": srid, "rings": rings}
+    outer = [True] * len(groups)
+    if kind in (3, 6):
+        parts = [re.findall(r"\(([^()]*)\)", p) for p in _POLYGON.findall(text)]
+        groups = [g for p in parts for g in p]
+        outer = [i == 0 for p in parts for i in range(len(p))]
+    elif kind == 4 and len(groups) > 1:
+        groups, outer = [", ".join(groups)], [True]
+    return _shape(kind, srid, [ring(g) for g in groups], outer)
 
 
 def _decode_one(value):
@@ -88,21 +108,26 @@ def _decode_one(value):
         return None
 
 
-@F.pandas_udf(SHAPE)
+@F.pandas_udf(_RAW)
 def _decode(values: pd.Series) -> pd.DataFrame:
-    rows = [_decode_one(v) or {"kind": None, "srid": None, "rings": None} for v in values]
-    return pd.DataFrame(rows, columns=["kind", "srid", "rings"])
+    names = _RAW.fieldNames()
+    rows = [_decode_one(v) or dict.fromkeys(names) for v in values]
+    return pd.DataFrame(rows, columns=names)
 
 
 def decode(column: str | Column) -> Column:
-    """EWKT / WKT text, hexadecimal or binary (E)WKB to ``kind, srid, rings``; what cannot
-    be read has a NULL kind."""
-    return _decode(F.col(column) if isinstance(column, str) else column)
+    """EWKT / WKT text, hexadecimal or binary (E)WKB to ``kind, srid, rings, outer``; what cannot
+    be read has a NULL kind. ``outer`` tells for each ring whether it begins a part (else it is a
+    hole of the part before)."""
+    raw = _decode(F.col(column) if isinstance(column, str) else column)
+    rings = F.zip_with(raw["xs"], raw["ys"], lambda xs, ys: F.zip_with(
+        xs, ys, lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
+    return F.struct(raw["kind"].alias("kind"), raw["srid"].alias("srid"), rings.alias("rings"),
+                    raw["outer"].alias("outer"))
 
 
 def decoded(df: DataFrame, column: str) -> DataFrame:
     """Ingest step: decode, drop what is missing, unreadable or empty."""
     out = df.withColumn("_shape", decode(column)).select(
-        *[c for c in df.columns if c != column], F.col("_shape.kind").alias("kind"),
-        F.col("_shape.srid").alias("srid"), F.col("_shape.rings").alias("rings"))
+        *[c for c in df.columns if c != column], "_shape.*")
     return out.where(F.col("kind").isNotNull() & (F.size(F.flatten("rings")) > 0))

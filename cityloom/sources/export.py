@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import BUILDING_COLOURS, DEFAULT_COLOUR
+from ..functions.geometry import parts
 from .city import default_height, scan
 
 # Layers that may be exported and the columns they show.
@@ -35,6 +36,9 @@ def geometry(kind: str, rings: str | Column = "rings") -> Column:
         coordinates = F.element_at(pairs, 1)
     elif kind in ("Polygon", "MultiLineString"):
         coordinates = pairs
+    elif kind == "MultiPolygon":
+        coordinates = F.transform(parts(r), lambda part: F.transform(
+            part, lambda ring: F.transform(ring, lambda v: F.array(v["x"], v["y"]))))
     else:
         raise ValueError(f"unsupported kind: {kind}")
     return F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))

@@ -34,7 +34,8 @@ def with_node_geometry(elements: DataFrame) -> DataFrame:
     """Ways that carry node references get the positions of those nodes. A way has at most
     a few thousand nodes, so its list fits one row."""
     spots = elements.where("type = 'node'").groupBy(F.col("id").alias("_n")).agg(
-        F.first("lat").alias("lat"), F.first("lon").alias("lon"))
+        F.min_by(F.struct("lat", "lon"), F.struct("file", "pos")).alias("_p")).select(
+        "_n", "_p.lat", "_p.lon")
     refs = elements.where("type = 'way' AND geometry IS NULL AND nodes IS NOT NULL").select(
         F.col("id").alias("_way"), F.posexplode("nodes").alias("_i", "_n")).distinct()
     found = refs.join(spots, "_n").groupBy("_way").agg(F.transform(
@@ -122,9 +123,8 @@ def extract_layer(elements: DataFrame, layer: str, region: str | None = None) ->
         polygon = layer in ("buildings", "landuse")
         e = e.withColumn("_r", way_rings(polygon)).where("_r IS NOT NULL")
         shape = [F.col("_r").alias("rings")]
-    row = F.struct(F.substring(F.coalesce(_tag("name"), F.lit("")), 1, 200).alias("name"),
-                   F.substring(kind, 1, 80).alias("kind"),
-                   F.substring(category, 1, 80).alias("category"), *shape)
+    row = F.struct(F.coalesce(_tag("name"), F.lit("")).alias("name"), kind.alias("kind"),
+                   category.alias("category"), *shape)
     order = F.struct(*[F.col(c) for c in ("file", "pos") if c in e.columns])
     first = e.groupBy(F.col("id").alias("osm_id"), "type").agg(F.min_by(row, order).alias("r"))
     out = first.select("osm_id", "r.*")
@@ -133,11 +133,21 @@ def extract_layer(elements: DataFrame, layer: str, region: str | None = None) ->
 
 
 # ------------------------------------------------------------------ pilot ingestion
+def first_arrivals(elements: DataFrame) -> DataFrame:
+    """One row for each (id, type): the one that arrived first, by file and position."""
+    order = [F.col(c) for c in ("file", "pos") if c in elements.columns]
+    if not order:
+        return elements
+    rest = [c for c in elements.columns if c not in ("id", "type")]
+    return elements.groupBy("id", "type").agg(
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("_e")).select("id", "type", "_e.*")
+
+
 def ingest_roads(edges: DataFrame) -> DataFrame:
     """Tagged edges to road rows (class, lanes, speed, capacity, surface, one-way)."""
     cls = F.coalesce(_tag("highway"), F.lit("residential"))
     lanes = F.when(_tag("lanes").rlike("^[0-9]+$"), _tag("lanes").cast("int")).otherwise(2)
-    return edges.withColumns({
+    return first_arrivals(edges).withColumns({
         "road_class": cls, "lanes": lanes, "width_m": F.lit(7.0),
         "speed_limit": lookup(INGEST_SPEEDS, cls, 30), "capacity": lanes * 600,
         "surface": F.coalesce(_tag("surface"), F.lit("asphalt")),
@@ -146,11 +156,10 @@ def ingest_roads(edges: DataFrame) -> DataFrame:
 
 def ingest_facilities(elements: DataFrame) -> DataFrame:
     kind = _tag("amenity")
-    rows = elements.where(kind.isin(list(INGEST_AMENITIES))).withColumn("_p", element_point())
+    rows = first_arrivals(elements).where(kind.isin(list(INGEST_AMENITIES))).withColumn("_p", element_point())
     return rows.where("_p IS NOT NULL").select(
         "id", kind.alias("type"),
-        F.substring(F.coalesce(_tag("name"), F.concat(F.lit("Unnamed "), kind)), 1, 255)
-        .alias("name"),
+        F.coalesce(_tag("name"), F.concat(F.lit("Unnamed "), kind)).alias("name"),
         lookup(INGEST_CAPACITY, kind, 50).alias("capacity"),
         lookup(INGEST_RADIUS, kind, 2000.0).alias("service_radius_m"),
         F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
@@ -182,7 +191,7 @@ def height_model(area: Column, key: Column) -> Column:
 
 def ingest_buildings(elements: DataFrame, area: Column) -> DataFrame:
     """Buildings with modelled height and about 20 m2 of floor per person."""
-    rows = elements.where(_tag("building").isNotNull()).withColumn("_area", area)
+    rows = first_arrivals(elements).where(_tag("building").isNotNull()).withColumn("_area", area)
     rows = rows.withColumn("_h", height_model(F.col("_area"), F.col("id")))
     people = F.bround(F.least(F.lit(5000.0), F.greatest(
         F.lit(0.0), F.col("_area") * F.col("_h.floors") / 20.0)))
@@ -194,7 +203,7 @@ def ingest_buildings(elements: DataFrame, area: Column) -> DataFrame:
 
 
 def ingest_water(elements: DataFrame) -> DataFrame:
-    return elements.where(_tag("natural") == "water").withColumn("rings", way_rings(True)).where(
+    return first_arrivals(elements).where(_tag("natural") == "water").withColumn("rings", way_rings(True)).where(
         "rings IS NOT NULL").select("id", F.coalesce(_tag("water"), F.lit("lake")).alias("type"),
                                     F.lit("perennial").alias("seasonality"), "rings")
 
@@ -202,7 +211,7 @@ def ingest_water(elements: DataFrame) -> DataFrame:
 def ingest_parcels(elements: DataFrame) -> DataFrame:
     """Land-use polygons to parcels: derived zoning, planning defaults, one row per part."""
     use = _tag("landuse")
-    return elements.where(use.isNotNull()).withColumn("rings", way_rings(True)).where(
+    return first_arrivals(elements).where(use.isNotNull()).withColumn("rings", way_rings(True)).where(
         "rings IS NOT NULL").select(
         "id", use.alias("land_use"), lookup(INGEST_ZONING, use, "R1").alias("zoning"),
         F.lit("vacant").alias("development_status"), F.lit(2.0).alias("slope_deg"),
@@ -248,7 +257,8 @@ def clean(features: DataFrame, shape: str = "rings") -> DataFrame:
 def repair_polygons(features: DataFrame, shape: str = "rings",
                     is_polygon: Column | None = None) -> DataFrame:
     """Close and orient rings of polygons, drop repeated vertices, flag what stays invalid.
-    Lines and points are never touched."""
+    Lines and points are never touched. A column ``outer`` (see ``codec.decode``) tells which rings
+    begin a part; without it only the first does."""
     def fix(r):
         def put(acc, v):
             last = F.try_element_at(acc, F.lit(-1))
@@ -260,9 +270,11 @@ def repair_polygons(features: DataFrame, shape: str = "rings",
             return ring
         return g.let(F.aggregate(r, g.no_vertices(), put), close)
 
+    first = (lambda i: F.get("outer", i)) if "outer" in features.columns else (lambda i: i == 0)
+
     def orient(r, i):
         a = g.ring_area(r)
-        flip = F.when(i == 0, a < 0).otherwise(a > 0)
+        flip = F.when(first(i), a < 0).otherwise(a > 0)
         return F.when(flip, F.reverse(r)).otherwise(r)
     poly = F.lit(True) if is_polygon is None else is_polygon
     fixed = F.transform(F.transform(F.col(shape), fix), orient)
@@ -271,20 +283,8 @@ def repair_polygons(features: DataFrame, shape: str = "rings",
 
 
 def single_parts(features: DataFrame, shape: str = "rings") -> DataFrame:
-    """One row per outer ring, with the holes inside it (counter-clockwise outer rings,
-    clockwise holes)."""
-    parts = F.aggregate(
-        F.col(shape), F.array().cast("array<array<array<struct<x:double,y:double>>>>"),
-        lambda acc, r: F.when(g.ring_area(r) > 0, F.concat(acc, F.array(F.array(r)))).otherwise(
-            g.let(F.size(acc), lambda n: F.when(n == 0, acc).otherwise(F.concat(
-                F.slice(acc, F.lit(1), n - 1),
-                F.array(F.concat(F.element_at(acc, -1), F.array(r))))))))
-    return features.withColumn(shape, F.explode(parts))
-
-
-def as_multi(rings: Column) -> Column:
-    """A single ring or line as a one-part shape."""
-    return F.array(rings)
+    """One row per part: an outer ring (counter-clockwise) with its holes (clockwise)."""
+    return features.withColumn(shape, F.explode(g.parts(shape)))
 
 
 # ------------------------------------------------------------------------- reports

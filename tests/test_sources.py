@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as g
+from cityloom.operators import constraints
 from cityloom.sources import codec, export, overpass, regions, stores
 
 
@@ -107,3 +108,30 @@ def test_partition_reload_is_idempotent(spark, tmp_path):
 def test_unknown_layer_is_refused(spark):
     with pytest.raises(KeyError):
         export.features_geojson(spark.range(1), "secrets", "Point")
+
+
+def test_multi_part_shapes_stay_apart(spark):
+    two = "MULTIPOLYGON(((0 0,10 0,10 10,0 10,0 0)),((20 0,30 0,30 10,20 10,20 0),(21 1,22 1,22 2,21 2,21 1)))"
+    turned = "POLYGON((0 0,0 10,10 10,10 0,0 0))"
+    df = codec.decoded(spark.createDataFrame([(1, two), (2, turned)], "id int, g string"), "g")
+    before = {r.id: r.a for r in df.select("id", g.area("rings").alias("a")).collect()}
+    assert before == {1: 199.0, 2: 100.0}
+    fixed = overpass.repair_polygons(df)
+    got = {r.id: r for r in fixed.select("id", g.area("rings").alias("a"), "valid", F.to_json(
+        export.geometry("MultiPolygon")).alias("j")).collect()}
+    assert got[1].a == 199.0 and got[1].valid and got[2].a == 100.0
+    shape = json.loads(got[1].j)
+    assert [len(p) for p in shape["coordinates"]] == [1, 2]
+    assert sorted(r.a for r in overpass.single_parts(fixed).select(g.area("rings").alias("a")).collect()) == [99., 100., 100.]
+
+
+def test_buffered_ring_constraint_covers_like_a_box(spark):
+    def ring(x0, y0, x1, y1):
+        return [[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]
+    box = "minx double, miny double, maxx double, maxy double"
+    p = spark.createDataFrame([(1, 100., ring(12., 0., 22., 10.), 12., 0., 22., 10.)], f"id int, area double, rings {g.RINGS}, {box}")
+    c = spark.createDataFrame([(7, "x", "soft", .5, 5., ring(0., 0., 10., 10.), 0., 0., 10., 10.)],
+                              f"c_id int, c_type string, c_severity string, c_weight double, c_buffer double, c_rings {g.RINGS}, "
+                              + ", ".join("c_" + b for b in box.split(", ")))
+    both = [constraints.constraint_hits(p, c, key=["id"], rings=r).head().overlap for r in (False, True)]
+    assert abs(both[0] - 0.30) < 0.01 and abs(both[0] - both[1]) < 1e-6
