@@ -401,6 +401,22 @@ ALIGN = """al AS (SELECT p_partkey AS alignment_id, CAST((p_partkey*3571)%9900
  AS BIGINT) AS DOUBLE) AS ay, CAST(p_size*4 AS DOUBLE) AS len FROM part)"""
 
 
+def alignments(spark, d):
+    lines = table(spark, d, "part").selectExpr(
+        "p_partkey AS alignment_id",
+        "CAST((p_partkey*3571)%9900+10000*(CAST(floor(p_partkey/2000) AS BIGINT)%100) "
+        "AS DOUBLE) AS ax",
+        "CAST((p_partkey*28657)%9900+10000*CAST(floor(CAST(floor(p_partkey/2000) AS BIGINT)"
+        "/100) AS BIGINT) AS DOUBLE) AS ay", "CAST(p_size*4 AS DOUBLE) AS len")
+    return lines.select("alignment_id", F.array(F.array(
+        g.vertex("ax", "ay"), g.vertex(F.col("ax") + F.col("len"), "ay"))).alias("rings"))
+
+
+def footprints(spark, d):
+    return layer(spark, d, "building").select(
+        F.col("id").alias("b_id"), g.box_rings(*BOX).alias("b_rings"))
+
+
 @query(with_layers("constraint", "building").replace("constraint AS", "craw AS") +
        f""", cons AS (SELECT * EXCLUDE (severity), {SEVERITY_CASES} AS severity,
  {WEIGHT_CASES} AS weight FROM craw), {ALIGN},
@@ -415,19 +431,16 @@ ALIGN = """al AS (SELECT p_partkey AS alignment_id, CAST((p_partkey*3571)%9900
  coalesce(n,0) AS buildings_displaced FROM al LEFT JOIN ch USING (alignment_id)
  LEFT JOIN bh USING (alignment_id)""")
 def alignment_validation(spark, d):
-    lines = table(spark, d, "part").selectExpr(
-        "p_partkey AS alignment_id",
-        "CAST((p_partkey*3571)%9900+10000*(CAST(floor(p_partkey/2000) AS BIGINT)%100) "
-        "AS DOUBLE) AS ax",
-        "CAST((p_partkey*28657)%9900+10000*CAST(floor(CAST(floor(p_partkey/2000) AS BIGINT)"
-        "/100) AS BIGINT) AS DOUBLE) AS ay", "CAST(p_size*4 AS DOUBLE) AS len")
-    lines = lines.select("alignment_id", F.array(F.array(
-        g.vertex("ax", "ay"), g.vertex(F.col("ax") + F.col("len"), "ay"))).alias("rings"))
+    lines = alignments(spark, d)
     cons = constraint_layer(spark, d).select(
         "c_severity", "c_weight", g.box_rings("c_minx", "c_miny", "c_maxx", "c_maxy")
         .alias("c_rings"))
-    blds = layer(spark, d, "building").select(
-        F.col("id").alias("b_id"), g.box_rings(*BOX).alias("b_rings"))
-    out = constraints.validate_alignments(lines, cons, blds)
+    out = constraints.validate_alignments(lines, cons, footprints(spark, d))
     return out.select("alignment_id", "passed", "hard_crossings", "hard_crossing_m",
                       "soft_penalty", "buildings_displaced")
+
+
+@query(with_layers("building") + f""", {ALIGN} SELECT alignment_id, building.id AS b_id FROM al JOIN building
+ ON ay>=miny AND ay<=maxy AND ax<=maxx AND ax+len>=minx""")
+def displaced_buildings(spark, d):
+    return constraints.displaced_buildings(alignments(spark, d), footprints(spark, d))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..fixed_values import REGION_CAP, REGION_CAPS
 from ..functions import geometry as g
 from ..functions import projection, scalars
 from ..operators import aggregation, network
@@ -174,8 +175,8 @@ def region_inventory(spark, d):
  FROM ft) SELECT region, layer, id FROM rk WHERE rn<=CASE WHEN region='rotterdam' AND
  layer='buildings' THEN 1200 WHEN region='chandigarh' AND layer='buildings' THEN 1500 ELSE 3000 END""")
 def region_collection(spark, d):
-    """Map features with the per-layer caps of the feature itself."""
-    return regions.collection(features(spark, d)).select("region", "layer", "id")
+    """Map features: the first 3000 of each layer, fewer in dense regions."""
+    return regions.collection(features(spark, d), REGION_CAP, REGION_CAPS).select("region", "layer", "id")
 
 
 # ------------------------------------------------------------------------ exports

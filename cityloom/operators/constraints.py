@@ -172,26 +172,19 @@ def validate_alignments(lines: DataFrame, constraints: DataFrame, buildings: Dat
 
     ``constraints``: ``c_severity, c_weight, c_rings``; ``buildings``: ``b_id, b_rings``.
     A hard crossing fails the line and its crossing length is summed; a soft one adds its
-    full weight; displaced buildings are counted, at most 50 ids are listed.
+    full weight; displaced buildings are counted (:func:`displaced_buildings` has their ids).
     """
-    from .scan import top_per_group
-
     lines = lines.withColumns({c: g.bounds("rings")[c] for c in BOX})
     cons = constraints.withColumns({f"c_{c}": g.bounds("c_rings")[c] for c in BOX})
-    blds = buildings.withColumns({f"b_{c}": g.bounds("b_rings")[c] for c in BOX})
     hard = F.col("c_severity") == "hard"
     crossed = box_pairs(lines, cons, BOX, pbox("c_"),
                         condition=g.intersects("rings", "c_rings")).groupBy(key).agg(
         F.count_if(hard).alias("_hard"),
         F.sum(F.when(hard, length_inside("rings", "c_rings"))).alias("_crossed"),
         F.sum(F.when(~hard, F.col("c_weight"))).alias("_soft"))
-    touched = box_pairs(lines, blds, BOX, pbox("b_"),
-                        condition=g.intersects("rings", "b_rings")).select(key, "b_id")
-    counts = touched.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    ids = top_per_group(touched, [key], [F.col("b_id")], 50).groupBy(key).agg(
-        F.sort_array(F.collect_list("b_id")).alias("displaced_building_ids"))
+    counts = displaced_buildings(lines.select(key, "rings"), buildings, key=key).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     whole, simple = g.length("rings"), g.is_simple("rings")
-    df = lines.join(crossed, key, "left").join(counts, key, "left").join(ids, key, "left")
+    df = lines.join(crossed, key, "left").join(counts, key, "left")
     n = F.coalesce("_n", F.lit(0)).cast("long")
     hits = F.coalesce("_hard", F.lit(0)).cast("long")
     failed = F.array_compact(F.array(
@@ -204,7 +197,16 @@ def validate_alignments(lines: DataFrame, constraints: DataFrame, buildings: Dat
         hits.alias("hard_crossings"),
         half_even(F.coalesce("_crossed", F.lit(0.0)), 2).alias("hard_crossing_m"),
         half_even(F.coalesce("_soft", F.lit(0.0)), 6).alias("soft_penalty"),
-        n.alias("buildings_displaced"), "displaced_building_ids")
+        n.alias("buildings_displaced"))
+
+
+def displaced_buildings(lines: DataFrame, buildings: DataFrame, *,
+                        key: str = "alignment_id") -> DataFrame:
+    """``key, b_id``: a row for every building that a line crosses."""
+    lines = lines.withColumns({c: g.bounds("rings")[c] for c in BOX})
+    blds = buildings.withColumns({f"b_{c}": g.bounds("b_rings")[c] for c in BOX})
+    return box_pairs(lines, blds, BOX, pbox("b_"),
+                     condition=g.intersects("rings", "b_rings")).select(key, "b_id")
 
 
 def length_inside(line, polygon) -> Column:

@@ -191,7 +191,7 @@ def with_changes(headers: DataFrame, changes: DataFrame) -> DataFrame:
              .otherwise("zoning"))
     items = changes.select("scenario_id", "change_id", group.alias("type"), F.concat_ws(
         " ", "operation", "object_type").alias("label"),
-        F.substring("parameters", 1, 200).alias("detail"))
+        F.col("parameters").alias("detail"))
     valid = F.lower("status").isin("draft", "review", "approved", "reopened", "baseline")
     return headers.withColumns({
         "status": F.when(valid, F.lower("status")).otherwise("draft"),

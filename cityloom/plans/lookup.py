@@ -14,14 +14,15 @@ DISTANCES = {"plane": point_distance, "mercator": p.mercator_distance,
 
 
 def nearby(facilities: DataFrame, x: float, y: float, radius_m: float,
-           facility_type: str | None = None, limit: int = 10,
+           facility_type: str | None = None, limit: int | None = None,
            mode: str = "plane") -> DataFrame:
     """Facilities within a radius, nearest first. ``mode`` picks the metre: planar,
     Web-Mercator, local ground distance or degrees times 111 km."""
     df = facilities if facility_type is None else facilities.where(
         F.col("type") == facility_type)
     d = DISTANCES[mode]("x", "y", F.lit(float(x)), F.lit(float(y)))
-    best = df.withColumn("_d", d).where(F.col("_d") <= radius_m).orderBy("_d", "id").limit(limit)
+    best = df.withColumn("_d", d).where(F.col("_d") <= radius_m).orderBy("_d", "id")
+    best = best if limit is None else best.limit(limit)
     return best.withColumn("distance_m", half_even("_d", 2)).drop("_d")
 
 

@@ -45,7 +45,7 @@ def geometry(kind: str, rings: str | Column = "rings") -> Column:
 
 
 def features_geojson(table: DataFrame, layer: str, kind: str, bounds=None,
-                     limit: int | None = 500) -> DataFrame:
+                     limit: int | None = None) -> DataFrame:
     """One JSON text per feature; layers outside the list are refused."""
     if layer not in LAYER_COLUMNS:
         raise KeyError(layer)

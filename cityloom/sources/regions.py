@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import (DEFAULT_FLOORS, FLOOD_BUFFER_M, FLOOD_PROXY_RISK,
-                            FLOOR_AREA_PER_PERSON, NON_RESIDENTIAL, REGIONS, REGION_CAP,
-                            REGION_CAPS, REGION_LABELS, RESIDENTIAL, RESIDENTIAL_FRACTION)
+                            FLOOR_AREA_PER_PERSON, NON_RESIDENTIAL, REGIONS,
+                            REGION_LABELS, RESIDENTIAL, RESIDENTIAL_FRACTION)
 from ..functions.geometry import box_rings
 from ..functions.projection import utm_srid_of
 from ..operators.gridjoin import box_pairs
@@ -119,20 +119,20 @@ def loaded(features: DataFrame, region: str) -> bool:
     return len(features.where(F.col("region") == region).head(1)) > 0
 
 
-def collection(features: DataFrame, limit: int | None = None,
+def collection(features: DataFrame, limit: int, limits: dict[tuple[str, str], int] | None = None,
                dense: tuple[str, ...] = ("rotterdam", "chandigarh"),
                excluded_classes: tuple[str, ...] = ()) -> DataFrame:
-    """Features for one map per region: per-layer caps, buildings of dense regions largest
-    first, unwanted road classes left out (a missing class stays)."""
+    """The first ``limit`` features of each region and layer for a map (``limits`` has other numbers
+    for some of them), buildings of dense regions largest first, unwanted road classes left out (a
+    missing class stays)."""
     wanted = features.where(~((F.col("region") == "rotterdam") & (F.col("layer") == "roads")
                               & F.coalesce(F.col("kind").isin(list(excluded_classes)),
                                            F.lit(False)))) if excluded_classes else features
-    cap = F.lit(REGION_CAP if limit is None else limit)
-    if limit is None:
-        for (r, ly), n in REGION_CAPS.items():
-            cap = F.when((F.col("region") == r) & (F.col("layer") == ly), n).otherwise(cap)
+    cap = F.lit(limit)
+    for (r, ly), n in (limits or {}).items():
+        cap = F.when((F.col("region") == r) & (F.col("layer") == ly), n).otherwise(cap)
     by_size = F.col("region").isin(list(dense)) & (F.col("layer") == "buildings")
     order = F.when(by_size, -F.col("area")).otherwise(F.lit(0.0))
-    highest = REGION_CAP if limit is None else limit
+    highest = max([limit, *(limits or {}).values()])
     ranked = top_per_group(wanted, ["region", "layer"], [order, F.col("id")], highest, "_rn")
     return ranked.where(F.col("_rn") <= cap).drop("_rn")

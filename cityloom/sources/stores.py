@@ -55,17 +55,18 @@ class ResultStore:
         return self.rows().where(F.col("result_id") == result_id)
 
     def list_for_scenario(self, scenario_id: int, analysis_type: str | None = None,
-                          limit: int = 50) -> DataFrame:
+                          limit: int | None = None) -> DataFrame:
         return newest(self.rows().where(F.col("scenario_id") == scenario_id), analysis_type, limit)
 
     def find_by_hash(self, digest: str) -> DataFrame:
         return newest(by_hash(self.rows(), digest), None, 1)
 
 
-def newest(results: DataFrame, analysis_type: str | None, limit: int) -> DataFrame:
+def newest(results: DataFrame, analysis_type: str | None, limit: int | None) -> DataFrame:
     if analysis_type:
         results = results.where(F.col("analysis_type") == analysis_type.upper())
-    return results.orderBy(F.col("created_at").desc(), F.col("result_id").desc()).limit(limit)
+    ordered = results.orderBy(F.col("created_at").desc(), F.col("result_id").desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def by_hash(results: DataFrame, digest: Column | str) -> DataFrame:

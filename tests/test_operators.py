@@ -260,6 +260,6 @@ def test_alignment_rules(spark):
     blds = spark.createDataFrame([(7, box)], f"b_id int, b_rings {g.RINGS}")
     out = {r.alignment_id: r for r in constraints.validate_alignments(lines, cons, blds).collect()}
     assert out[1].hard_crossing_m == 4.0 and not out[1].passed
-    assert out[1].displaced_building_ids == [7]
+    assert [tuple(r) for r in constraints.displaced_buildings(lines, blds).where("alignment_id = 1").collect()] == [(1, 7)]
     assert [v.rule for v in out[2].failed] == ["min_length"]
     assert "self_intersection" in [v.rule for v in out[3].failed]
