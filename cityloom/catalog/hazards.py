@@ -8,7 +8,7 @@ from ..functions import geometry as g
 from ..operators import comparison, exposure, overlay
 from ..operators.overlay import BOX, pbox, prefixed
 from ..session import cut
-from ..sources.layers import layer, streets, with_layers
+from ..sources.layers import STREETS_SQL, layer, streets, with_layers
 from . import query
 from .planning import disc_sql
 from .spatial import area, boxes, meet, shared
@@ -70,6 +70,23 @@ def facility_boxes(spark, d):
                     F.col("x").alias("f_maxx"), F.col("y").alias("f_maxy"))
 
 
+def street_lines(spark, d):
+    s = streets(spark, d)
+    return s.select(F.col("id").alias("road_id"), F.array(F.array(
+        g.vertex("x0", "y0"), g.vertex("x1", "y1"))).alias("rings"),
+        F.col("x0").alias("r_minx"), F.col("y0").alias("r_miny"),
+        F.col("x1").alias("r_maxx"), F.col("y1").alias("r_maxy"))
+
+
+RD = ("sqrt(pow(greatest(x0-cx,cx-x1,0),2)+pow(greatest(y0-cy,cy-y1,0),2))")
+ROADS = f"""st AS ({STREETS_SQL}), rh AS (SELECT hazard_id, run, CAST(st.id AS VARCHAR) AS road_id,
+ CASE WHEN {RD}<=greatest(r*core,1) THEN 'blocked' ELSE 'slowed' END AS effect FROM hz JOIN st
+ ON {RD}<=greatest(r,1)), rk AS (SELECT *, row_number() OVER (PARTITION BY hazard_id, run, effect
+ ORDER BY road_id) AS rn, count(*) OVER (PARTITION BY hazard_id, run, effect) AS n FROM rh),
+ rr AS (SELECT hazard_id, run, road_id, effect FROM rk WHERE effect='slowed' OR run='base'
+ OR rn<=round_even(n*0.60e0,0))"""
+
+
 def summary(spark, d):
     h = cut(hazards(spark, d))
     zones = boxes(spark, d, "zone", "z_", ["population"]).withColumn(
@@ -78,10 +95,13 @@ def summary(spark, d):
         h, KEY, buildings=exposure.hazard_hits(
             h, boxes(spark, d, "building", extra=["population_estimate"])),
         zones=exposure.hazard_population(h, zones, KEY),
-        facilities=exposure.hazard_hits(h, facility_boxes(spark, d), pbox("f_")))
+        facilities=exposure.hazard_hits(h, facility_boxes(spark, d), pbox("f_")),
+        roads=cut(exposure.hazard_roads(h, street_lines(spark, d), KEY)))
 
 
-SUMMARY = with_layers("hazard", "building", "zone", "facility") + f""", {HAZ}, {BHIT}, {ZPOP},
+SUMMARY = with_layers("hazard", "building", "zone", "facility") + f""", {HAZ}, {BHIT}, {ZPOP}, {ROADS},
+ rc AS (SELECT hazard_id, run, count(*) FILTER (effect='blocked') AS rb,
+ count(*) FILTER (effect='slowed') AS rs FROM rr GROUP BY 1,2),
  bs AS (SELECT hazard_id, run, count(*) AS n, count(*) FILTER (sev>0.66) AS s FROM bh
  WHERE sev>0 GROUP BY 1,2), fh AS (SELECT hazard_id, run, count(*) AS f FROM hz JOIN facility
  ON {DIST.format(x='x', y='y')}<r GROUP BY 1,2),
@@ -90,55 +110,41 @@ SUMMARY = with_layers("hazard", "building", "zone", "facility") + f""", {HAZ}, {
  CAST(round_even(coalesce(s,0)*fb,0) AS BIGINT) AS buildings_severe,
  round_even(coalesce(pop,0),1) AS population_exposed,
  round_even(coalesce(pop,0)*fp,1) AS population_at_risk, coalesce(f,0) AS facilities_affected,
- CAST(round_even(coalesce(f,0)*ff,0) AS BIGINT) AS facilities_offline
+ CAST(round_even(coalesce(f,0)*ff,0) AS BIGINT) AS facilities_offline,
+ coalesce(rb,0) AS roads_blocked, coalesce(rs,0) AS roads_slowed
  FROM hz LEFT JOIN bs USING (hazard_id, run) LEFT JOIN zp USING (hazard_id, run)
- LEFT JOIN fh USING (hazard_id, run))"""
+ LEFT JOIN fh USING (hazard_id, run) LEFT JOIN rc USING (hazard_id, run))"""
 
 
 @query(SUMMARY + " SELECT * FROM su")
 def hazard_summary(spark, d):
-    return summary(spark, d).drop("roads_blocked", "roads_slowed")
+    return summary(spark, d)
 
 
-@query(SUMMARY + """, lo AS (UNPIVOT (SELECT hazard_id, run,
+DELTAS = """, lo AS (UNPIVOT (SELECT hazard_id, run,
  CAST(population_at_risk AS DOUBLE) AS population_at_risk,
  CAST(buildings_severe AS DOUBLE) AS buildings_severe,
  CAST(facilities_offline AS DOUBLE) AS facilities_offline,
+ CAST(roads_blocked AS DOUBLE) AS roads_blocked,
  CAST(hazard_radius_m AS DOUBLE) AS hazard_radius_m,
  CAST(hazard_area_km2 AS DOUBLE) AS hazard_area_km2 FROM su)
- ON population_at_risk, buildings_severe, facilities_offline, hazard_radius_m, hazard_area_km2
- INTO NAME metric VALUE v)
- SELECT b.hazard_id, b.metric, round_even(b.v,2) AS baseline, round_even(a.v,2) AS with_measures,
+ ON population_at_risk, buildings_severe, facilities_offline, roads_blocked, hazard_radius_m,
+ hazard_area_km2 INTO NAME metric VALUE v)
+ SELECT b.hazard_id, b.metric, round_even(b.v,2) AS {before}, round_even(a.v,2) AS {after},
  round_even(a.v-b.v,2) AS delta, CASE WHEN b.v<>0 THEN round_even((a.v-b.v)/abs(b.v)*100.0,1) ELSE 0 END
  AS pct_change, a.v-b.v<0 AS improved FROM lo b JOIN lo a ON a.hazard_id=b.hazard_id
- AND a.metric=b.metric AND b.run='base' AND a.run='mitigated'""")
+ AND a.metric=b.metric AND b.run='base' AND a.run='mitigated'"""
+
+
+@query(SUMMARY + DELTAS.format(before="baseline", after="with_measures"))
 def compare_measures(spark, d):
     s = cut(summary(spark, d))
-    rows = exposure.metric_rows(s, KEY, [m for m in exposure.COMPARED if m != "roads_blocked"])
+    rows = exposure.metric_rows(s, KEY)
     out = comparison.run_deltas(rows, "base", "mitigated", by=["hazard_id"], digits=2,
                                 pct_digits=1, zero_pct=0.0)
     return out.withColumnsRenamed({"before": "baseline", "after": "with_measures"})
 
 
-def street_lines(spark, d):
-    s = streets(spark, d)
-    return s.select(F.col("id").alias("road_id"), F.array(F.array(
-        g.vertex("x0", "y0"), g.vertex("x1", "y1"))).alias("rings"),
-        F.col("x0").alias("r_minx"), F.col("y0").alias("r_miny"),
-        F.col("x1").alias("r_maxx"), F.col("y1").alias("r_maxy"))
-
-
-from ..sources.layers import STREETS_SQL  # noqa: E402
-
-RD = ("sqrt(pow(greatest(x0-cx,cx-x1,0),2)+pow(greatest(y0-cy,cy-y1,0),2))")
-ROADS = f"""st AS ({STREETS_SQL}), rh AS (SELECT hazard_id, run, CAST(st.id AS VARCHAR) AS road_id,
- CASE WHEN {RD}<=greatest(r*core,1) THEN 'blocked' ELSE 'slowed' END AS effect FROM hz JOIN st
- ON {RD}<=greatest(r,1)), rk AS (SELECT *, row_number() OVER (PARTITION BY hazard_id, run, effect
- ORDER BY road_id) AS rn, count(*) OVER (PARTITION BY hazard_id, run, effect) AS n FROM rh),
- rr AS (SELECT hazard_id, run, road_id, effect FROM rk WHERE effect='slowed' OR run='base'
- OR rn<=round_even(n*0.60e0,0))"""
-
-
 @query(with_layers("hazard") + f", {HAZ}, {ROADS} SELECT * FROM rr")
 def hazard_roads(spark, d):
     return exposure.hazard_roads(hazards(spark, d), street_lines(spark, d), KEY)
