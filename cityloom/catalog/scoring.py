@@ -237,7 +237,45 @@ def compare_packages(spark, d):
     return scorecard.compare_packages(s, BY)[1]
 
 
-@query()
+def _itemised():
+    from ..fixed_values import (ACCESS_ROAD_M, CORRIDOR_M, CORRIDOR_STEP, DEPENDENCIES, FACILITY_COST,
+                                FACILITY_LABEL, FACILITY_STEP, REMEDIES, ROAD_REMEDIES, UNIT_RATES)
+    rows, deps = [], []
+    for key, kinds in REMEDIES.items():
+        for i, k in enumerate(kinds):
+            rate, qty = FACILITY_COST[k]
+            rows.append((key, i, "facility", k, FACILITY_LABEL[k], UNIT_RATES[rate] * qty, FACILITY_STEP,
+                         len(DEPENDENCIES.get(k, ()))))
+    for key in ROAD_REMEDIES:
+        rows.append((key, 0, "road", "corridor", f"New collector road corridor ({CORRIDOR_M:.0f} m)",
+                     UNIT_RATES["road_per_m_collector"] * CORRIDOR_M, CORRIDOR_STEP, 0))
+    for k, needs in DEPENDENCIES.items():
+        for i, (kind, label, rate) in enumerate(needs):
+            deps.append((k, i, kind, label.replace("{label}", FACILITY_LABEL[k]), UNIT_RATES[rate] * ACCESS_ROAD_M))
+    return values(rows), values(deps)
+
+
+ITEMS, NEEDS = _itemised()
+ACTIONS = PACK + f""", rm2(key, p, kind, remedy, label, own, step, nd) AS
+ (VALUES {ITEMS}), dp(remedy, di, dkind, dlabel, dcost) AS (VALUES {NEEDS}),
+ it2 AS (SELECT region, variant, key, kind, remedy, label, own, nd, own+coalesce((SELECT sum(dcost) FROM dp
+ WHERE dp.remedy=rm2.remedy),0) AS cost, least(gap,step)*weight/tw AS up, row_number() OVER (PARTITION BY
+ region, variant ORDER BY gap*weight DESC, pos, p) AS i FROM ga JOIN rm2 USING (key)),
+ acn(region, variant, i, cost, up, n, seq, own_seq) AS (SELECT DISTINCT region, variant, 0::BIGINT, 0e0, 0e0,
+ 0::BIGINT, 0::BIGINT, 0::BIGINT FROM it2 UNION ALL SELECT acn.region, acn.variant, it2.i,
+ CASE WHEN st='take' THEN acn.cost+it2.cost ELSE acn.cost END, CASE WHEN st='take' THEN acn.up+it2.up ELSE acn.up END,
+ CASE WHEN st='take' THEN acn.n+1+nd ELSE acn.n END, CASE st WHEN 'take' THEN acn.seq+1+nd WHEN 'skip' THEN acn.seq+1
+ ELSE acn.seq END, CASE WHEN st='take' THEN acn.seq+1 END FROM acn JOIN it2 ON it2.region=acn.region AND
+ it2.variant=acn.variant AND it2.i=acn.i+1, LATERAL (SELECT CASE WHEN acn.up>=10 OR acn.n>=12 THEN 'done' WHEN
+ acn.cost+it2.cost>500e6 THEN 'skip' ELSE 'take' END AS st)),
+ tk AS (SELECT it2.*, own_seq FROM acn JOIN it2 USING (region, variant, i) WHERE own_seq>0)"""
+
+
+@query(ACTIONS + """ SELECT region, variant, 'act-'||lpad(CAST(own_seq AS VARCHAR),2,'0') AS action_id, kind, label,
+ key AS dimension, remedy, round_even(own,0) AS cost, round_even(up,2) AS expected_uplift,
+ CAST(NULL AS VARCHAR) AS parent_id FROM tk UNION ALL SELECT region, variant, 'act-'||lpad(CAST(own_seq+di+1 AS
+ VARCHAR),2,'0'), dkind, dlabel, key, remedy, round_even(dcost,0), 0e0, 'act-'||lpad(CAST(own_seq AS VARCHAR),2,'0')
+ FROM tk JOIN dp USING (remedy)""")
 def package_actions(spark, d):
     """Itemised actions under a budget (skips what does not fit)."""
     return scorecard.package_actions(chosen(spark, d, 500e6), ["region", "variant"])
