@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import aggregation, network, traversal
 from ..session import cut
-from ..sources.layers import STREETS_SQL, layer, streets, table, with_layers
+from ..sources.layers import (JUNCTIONS, STREETS_SQL, TILE_M, TILES_PER_ROW, junction_xy, layer, streets,
+                              table, with_layers)
 from . import query
 
 
@@ -25,7 +26,14 @@ def edges(spark, d, mode="car"):
 def grid_node(node):
     """Junction number of a node key."""
     x, y = network.node_xy(node)
-    return (x / 200 + y / 200 * 50).cast("long")
+    tile = F.floor(y / TILE_M) * TILES_PER_ROW + F.floor(x / TILE_M)
+    return (tile * JUNCTIONS + (x % TILE_M) / 200 + (y % TILE_M) / 200 * 50).cast("long")
+
+
+def at_junction(frame, key):
+    """``frame`` with the position of the junction numbered ``key``."""
+    x, y = junction_xy("_j")
+    return frame.withColumn("_j", key).withColumns({"x": F.expr(x), "y": F.expr(y)}).drop("_j")
 
 
 def edge_sql(factor="1e0", closed="('footway')", fixed=None):
@@ -63,29 +71,28 @@ def facility_nodes(spark, d, net, kind=None):
     f = layer(spark, d, "facility")
     f = f.where(F.col("type") == kind) if kind else f
     j = F.pmod(F.col("id") * 7919, n.scalar())
-    f = f.select(F.col("id").alias("facility_id"), "type", "name", "capacity",
-                 ((j % 50) * 200.0).alias("x"), (F.floor(j / 50) * 200.0).alias("y"))
     # A junction can lack streets of the mode: snap to the nearest node that has some.
-    return f
+    return at_junction(f, j).select(F.col("id").alias("facility_id"), "type", "name", "capacity", "x", "y")
 
 
 def zones_at(spark, d):
     n = table(spark, d, "part").agg(F.count(F.lit(1)).alias("n"))
     z = layer(spark, d, "zone")
     j = F.pmod(F.col("id") * 6151, n.scalar())
-    return z.select(F.col("id").alias("zone_id"), "population",
-                    ((j % 50) * 200.0).alias("x"), (F.floor(j / 50) * 200.0).alias("y"))
+    return at_junction(z, j).select(F.col("id").alias("zone_id"), "population", "x", "y")
 
 
-AT = """np AS (SELECT count(*) AS n FROM part), nodes AS (SELECT DISTINCT src AS node FROM e
- UNION SELECT dst FROM e), pos AS (SELECT node, (node%50)*200e0 AS x, (node//50)*200e0 AS y FROM nodes)"""
-FAC_AT = """fa AS (SELECT id AS facility_id, type, ((id*7919)%n) AS j FROM facility, np),
+_JX, _JY = junction_xy("j")
+_NX, _NY = junction_xy("node")
+AT = f"""np AS (SELECT count(*) AS n FROM part), nodes AS (SELECT DISTINCT src AS node FROM e
+ UNION SELECT dst FROM e), pos AS (SELECT node, {_NX} AS x, {_NY} AS y FROM nodes)"""
+FAC_AT = f"""fa AS (SELECT id AS facility_id, type, ((id*7919)%n) AS j FROM facility, np),
  fs AS (SELECT facility_id, type, (SELECT node FROM pos ORDER BY
- ((x-(j%50)*200)*(x-(j%50)*200)+(y-(j//50)*200)*(y-(j//50)*200)),
+ ((x-{_JX})*(x-{_JX})+(y-{_JY})*(y-{_JY})),
  CAST(x AS BIGINT), CAST(y AS BIGINT) LIMIT 1) AS node FROM fa)"""
-ZONE_AT = """za AS (SELECT id AS zone_id, population, ((id*6151)%n) AS j FROM zone, np),
+ZONE_AT = f"""za AS (SELECT id AS zone_id, population, ((id*6151)%n) AS j FROM zone, np),
  zj AS (SELECT DISTINCT j FROM za), zn AS (SELECT j, (SELECT node FROM pos ORDER BY
- ((x-(j%50)*200)*(x-(j%50)*200)+(y-(j//50)*200)*(y-(j//50)*200)),
+ ((x-{_JX})*(x-{_JX})+(y-{_JY})*(y-{_JY})),
  CAST(x AS BIGINT), CAST(y AS BIGINT) LIMIT 1) AS node FROM zj),
  zs AS (SELECT zone_id, population, node FROM za JOIN zn USING (j))"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import nearest, network, selection, traversal
 from ..plans import response
 from ..session import cut
-from ..sources.layers import layer, with_layers
+from ..sources.layers import junction_xy, layer, with_layers
 from . import query
 from .network import (AT, FAC_AT, bellman, edge_sql, edges, facility_nodes, grid_node)
 from .spatial import stations, zone_points
@@ -157,6 +157,7 @@ def two_runs(spark, d):
 
 
 EM = edge_sql("1.3e0")
+(_SX, _SY), (_DX, _DY) = junction_xy("src"), junction_xy("dst")
 DEG = """dg AS (SELECT src, dst, CASE WHEN id%10=5 THEN t*3 ELSE t END AS t, id FROM e
  WHERE id%10<>3)"""
 
@@ -169,8 +170,8 @@ def degrade_graph(spark, d):
 
 
 @query(with_layers("hazard") + f""", {EM}, hz AS (SELECT cx, cy, 32 AS k FROM hazard),
- pr AS (SELECT src, dst, unnest([(src%50)*200e0,(dst%50)*200e0,((src%50)+(dst%50))*100e0]) AS x,
- unnest([(src//50)*200e0,(dst//50)*200e0,((src//50)+(dst//50))*100e0]) AS y FROM e)
+ pr AS (SELECT src, dst, unnest([{_SX},{_DX},({_SX}+{_DX})/2]) AS x,
+ unnest([{_SY},{_DY},({_SY}+{_DY})/2]) AS y FROM e)
  SELECT src, dst FROM e EXCEPT SELECT src, dst FROM pr JOIN hz ON x>cx-150 AND x<cx+150
  AND y>cy-150 AND y<cy+150""")
 def degrade_by_footprint(spark, d):
@@ -214,7 +215,7 @@ def rec(tag, edge, sel):
 
 
 DAT = (", dnodes AS (SELECT DISTINCT src AS node FROM dg UNION SELECT dst FROM dg), dpos AS (SELECT"
-       " node, (node%50)*200e0 AS x, (node//50)*200e0 AS y FROM dnodes), "
+       f" node, {junction_xy('node')[0]} AS x, {junction_xy('node')[1]} AS y FROM dnodes), "
        + FAC_AT.replace("fa AS", "dfa AS").replace("fs AS", "dfs AS").replace("FROM pos", "FROM dpos")
        .replace("FROM fa)", "FROM dfa)"))
 RESP = (with_layers("facility").replace("WITH ", "WITH RECURSIVE ", 1)

@@ -24,6 +24,25 @@ def _d(expr: str) -> str:
     return f"CAST({expr} AS DOUBLE)"
 
 
+# 50 columns and 40 rows of junctions in a tile.
+JUNCTIONS = 2000
+
+
+def junction_xy(key: str) -> tuple[str, str]:
+    """Position of a junction as two expressions."""
+    dx, dy = _tile(key, JUNCTIONS)
+    return (_d(f"({key}%50)*200+{dx}"),
+            _d(f"(CAST(floor({key}/50) AS BIGINT)%40)*200+{dy}"))
+
+
+def _east(key: str) -> str:
+    return f"({key}+CASE WHEN {key}%50<49 THEN 1 ELSE {JUNCTIONS - 49} END)"
+
+
+def _north(key: str) -> str:
+    return f"(CASE WHEN CAST(floor({key}/50) AS BIGINT)%40<39 THEN {key}+50 END)"
+
+
 def _box(key: str, per_tile: int, mx: int, my: int, w: str, h: str, span: int = 9900):
     tx, ty = _tile(key, per_tile)
     x, y = f"({key}*{mx})%{span}+{tx}", f"({key}*{my})%{span}+{ty}"
@@ -85,10 +104,8 @@ LAYERS: dict[str, tuple[str, dict[str, str]]] = {
                        "WHEN 2 THEN 'earthquake' ELSE 'chemical' END",
         "radius_m": _d(f"100+({_F}%5)*60"),
         "intensity": _d("1")}),
-    # Streets: a 50-wide grid of junctions 200 m apart, one part per junction.
-    "junction": ("part", {
-        "id": _P, "x": _d(f"({_P}%50)*200"),
-        "y": _d(f"CAST(floor({_P}/50) AS BIGINT)*200")}),
+    # Streets: in every tile a grid of junctions 200 m apart, one part per junction.
+    "junction": ("part", {"id": _P, "x": junction_xy(_P)[0], "y": junction_xy(_P)[1]}),
     "change": ("events", {
         "change_id": "event_id", "scenario_id": "user_id%5",
         "object_type": "'LAND_PARCELS'", "object_id": "user_id",
@@ -122,34 +139,29 @@ def with_layers(*names: str) -> str:
 
 
 def streets(spark: SparkSession, folder: str) -> DataFrame:
-    """One straight street per neighbouring junction pair (east and north)."""
+    """One straight street per neighbouring junction pair: east, also across the tile's border,
+    and north."""
     parts = table(spark, folder, "part")
     # Junction keys are dense: a street exists when its far end does.
     ends = parts.selectExpr("p_partkey AS dst")
     starts = parts.selectExpr(
         "p_partkey AS src", "p_size",
-        "explode(CASE WHEN p_partkey%50<49 THEN array(p_partkey+1, p_partkey+50) "
-        "ELSE array(p_partkey+50) END) AS dst")
+        f"explode(array_compact(array({_east('p_partkey')}, {_north('p_partkey')}))) AS dst")
+    (x0, y0), (x1, y1) = junction_xy("src"), junction_xy("dst")
     return starts.join(ends, "dst").selectExpr(
-        "CASE WHEN dst=src+1 THEN 2*src ELSE 2*src+1 END AS id", "src", "dst",
+        "CASE WHEN dst=src+50 THEN 2*src+1 ELSE 2*src END AS id", "src", "dst",
         "CAST(20+p_size AS DOUBLE) AS speed",
         "CASE p_size%5 WHEN 0 THEN 'residential' WHEN 1 THEN 'primary' WHEN 2 THEN "
         "'secondary' WHEN 3 THEN 'footway' ELSE 'collector' END AS road_class",
         "src%7=0 AS oneway",
-        "CAST((src%50)*200 AS DOUBLE) AS x0",
-        "CAST(CAST(floor(src/50) AS BIGINT)*200 AS DOUBLE) AS y0",
-        "CAST((dst%50)*200 AS DOUBLE) AS x1",
-        "CAST(CAST(floor(dst/50) AS BIGINT)*200 AS DOUBLE) AS y1")
+        f"{x0} AS x0", f"{y0} AS y0", f"{x1} AS x1", f"{y1} AS y1")
 
 
-STREETS_SQL = """SELECT CASE WHEN b.p_partkey=a.p_partkey+1 THEN 2*a.p_partkey
- ELSE 2*a.p_partkey+1 END AS id, a.p_partkey AS src, b.p_partkey AS dst,
+STREETS_SQL = f"""SELECT CASE WHEN b.p_partkey=a.p_partkey+50 THEN 2*a.p_partkey+1
+ ELSE 2*a.p_partkey END AS id, a.p_partkey AS src, b.p_partkey AS dst,
  CAST(20+a.p_size AS DOUBLE) AS speed,
  CASE a.p_size%5 WHEN 0 THEN 'residential' WHEN 1 THEN 'primary' WHEN 2 THEN 'secondary'
  WHEN 3 THEN 'footway' ELSE 'collector' END AS road_class, a.p_partkey%7=0 AS oneway,
- CAST((a.p_partkey%50)*200 AS DOUBLE) AS x0,
- CAST(CAST(floor(a.p_partkey/50) AS BIGINT)*200 AS DOUBLE) AS y0,
- CAST((b.p_partkey%50)*200 AS DOUBLE) AS x1,
- CAST(CAST(floor(b.p_partkey/50) AS BIGINT)*200 AS DOUBLE) AS y1
- FROM part a JOIN part b ON (b.p_partkey=a.p_partkey+1 AND a.p_partkey%50<49)
- OR b.p_partkey=a.p_partkey+50"""
+ {junction_xy('a.p_partkey')[0]} AS x0, {junction_xy('a.p_partkey')[1]} AS y0,
+ {junction_xy('b.p_partkey')[0]} AS x1, {junction_xy('b.p_partkey')[1]} AS y1
+ FROM part a JOIN part b ON b.p_partkey={_east('a.p_partkey')} OR b.p_partkey={_north('a.p_partkey')}"""
