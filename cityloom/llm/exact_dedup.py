@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, numbered, retain, text_of, written
+from .common import cut, frugal, join_small, numbered, retain, text_of, written
 
 #: Fingerprints that one owner is meant to hold; owners grow with the rows.
 OWNER_ROWS = 2_000_000
@@ -137,7 +137,7 @@ def suspects(keyed: DataFrame, owners: int | None = None) -> DataFrame:
     another row has too, by the exchange."""
     owners = owners or max(1, -(-keyed.count() // OWNER_ROWS))
     sent = keyed.select("sender", "print").repartition("sender").mapInArrow(
-        _send(owners), "sender long, owner int, n long, rice int, gaps binary, held binary")
+        frugal(_send(owners)), "sender long, owner int, n long, rice int, gaps binary, held binary")
     marks = sent.groupBy("owner").applyInArrow(
         _answer(owners), "sender long, owner int, bitmap binary")
     kind = dict(keyed.dtypes)["doc_id"]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import Scan, mix, shingles
-from .common import (as_batch, byte_texts, cut, join_small, numbered, partitions, retain, slices,
+from .common import (as_batch, byte_texts, cut, frugal, join_small, numbered, partitions, retain, slices,
                      text_of, written)
 from .links import components
 
@@ -221,7 +221,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     arrow = kind.toArrow().schema.field(0).type
     name = kind.dtypes[0][1]
     profile = _hashed(docs).mapInArrow(
-        _profiles(arrow), f"doc_id {name}, text_hash long, set_key binary, bands array<long>")
+        frugal(_profiles(arrow)), f"doc_id {name}, text_hash long, set_key binary, bands array<long>")
     rows = numbered(profile, "doc_id", "text_hash", "set_key", "bands")
     groups = rows.where("set_key is not null").groupBy("set_key").agg(
         F.min("row_id").alias("node"), F.count(F.lit(1)).alias("copies"))
@@ -246,12 +246,12 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     match = (F.col("text_hash") == F.col("want_hash")) & F.col("doc_id").eqNullSafe(F.col("want_id"))
     sets = join_small(_hashed(docs), wanted, match).select(
         "text", "node", "copies", "grp", "blocks", "block").mapInArrow(
-        _sets, "node long, copies long, grp long, blocks long, block long, shingles binary")
+        frugal(_sets), "node long, copies long, grp long, blocks long, block long, shingles binary")
     units = (sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
              .drop("other").repartition(partitions(docs), "grp", "low", "high")
              .sortWithinPartitions("grp", "low", "high"))
-    found = written(units.mapInArrow(_compare, "node long, root long, links long, whole boolean"))
+    found = written(units.mapInArrow(frugal(_compare), "node long, root long, links long, whole boolean"))
     counts = found.groupBy("node").agg(F.sum("links").alias("linked"), F.min("root").alias("root"),
                                        F.min("whole").alias("whole"))
     parts = found.where("not whole").select(F.col("node").alias("a"), F.col("root").alias("b"))

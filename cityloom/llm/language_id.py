@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scan import top_per_group
 from .byte_cnn import WINDOW, ByteCNN, train, windows_of
-from .common import as_batch, byte_texts, retain, slices, text_of
+from .common import as_batch, byte_texts, frugal, retain, slices, text_of
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 300       # labelled texts of each language that the network is fitted to
@@ -105,7 +105,7 @@ def identify(docs: DataFrame, net: ByteCNN | None, modulus: int = 4) -> DataFram
                        text.alias("text"))
     name = rows.dtypes[0][1]
     kind = rows.limit(0).toArrow().schema.field(0).type
-    return rows.mapInArrow(_predict(net, kind), f"doc_id {name}, key long, fold long, "
+    return rows.mapInArrow(frugal(_predict(net, kind)), f"doc_id {name}, key long, fold long, "
                            "lang_pred string, score double")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scan import top_per_group
 from .bytescan import Scan, inside, mix, runs
-from .common import as_batch, byte_texts, join_small, slices, text_of
+from .common import as_batch, byte_texts, frugal, join_small, slices, text_of
 from .crf import ChainCRF, fit
 
 SAMPLE_TEXTS = 400
@@ -192,4 +192,4 @@ def judge(docs: DataFrame, model: ChainCRF | None) -> DataFrame:
     types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
     schema = pa.schema([("doc_id", kind), ("key", pa.int64()),
                         *((n, types[t]) for n, t in (f.split() for f in OUT.split(", ")))])
-    return rows.mapInArrow(_judge(model, schema), f"doc_id {name}, key long, {OUT}")
+    return rows.mapInArrow(frugal(_judge(model, schema)), f"doc_id {name}, key long, {OUT}")

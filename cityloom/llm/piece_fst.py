@@ -125,8 +125,8 @@ class PieceModel:
 class Transducer:
     """Compiled form; built once in each Python worker."""
 
-    MEMO = 1 << 20     # distinct parts whose encoding is remembered
-    PAIRS = 1 << 21    # slots of the table of known pairs
+    MEMO = 1 << 19     # distinct parts whose encoding is remembered
+    PAIRS = 1 << 20    # slots of the table of known pairs
 
     def __init__(self, model: PieceModel):
         self.model = model
@@ -138,7 +138,7 @@ class Transducer:
         self.breaks = np.zeros(256, bool)
         self.breaks[[b for b in range(128) if chr(b) not in longer and b != 32]] = True
         self.cut_marks = not crossing
-        # Trie: a row of next states for each inner state, -1 where there is none.
+        # Trie: a row of next states for each inner state.
         inner: dict[bytes, int] = {b"": 0}
         for p, _ in lexicon:
             for n in range(1, len(p)):
@@ -150,7 +150,9 @@ class Transducer:
         used = sorted({b for p, _ in lexicon for b in p})
         self.byte_class = np.full(256, len(used), np.int32)
         self.byte_class[used] = np.arange(len(used))
-        self.next = np.full((self.inner, len(used) + 1), -1, np.int32)
+        kind = np.uint16 if len(states) < 65535 else np.uint32
+        self.none = kind(np.iinfo(kind).max)
+        self.next = np.full((self.inner, len(used) + 1), self.none, kind)
         for p, s in states.items():
             if p:
                 self.next[inner[p[:-1]], self.byte_class[p[-1]]] = s
@@ -196,7 +198,7 @@ class Transducer:
         classes = self.byte_class[data]
         heads = np.flatnonzero((data & 0xC0) != 0x80)
         width = np.diff(np.append(heads, len(data)))
-        at, state, from_, to, piece = heads, np.zeros(len(heads), np.int32), [], [], []
+        at, state, from_, to, piece = heads, np.zeros(len(heads), self.next.dtype), [], [], []
         lone = np.zeros(len(data), bool)
         span = np.zeros(len(data), np.int64)
         span[heads] = width
@@ -206,7 +208,7 @@ class Transducer:
             at, state = at[live], state[live]
             state = self.next[state, classes[at + depth]]
             depth += 1
-            live = state >= 0
+            live = state != self.none
             at, state = at[live], state[live]
             emit = self.emits[state]
             hit = emit >= 0

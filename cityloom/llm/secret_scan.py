@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import Scan
-from .common import as_batch, byte_texts, slices, text_of
+from .common import as_batch, byte_texts, frugal, slices, text_of
 from .crf import ChainCRF, fit
 
 # The base patterns and the least lengths of what they must hold.
@@ -277,7 +277,7 @@ def find_secrets(docs: DataFrame, model: ChainCRF | None) -> DataFrame:
     name = rows.dtypes[0][1]
     kind = rows.limit(0).toArrow().schema.field(0).type
     schema = pa.schema([("doc_id", kind), ("spans", pa.list_(SPAN))])
-    return rows.mapInArrow(_scan(model, schema), f"doc_id {name}, {OUT}")
+    return rows.mapInArrow(frugal(_scan(model, schema)), f"doc_id {name}, {OUT}")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, byte_texts, slices, text_of
+from .common import as_batch, byte_texts, frugal, kept_in_worker, slices, text_of
 from .piece_fst import PieceModel, Transducer
 
 
@@ -36,7 +36,8 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-@lru_cache(2)
+@kept_in_worker
+@lru_cache(1)
 def _compiled(blob: bytes) -> Transducer:
     return Transducer(PieceModel(blob))
 
@@ -69,7 +70,7 @@ def encode(docs: DataFrame, model: bytes, check: bool = False) -> DataFrame:
             yield as_batch({"doc_id": b.column("doc_id"), "ids": _lists(ids, counts), "n_tokens": counts,
                             "n_bytes": total[ends] - total[ends - counts], "round_trip": same}, schema)
 
-    out = rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, ids array<int>, n_tokens long, "
+    out = rows.mapInArrow(frugal(run, _compiled), f"doc_id {rows.dtypes[0][1]}, ids array<int>, n_tokens long, "
                           "n_bytes long, round_trip boolean")
     return out if check else out.drop("round_trip")
 
@@ -92,4 +93,4 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
                 texts = [x.decode(errors="replace") for x in fst.decode(ids, counts)]
                 yield as_batch({"doc_id": part.column("doc_id"), "text": texts}, schema)
 
-    return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, text string")
+    return rows.mapInArrow(frugal(run, _compiled), f"doc_id {rows.dtypes[0][1]}, text string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_batch, cut, join_small, partitions, shared_folder, written
+from .common import as_batch, cut, frugal, join_small, partitions, shared_folder, written
 
 LEAST_REVISIT = 1000
 FILE_RECORDS = 10_000
@@ -148,7 +148,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """Sorted runs of index entries, one run for each archive."""
-    return (spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(_index, ENTRY_SQL))
+    return (spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(frugal(_index), ENTRY_SQL))
 
 
 # ------------------------------------------------------------------ merging
@@ -210,7 +210,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merge_index(runs: DataFrame) -> DataFrame:
     """All entries in the order of URL key, timestamp and page_id, over the partitions in order."""
     ranges = runs.repartitionByRange(partitions(runs), "url_key", "stamp", "page_id")
-    return ranges.mapInArrow(_merge, ENTRY_SQL).drop("pos")
+    return ranges.mapInArrow(frugal(_merge), ENTRY_SQL).drop("pos")
 
 
 def capture_histories(pages: DataFrame) -> DataFrame:
