@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregation, comparison, scenario
+from ..plans import analysis
 from ..sources.layers import layer, table, with_layers
 from . import query
 
@@ -284,3 +285,16 @@ def demand_at_horizon(spark, d):
     over = aggregation.with_projection(z, projected(spark, d), ["id"])
     return aggregation.demand_vs_capacity(over, layer(spark, d, "facility"), ["clinic"]).select(
         "population_served_basis", "required_capacity", "installed_capacity")
+
+
+@query(with_layers("zone", "facility") + """, y(years) AS (VALUES (0),(5),(10)), p AS (SELECT years,
+ sum(population*pow(1.025e0,years)) AS pop FROM zone, y GROUP BY 1), k(type, per) AS (VALUES
+ ('hospital',1.0e0),('school',150e0)), h AS (SELECT type, sum(capacity) AS have FROM facility GROUP BY 1)
+ SELECT years, k.type AS facility_type, round_even(pop/1000*per,1) AS required_capacity,
+ coalesce(have,0e0) AS installed_capacity FROM p CROSS JOIN k LEFT JOIN h ON h.type=k.type""")
+def demand_by_horizon(spark, d):
+    """Demand now, in five and in ten years, in one job."""
+    out = analysis.demand_by_horizon(layer(spark, d, "zone"), layer(spark, d, "facility"),
+                                     ["hospital", "school"], [0, 5, 10], 0.025)
+    return out.select("years", "facility_type", F.bround("required_capacity", 1).alias("required_capacity"),
+                      "installed_capacity")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import nearest, network, selection, traversal
-from ..plans import response
+from ..operators import nearest, network, selection
+from ..plans import analysis, response
 from ..session import cut
 from ..sources.layers import junction_xy, layer, with_layers
 from . import query
-from .network import (AT, FAC_AT, bellman, edge_sql, edges, facility_nodes, grid_node)
+from .network import (AT, FAC_AT, edge_sql, edges, facility_nodes, grid_node)
 from .spatial import stations, zone_points
 
 REACH_M = 1500.0
@@ -74,6 +74,15 @@ def max_coverage_metrics(spark, d):
     return selection.coverage_metrics(pairs, demand, opened, REACH_M)
 
 
+@query(f"{PAIRS}{_C} SELECT candidate FROM ({_CP})")
+def optimized_locations(spark, d):
+    """The composed optimisation: pairs within reach, checks, greedy choice."""
+    z, f = zone_points(spark, d), stations(spark, d)
+    sites = f.select(F.col("facility_id").alias("candidate"), "rx", "ry")
+    demand = z.select(F.col("zone_id").alias("demand"), "x", "y", F.col("population").alias("weight"))
+    return analysis.optimize_locations(sites, demand, 4, max_cost=REACH_M)[0]
+
+
 @query(f"{PAIRS}{_M} SELECT candidate FROM ({_MP})")
 def p_median(spark, d):
     pairs, demand, cands = problem(spark, d)

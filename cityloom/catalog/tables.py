@@ -13,7 +13,7 @@ from ..plans import derive, lookup
 from ..sources import city, export, regions, stores
 from ..sources.layers import layer, table, with_layers
 from . import query
-from .spatial import area, boxes, gap, meet
+from .spatial import area, gap
 
 WINDOW = (2000.0, 2000.0, 6000.0, 7000.0)
 IN = "{t}.maxx>=2000 AND {t}.maxy>=2000 AND {t}.minx<=6000 AND {t}.miny<=7000"

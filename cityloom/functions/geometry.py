@@ -10,7 +10,6 @@ bounds are plain columns and every box formula below stays inside generated code
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -323,10 +322,6 @@ def line_distance(rings, x, y) -> Column:
     return F.array_min(F.transform(all_edges(rings), lambda e: _edge_distance(e, px, py)))
 
 
-def polygon_distance(rings, x, y) -> Column:
-    return F.when(covers_point(rings, x, y), F.lit(0.0)).otherwise(line_distance(rings, x, y))
-
-
 def shape_distance(a, b) -> Column:
     """Between two lines or polygons (zero when they meet)."""
     a, b = _c(a), _c(b)
@@ -530,7 +525,3 @@ def substring(line, start, end) -> Column:
     inner = F.transform(F.filter(measured(line), lambda v: (v["m"] > s) & (v["m"] < e)),
                         lambda v: vertex(v["x"], v["y"]))
     return F.concat(F.array(interpolate(line, s)), inner, F.array(interpolate(line, e)))
-
-
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

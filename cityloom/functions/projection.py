@@ -115,16 +115,6 @@ def to_web_mercator(lon, lat) -> Column:
                   _A * F.log(F.tan(math.pi / 4 + F.radians(_c(lat)) / 2)))
 
 
-def from_web_mercator(x, y) -> Column:
-    return vertex(F.degrees(_c(x) / _A),
-                  F.degrees(2 * F.atan(F.exp(_c(y) / _A)) - math.pi / 2))
-
-
-def project_rings(rings, srid) -> Column:
-    return F.transform(_c(rings), lambda r: F.transform(
-        r, lambda v: to_utm(v["x"], v["y"], srid)))
-
-
 def unproject_rings(rings, srid, digits: int = 6) -> Column:
     """Back to longitude / latitude, rounded for the map."""
     def back(v):

@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import (ACCESS_ROAD_M, BENCHMARKS, BENCHMARK_PAIRING, CONTINGENCY_RATE,
-                            CORRIDOR_M, CORRIDOR_SHARE, CORRIDOR_STEP, DEPENDENCIES,
+                            CORRIDOR_M, CORRIDOR_STEP, DEPENDENCIES,
                             DIMENSIONS, EDUCATION_WORDS, EMERGENCY_WORDS, FACILITY_COST,
                             FACILITY_LABEL, FACILITY_STEP, FLOOD_LIMIT, FRONTAGE_M,
                             GREEN_WORDS, HEALTH_WORDS, MIN_GAP, RECREATION_WORDS, REMEDIES,
                             ROAD_REMEDIES, UNIT_RATES)
-from ..functions import geometry as g
 from ..functions.scalars import clamp, contains_any, half_even, ratio
 from .gridjoin import box_semi
 from .overlay import BOX, pbox, prefixed
@@ -317,11 +316,6 @@ def compare_packages(summary: DataFrame, by: Sequence[str], variant: str = "vari
     return rows, best
 
 
-def corridor_population(population: Column) -> Column:
-    """People a new corridor is taken to serve."""
-    return population * CORRIDOR_SHARE
-
-
 def best_site(candidates: DataFrame, by: Sequence[str]) -> DataFrame:
     """Parcel with the most people in reach per region and facility type."""
     best = candidates.groupBy(*by).agg(F.max(F.struct(

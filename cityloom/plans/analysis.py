@@ -75,15 +75,15 @@ def facility_assignment(roads: DataFrame, facilities: DataFrame, zones: DataFram
     return got, selection.facility_loads(got, sites)
 
 
-def infrastructure_demand(zones: DataFrame, facilities: DataFrame,
-                          facility_types: Sequence[str], *, base_year: int = 2025,
-                          horizon_year: int | None = None,
-                          annual_rate: float = 0.025) -> DataFrame:
-    """Demand against capacity now, or with the population of a horizon year."""
-    if horizon_year:
-        grown = aggregation.project_population(zones, horizon_year - base_year, annual_rate)
-        zones = aggregation.with_projection(zones, grown, ["zone_id"])
-    return aggregation.demand_vs_capacity(zones, facilities, facility_types)
+def demand_by_horizon(zones: DataFrame, facilities: DataFrame, facility_types: Sequence[str],
+                      years: Sequence[int], annual_rate: float) -> DataFrame:
+    """Required against installed capacity for each number of years from now (a key column), so all
+    horizons share the jobs."""
+    ahead = F.explode(F.array(*[F.lit(y) for y in years])).alias("years")
+    grown = zones.select("population", ahead).withColumn("population", F.coalesce(
+        "population", F.lit(0.0)) * F.pow(F.lit(1.0 + annual_rate), F.col("years")))
+    return aggregation.demand_vs_capacity(grown, facilities.select("type", "capacity", ahead),
+                                          facility_types, ["years"])
 
 
 def network_resilience(edges: DataFrame) -> DataFrame:

@@ -112,18 +112,6 @@ def block_parcels(blocks: DataFrame, cell: float, min_area: float = 300.0,
     return b.where(F.col("area") > min_area)
 
 
-def cycled_attributes(pid: Column) -> dict[str, Column]:
-    """Placeholder attributes by running parcel number."""
-    uses = ("residential", "commercial", "mixed_use", "public_civic", "green_space", "industrial")
-    zones = ("R-1 Low Density", "R-2 High Density", "C-1 Commercial", "Public Utility",
-             "Agricultural Zone")
-    return {"land_use": F.element_at(F.array(*[F.lit(u) for u in uses]), (pid % 6 + 1).cast("int")),
-            "zoning": F.element_at(F.array(*[F.lit(z) for z in zones]), (pid % 5 + 1).cast("int")),
-            "development_status": F.lit("candidate"),
-            "slope_deg": F.bround(0.5 + (pid % 4) * 1.1, 2),
-            "flood_risk": F.when(pid % 5 == 0, 0.14).otherwise(0.02)}
-
-
 def road_proposals(proposals: DataFrame, parcels: DataFrame, buildings: DataFrame,
                    water: DataFrame) -> DataFrame:
     """Impact of proposed straight roads: land and buildings in the corridor, water close

@@ -90,12 +90,6 @@ def ways(edges: DataFrame, chosen: DataFrame, dist: DataFrame,
         {"x": x, "y": y})
 
 
-def way_lengths(way: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Driven metres per station and incident."""
-    return way.groupBy(*by, "incident_id", "station_id").agg(
-        half_even(F.sum("length"), 1).alias("distance_m"))
-
-
 def compare(primary: DataFrame, base: str = "baseline", other: str = "degraded",
             run: str = "run") -> DataFrame:
     """Delay of the first responder per incident; ``cut_off`` when none is left."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +75,3 @@ def combined(layers: dict[str, DataFrame]) -> DataFrame:
 
 def buildings_3d(buildings: DataFrame) -> DataFrame:
     return buildings.withColumns(default_height(BUILDING_COLOURS, DEFAULT_COLOUR))
-
-
-def write_features(rows: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
-    rows.write.mode("overwrite").partitionBy(*partitions).text(path)

@@ -32,11 +32,6 @@ def provenance(dataset_version: Column, algorithm: Column, algorithm_version: Co
     return F.struct(*cols, parameter_hash(*cols).alias("parameter_hash"))
 
 
-def canonical(value: Column) -> Column:
-    """Number as stable text for hashing."""
-    return F.bround(value.cast("double"), 10).cast("string")
-
-
 class ResultStore:
     """Result rows under one path; every save appends files."""
 
@@ -119,14 +114,6 @@ def write_layer(df: DataFrame, path: str, mode: str = "append",
     out.partitionBy(*partitions).parquet(path)
 
 
-def has_table(spark: SparkSession, name: str) -> bool:
-    return spark.catalog.tableExists(name)
-
-
-def has_column(df: DataFrame, column: str) -> bool:
-    return column in df.columns
-
-
 def decision_records(results: DataFrame, metrics: DataFrame, names: DataFrame) -> DataFrame:
     """What a stored result recommends: its first record and the people it concerns.
 
