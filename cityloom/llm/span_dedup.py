@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import Scan, mix, prefix_runs
-from .common import as_batch, byte_texts, cut, join_small, slices, text_of, written
+from .common import as_batch, byte_texts, cut, frugal, join_small, slices, text_of, written
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 20
@@ -143,10 +143,11 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     text that is left."""
     rows = docs.select(docs["doc_id"], _doc(docs).alias("doc"), text_of(docs).alias("text"))
     spans = written(rows.select("doc", "text").mapInArrow(
-        _emit, "span long, doc long, at int, after int, again boolean"))
+        frugal(_emit), "span long, doc long, at int, after int, again boolean"))
     shared = cut(spans.groupBy("span").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
                  .where("n > 1").drop("n"))
-    later = join_small(spans, shared, ["span"]).where((F.col("doc") > F.col("first")) | F.col("again"))
+    # Never broadcast: one way for any number of shared spans, between bare exchanges.
+    later = spans.join(shared.hint("merge"), "span").where((F.col("doc") > F.col("first")) | F.col("again"))
     covers = written(later.groupBy("doc").agg(F.collect_set(
         F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("after").cast("long"))).alias("covers")))
     touched = covers.select("doc")
@@ -159,4 +160,4 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", kind), ("n_sentences", pa.int64()), ("n_removed", pa.int64()),
                         ("removed", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
                         ("text", pa.string())])
-    return hit.unionByName(rest).mapInArrow(_clean(schema), f"doc_id {name}, {CLEAN}")
+    return hit.unionByName(rest).mapInArrow(frugal(_clean(schema)), f"doc_id {name}, {CLEAN}")
