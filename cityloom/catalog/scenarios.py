@@ -290,7 +290,7 @@ def demand_at_horizon(spark, d):
 @query(with_layers("zone", "facility") + """, y(years) AS (VALUES (0),(5),(10)), p AS (SELECT years,
  sum(population*pow(1.025e0,years)) AS pop FROM zone, y GROUP BY 1), k(type, per) AS (VALUES
  ('hospital',1.0e0),('school',150e0)), h AS (SELECT type, sum(capacity) AS have FROM facility GROUP BY 1)
- SELECT years, k.type AS facility_type, round_even(pop/1000*per,1) AS required_capacity,
+ SELECT years, k.type AS facility_type, round_even(round_even(pop/1000*per,2),1) AS required_capacity,
  coalesce(have,0e0) AS installed_capacity FROM p CROSS JOIN k LEFT JOIN h ON h.type=k.type""")
 def demand_by_horizon(spark, d):
     """Demand now, in five and in ten years, in one job."""
