@@ -118,7 +118,8 @@ def mixture(docs: DataFrame) -> DataFrame:
     if once.limit(1).count():
         rows = join_small(rows, once, match, "left_anti").unionByName(
             join_small(rows, once, match, "left_semi").dropDuplicates(["id", "key"]))
-    turns = join_small(rows, plan, match).withColumn("words", F.explode("served"))
+    # About a row for each document, so never broadcast: one way for any size.
+    turns = rows.join(plan.hint("merge"), match).withColumn("words", F.explode("served"))
     short = F.array_join(F.slice(F.expr(r"regexp_extract_all(__text, '[^\\x20\\x09-\\x0D]+', 0)"),
                                  F.lit(1), F.greatest(F.col("words"), F.lit(1)).cast("int")), " ")
     body = F.when(F.col("words") < F.col("size"), short).otherwise(F.col("__text"))
