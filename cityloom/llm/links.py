@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_small
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,11 +20,12 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        ends = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut(large.join(ends, "u")
+        # Minima are written down first: then a join has bare exchanges and its hubs are split.
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = cut(join_small(both.where("v > u"), low, ["u"]).select(
+            F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        ends = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        edges = cut(join_small(large, ends, ["u"])
                     .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                               F.struct("u", F.col("m").alias("v")))).alias("e"))
                     .select("e.*").where("u <> v").distinct())
