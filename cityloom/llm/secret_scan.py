@@ -143,12 +143,18 @@ def training_texts(docs: DataFrame) -> list[str]:
         named = named | low.contains(key.decode())
     hit = (F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,}")
            | F.col("text").rlike(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}"))
-    # Of the texts without, the first by hash; a threshold spares the others the patterns.
-    share = 10 * SAMPLE_TEXTS / max(rows.count(), 1)
-    few = F.pmod("order", F.lit(1 << 30)) <= min(share, 1.0) * (1 << 30)
+    # A hash threshold lets through about three times as many as needed, however many tasks there are.
+    n, likely = rows.agg(F.count(F.lit(1)), F.count_if(named)).head()
+
+    def few(among: int):
+        share = min(1.0, 3 * SAMPLE_TEXTS / max(among, 1))
+        return F.pmod("order", F.lit(1 << 30)) <= share * (1 << 30)
+
     out = []
-    for part in (rows.where(named & hit), rows.where(few & ~hit)):
-        best = part.orderBy("order", "text").limit(SAMPLE_TEXTS).select("text").collect()
+    for part in (rows.where(named & few(likely) & hit), rows.where(few(n) & ~hit)):
+        # Copies count once, in their own task already.
+        one = part.groupBy("order").agg(F.min("text").alias("text"))
+        best = one.orderBy("order").limit(SAMPLE_TEXTS).select("text").collect()
         out += [r["text"] for r in best]
     return out
 
