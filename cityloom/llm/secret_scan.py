@@ -4,8 +4,9 @@ Base spans are those of three patterns. The method's spans come from a linear-ch
 the words of a text with the labels begin, inside and outside. A word's features are its shape (which
 classes of characters it has, its length, how often the classes change), the words around it (key words,
 assignment signs, code-like shapes) and the file (how many of its words have digits, how many look like
-code). The field learns from the base spans of a bounded sample of texts: ``SAMPLE_TEXTS`` with a base span
-and as many without, picked by a hash of the text, none above ``SAMPLE_CHARS`` characters.
+code). The field learns from the base spans of a bounded sample of texts: ``SAMPLE_TEXTS`` distinct ones with
+a base span and as many without, or all if there are fewer, picked by a hash of the text, none above
+``SAMPLE_CHARS`` characters.
 
 Every word of every text is tagged. At nearly all words the label outside leads by more than any neighbour
 could make up for; there the chain is cut, which leaves what Viterbi decoding finds unchanged, and only the
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import Scan
@@ -132,29 +133,39 @@ class Tokens:
 ALL_CARDS = [*CARDS, 16]
 
 
-def training_texts(docs: DataFrame) -> list[str]:
-    """A bounded sample: texts with a key word and a base span, and texts without a base span."""
-    text = text_of(docs)
-    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("order")).where(
-        (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
+def has_base_span() -> Column:
+    """Whether ``base_spans`` finds any in the column ``text``."""
     low = F.lower("text")
-    named = F.col("text").contains("AKIA")
-    for key in _KEYS:  # a plain search spares most texts the patterns
+    named = F.lit(False)
+    for key in _KEYS:  # a plain search spares most texts the pattern
         named = named | low.contains(key.decode())
-    hit = (F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,}")
-           | F.col("text").rlike(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}"))
-    # A hash threshold lets through about three times as many as needed, however many tasks there are.
-    n, likely = rows.agg(F.count(F.lit(1)), F.count_if(named)).head()
+    # All matches, since a shorter one may hide the next, as in Python.
+    values = F.regexp_extract_all("text", F.lit("(?i)" + ASSIGN.pattern), F.lit(2))
+    return ((named & F.exists(values, lambda v: F.length(v) >= LEAST_ASSIGN))
+            | (F.col("text").contains("AKIA") & F.col("text").rlike(f"AKIA[A-Z0-9]{{{LEAST_ACCESS - 4},}}"))
+            | F.col("text").rlike(f"[0-9a-f]{{{LEAST_HEX},}}"))
 
-    def few(among: int):
-        share = min(1.0, 3 * SAMPLE_TEXTS / max(among, 1))
-        return F.pmod("order", F.lit(1 << 30)) <= share * (1 << 30)
 
+def training_texts(docs: DataFrame) -> list[str]:
+    """A bounded sample of the distinct texts: some with a base span, and some without."""
+    text = text_of(docs)
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("order")).where(
+        (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
+    hit = has_base_span()
+    # Distinct texts of either class; copies are merged inside their own tasks.
+    held, n = rows.select("order", hit.alias("hit")).distinct().agg(
+        F.count_if("hit"), F.count(F.lit(1))).head()
     out = []
-    for part in (rows.where(named & few(likely) & hit), rows.where(few(n) & ~hit)):
-        # Copies count once, in their own task already.
-        one = part.groupBy("order").agg(F.min("text").alias("text"))
-        best = one.orderBy("order").limit(SAMPLE_TEXTS).select("text").collect()
+    for has, among in ((hit, held), (~hit, n - held)):
+        # A hash threshold lets through about three times as many as needed, however many tasks there are.
+        share, best = 3 * SAMPLE_TEXTS / max(among, 1), []
+        while among:
+            few = F.pmod("order", F.lit(1 << 30)) <= min(1.0, share) * (1 << 30)
+            one = rows.where(few & has).groupBy("order").agg(F.min("text").alias("text"))
+            best = one.orderBy("order").limit(SAMPLE_TEXTS).select("text").collect()
+            if share >= 1 or len(best) >= SAMPLE_TEXTS:
+                break
+            share *= 4
         out += [r["text"] for r in best]
     return out
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cityloom.llm.secret_scan import (BEGIN, OUTSIDE, Tokens, _suspects, base_spans, digest, expected_digest,
-                                      find_secrets, learn, tagged_spans)
+                                      find_secrets, has_base_span, learn, tagged_spans, training_texts)
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "doc_id long, text string, spans string, n_hex string"
@@ -79,3 +79,26 @@ def test_awkward_rows(spark, model):
     empty = spark.createDataFrame([], SCHEMA)
     assert learn(empty) is None and find_secrets(empty, None).count() == 0
     assert learn(docs.where("doc_id < 4")) is None
+
+
+def test_sample_is_of_texts_that_hold_a_span(spark):
+    def held(rows):
+        got = training_texts(spark.createDataFrame(rows, "text string").repartition(4))
+        assert len(got) == len(set(got))
+        return sum(bool(base_spans(t)) for t in got), len(got)
+
+    words = [(f"the token of visitor {i} is a secret of the house",) for i in range(12_000)]
+    few = [(f"note {i} token = {'%032X' % (7919 ** 9 * (i + 3) % (1 << 128))}",) for i in range(150)]
+    hexes = [(f"build {i} {'%032x' % (7919 ** 9 * (i + 3) % (1 << 128))}",) for i in range(150)]
+    assert held(words + few) == (150, 550)            # key words are ordinary, assignments rare
+    assert held(words[:50] + hexes) == (150, 200)     # no key word beside a span
+    assert held(words[:500] + few + few[:1] * 20_000) == (150, 550)  # copies of one text
+    assert held(words[:1] * 20_000 + words[1:300] + few) == (150, 450)
+
+
+def test_span_test_is_that_of_the_patterns(spark):
+    rng = random.Random(7)
+    bits = ["token", "Secret", "API_KEY", "to\u212aen", "=", ": ", '"', "abcdefgh", "abc", HEX, HEX[:20], "AKIA", "ZZZZZZ", " ", "\n", "\u00e9", "passwd"]
+    texts = ["".join(rng.choice(bits) for _ in range(7)) for _ in range(3000)] + ["token=secret:abcdefgh"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", has_base_span().alias("hit"))
+    assert all(r.hit == bool(base_spans(r.text)) for r in rows.collect())
