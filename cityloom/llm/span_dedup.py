@@ -1,10 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends with a word that ends in ``. ! ?`` (or their full-width forms), or at a line's end. The
-span at a sentence is the shortest run of consecutive sentences from there that has at least two
-sentences and ``LEAST_WORDS`` words, whatever white space lies between the words; its 64-bit hash is that
-of its word sequence, so equal passages have equal spans wherever they stand. Spans of all documents are
-grouped by hash; in each group the first occurrence (smallest doc_id, then earliest in the text) stays,
+A sentence ends with a word that ends in ``. ! ?`` (or their full-width forms), or at a line's end. A span is
+the shortest run of consecutive sentences from a sentence on, or back from a sentence's end, that has at least
+``LEAST_WORDS`` words, whatever white space lies between the words. The spans inside a longer run cover all of
+it from head to tail, so every repeated run of that many words goes, a single long sentence included, as if all
+runs had been hashed. A span's 64-bit hash is that of its word sequence, so passages of the same sentences have
+the same spans wherever they stand. Spans of all documents are grouped by hash; in each group the first occurrence (smallest doc_id, then earliest in the text) stays,
 and every sentence that a later occurrence covers is removed.
 
 Grouping adds up smallest ids and counts inside each task first and is joined back on plain exchanges,
@@ -13,7 +14,9 @@ so a span that a third of all documents share is split over tasks, never gathere
 Defined cases: a null or blank text has no sentences and stays as it is (null gives an empty text). Rows
 that share a doc_id count as one document (a null id is smallest), so spans are not removed from one for
 the other's sake. Text without sentence ends is one sentence to the end of its line; a run of sentences
-shorter than ``LEAST_WORDS`` words in all has no span. Other columns, of any name, play no part. An empty
+shorter than ``LEAST_WORDS`` words in all has no span. Line ends that cut the same words into other sentences make
+other spans; of such passages only the runs that end alike go. Without ``every_run`` a span has at least
+``LEAST_SENTENCES`` sentences and only runs from a sentence on are hashed. Other columns, of any name, play no part. An empty
 table gives an empty result.
 """
 
@@ -66,12 +69,21 @@ class Sentences:
         self.per_text = np.bincount(self.text, minlength=scan.n)
         self.offset = np.cumsum(self.per_text) - self.per_text
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sentence, sentence after the last, hash) of every span."""
+    def spans(self, every_run: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sentence, sentence after the last, hash) of every span, by place."""
         at = np.arange(len(self.first))
-        after = np.maximum(np.searchsorted(self.stop, self.first + LEAST_WORDS), at + LEAST_SENTENCES - 1) + 1
+        least = 1 if every_run else LEAST_SENTENCES
+        after = np.maximum(np.searchsorted(self.stop, self.first + LEAST_WORDS), at + least - 1) + 1
         ok = after <= (self.offset + self.per_text)[self.text]
-        at, after = at[ok], after[ok]
+        if every_run:
+            back = np.searchsorted(self.first, self.stop - LEAST_WORDS, side="right") - 1
+            mine = back >= self.offset[self.text]
+            n = len(at) + 1
+            # A run found both ways is one span.
+            both = np.unique(np.concatenate((at[ok] * n + after[ok], back[mine] * n + at[mine] + 1)))
+            at, after = np.divmod(both, n)
+        else:
+            at, after = at[ok], after[ok]
         return at, after, prefix_runs(self.words, self.first[at], self.stop[after - 1])
 
 
@@ -79,20 +91,22 @@ SPANS = pa.schema([("span", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())
                    ("again", pa.bool_())])
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        s = Sentences(byte_texts(b.column("text")))
-        at, after, span = s.spans()
-        if not len(at):
-            continue
-        text = s.text[at]
-        own = mix(span ^ mix(text.astype(np.uint64) + np.uint64(1)))  # one value per span and text
-        _, first = np.unique(own, return_index=True)
-        again = np.ones(len(at), bool)
-        again[first] = False  # the earliest of its text
-        doc = b.column("doc").to_numpy()[text]
-        yield as_batch({"span": span.view(np.int64), "doc": doc, "at": (at - s.offset[text]).astype(np.int32),
-                        "after": (after - s.offset[text]).astype(np.int32), "again": again}, SPANS)
+def _emit(every_run: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            s = Sentences(byte_texts(b.column("text")))
+            at, after, span = s.spans(every_run)
+            if not len(at):
+                continue
+            text = s.text[at]
+            own = mix(span ^ mix(text.astype(np.uint64) + np.uint64(1)))  # one value per span and text
+            _, first = np.unique(own, return_index=True)
+            again = np.ones(len(at), bool)
+            again[first] = False  # the earliest of its text
+            doc = b.column("doc").to_numpy()[text]
+            yield as_batch({"span": span.view(np.int64), "doc": doc, "at": (at - s.offset[text]).astype(np.int32),
+                            "after": (after - s.offset[text]).astype(np.int32), "again": again}, SPANS)
+    return run
 
 
 CLEAN = ("n_sentences long, n_removed long, removed array<struct<start:int,stop:int>>, text string")
@@ -138,12 +152,13 @@ def _doc(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))
 
 
-def remove_repeated_spans(docs: DataFrame) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, every_run: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_sentences, n_removed, removed (ranges of code points) and the
-    text that is left."""
+    text that is left. With ``every_run`` all repeated runs of ``LEAST_WORDS`` words go, not only those that
+    shortest runs from a sentence on make up."""
     rows = docs.select(docs["doc_id"], _doc(docs).alias("doc"), text_of(docs).alias("text"))
     spans = written(rows.select("doc", "text").mapInArrow(
-        frugal(_emit), "span long, doc long, at int, after int, again boolean"))
+        frugal(_emit(every_run)), "span long, doc long, at int, after int, again boolean"))
     shared = cut(spans.groupBy("span").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
                  .where("n > 1").drop("n"))
     # Never broadcast: one way for any number of shared spans, between bare exchanges.

@@ -90,3 +90,60 @@ def test_repeated_rows_are_one_document(spark):
     rows = [(1, passage(6, 3)), (1, passage(6, 3)), (2, passage(6, 3))]
     got = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 6)]
+
+
+def all_runs(rows):
+    """Sentences of each row inside a repeated run of at least 20 words, of any number of sentences."""
+    first, spans = {}, []
+    for i, t in sorted(rows):
+        s = sentences(t)
+        for a in range(len(s)):
+            words = []
+            for b in range(a, len(s)):
+                words += s[b][2]
+                if len(words) >= 20:
+                    spans.append((i, a, b + 1, hash(tuple(words))))
+                    first.setdefault(spans[-1][3], (i, a))
+    dead = {i: set() for i, _ in rows}
+    for i, a, b, w in spans:
+        if first[w] != (i, a):
+            dead[i] |= set(range(a, b))
+    out = []
+    for i, t in rows:
+        s = sentences(t)
+        left, at = [], 0
+        for k in sorted(dead[i]):
+            left.append(t[at:s[k][0]])
+            at = s[k][1]
+        out.append((i, len(s), len(dead[i]), "".join(left) + t[at:]))
+    return out
+
+
+def test_every_run_goes(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 9000")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = all_runs(rows)
+    same(remove_repeated_spans(docs, every_run=True).collect(), want)
+    assert sum(r[2] for r in want) > sum(r[2] for r in brute(rows))
+
+
+def test_tails_and_single_sentences(spark):
+    def said(n, seed):
+        return " ".join(f"{seed}{k}" for k in range(n)) + "."
+
+    p = f"{said(15, 'a')} {said(15, 'b')} {said(3, 'c')}"
+    lone = " ".join(f"l{k}" for k in range(50))
+    rows = [(1, f"Mine. {p} Own end."), (2, f"Other words. {p} And more."), (3, lone), (4, lone),
+            (5, f"Head here. {said(30, 'd')} Tail here. {said(30, 'd')}"), (6, f"{said(19, 'e')} x."), (7, f"{said(19, 'e')} y.")]
+    got = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), every_run=True).collect()
+    same(got, all_runs(rows))
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 3, 3: 0, 4: 1, 5: 1, 6: 0, 7: 0}
+    assert {r.doc_id: r.text for r in got}[2] == "Other words. And more."
+
+
+def test_query_removes_every_run(spark, tmp_path):
+    from cityloom.llm.queries import op10_span_dedup
+
+    lone = " ".join(f"l{k}" for k in range(50))
+    spark.createDataFrame([(1, lone), (2, lone)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.untouched for r in op10_span_dedup(spark, str(tmp_path)).collect()} == {1: True, 2: False}
