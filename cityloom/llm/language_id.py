@@ -1,7 +1,7 @@
 """Language identification with a byte convolutional network.
 
-The network (``byte_cnn.py``) is fitted on the driver to a bounded sample: ``SAMPLE_TEXTS`` texts of
-each label, ``SAMPLE_WINDOWS`` windows of each text, picked by a hash of the text. Labels are a
+The network (``byte_cnn.py``) is fitted on the driver to a bounded sample: ``SAMPLE_TEXTS`` distinct
+texts of each label, or all if there are fewer, ``SAMPLE_WINDOWS`` windows of each text, picked by a hash of the text. Labels are a
 closed set of language codes, so the sample is a few megabytes however many documents there are.
 Prediction reads every byte of every text in windows of 256 bytes inside the scan tasks, without a
 shuffle; a text's score is the softmax of its windows' mean log-probabilities, weighted by bytes.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scan import top_per_group
 from .byte_cnn import WINDOW, ByteCNN, train, windows_of
-from .common import as_batch, byte_texts, frugal, retain, slices, text_of
+from .common import as_batch, byte_texts, cut, frugal, retain, slices, text_of
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 300       # labelled texts of each language that the network is fitted to
@@ -45,13 +45,22 @@ def sample(docs: DataFrame, learn: Column) -> DataFrame:
     rows = docs.where(learn & docs["lang"].isNotNull() & has_letter(text)).select(
         docs["lang"].cast("string").alias("label"), text.alias("text"),
         F.xxhash64(text).alias("order"))
-    # About three times as many as needed pass a hash threshold before any are ranked.
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    # Distinct texts of each label; copies are merged inside their own tasks.
+    counts = {r["label"]: r["count"]
+              for r in rows.select("label", "order").distinct().groupBy("label").count().collect()}
     if not counts:
         return rows.select("label", F.col("text").alias("part")).limit(0)
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items())
-                           for x in (k, min(1.0, 3 * SAMPLE_TEXTS / n))])
-    near = rows.where((F.pmod("order", F.lit(1 << 30)) / float(1 << 30)) <= share[F.col("label")])
+    # About three times as many as needed pass a hash threshold before any are ranked.
+    shares = {k: 3 * SAMPLE_TEXTS / n for k, n in counts.items()}
+    while True:
+        share = F.create_map(*[F.lit(x) for k, v in sorted(shares.items()) for x in (k, min(1.0, v))])
+        near = cut(rows.where((F.pmod("order", F.lit(1 << 30)) / float(1 << 30)) <= share[F.col("label")])
+                   .groupBy("label", "order").agg(F.min("text").alias("text")))
+        got = {r["label"]: r["count"] for r in near.groupBy("label").count().collect()}
+        few = [k for k, n in counts.items() if shares[k] < 1 and got.get(k, 0) < min(SAMPLE_TEXTS, n)]
+        if not few:
+            break
+        shares |= {k: 4 * shares[k] for k in few}
     best = top_per_group(near, ["label"], [F.col("order"), F.col("text")], SAMPLE_TEXTS)
     step = F.greatest(F.lit(WINDOW), F.floor(F.length("text") / SAMPLE_WINDOWS).cast("int"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), step)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cityloom.llm.byte_cnn import WINDOW, windows_of
-from cityloom.llm.language_id import fit, identify, keep_known_languages, language_id
+from cityloom.llm.language_id import SAMPLE_TEXTS, fit, identify, keep_known_languages, language_id, sample
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "doc_id long, text string, lang string, key string, score string, fold string"
@@ -69,3 +69,14 @@ def test_nothing_to_learn(spark, rows):
     docs = spark.createDataFrame([(*r, "k", "s", "f") for r in rows], SCHEMA)
     assert [(r.lang_pred, r.score) for r in language_id(docs).collect()] == [("und", 0.0)] * len(rows)
     assert keep_known_languages(docs).count() == 0
+
+
+def test_sample_counts_distinct_texts(spark):
+    rows = [("aa", f"copied words of text {i}") for i in range(5) for _ in range(4000)]
+    rows += [("bb", "one text again and again")] * 20_000 + [("bb", f"words of its own {i}") for i in range(3000)]
+    rows += [("cc", f"seldom written words {i}") for i in range(40)] + [("dd", "one text again and again")] * 5000
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    got = [tuple(r) for r in sample(docs, F.lit(True)).collect()]
+    assert len(got) == len(set(got))
+    number = {k: sum(label == k for label, _ in got) for k in ("aa", "bb", "cc", "dd")}
+    assert number == {"aa": 5, "bb": SAMPLE_TEXTS, "cc": 40, "dd": 1}
