@@ -13,6 +13,7 @@ from .language_id import language_id
 from .line_quality import judge, learn
 from .mixing import mixed_sizes
 from .ngram_lm import language_model_scores
+from .prefix_trie import prefix_trie
 from .secret_scan import digest, find_secrets
 from .secret_scan import learn as learn_secrets
 from .sentence_pieces import default_model, encode, read_model
@@ -124,3 +125,33 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return language_model_scores(documents(spark, folder))
+
+
+@query("""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+                  ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(name) + 1),
+             lambda i: ascii(substr(name, CAST(i AS INTEGER), 1))::BIGINT)),
+             lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)),
+             lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)), 4294967295) % 9 AS h
+      FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS name FROM t)),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h
+      UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+m AS (SELECT conv_id, row_number() OVER w AS depth, list({'role': role, 'text': text}) OVER w AS path, strlen(text) AS size
+      FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+      UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+k AS (SELECT *, dense_rank() OVER (ORDER BY depth, path) AS node, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM m),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM k GROUP BY node, depth),
+p AS (SELECT n.*, up.node AS parent FROM n LEFT JOIN k AS up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1),
+q AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN
+             (SELECT parent AS node, count(*) AS n_children FROM p GROUP BY parent) USING (node)),
+s AS (SELECT k.node, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+      FROM q JOIN k ON k.conv_id = q.conv_id AND k.depth <= q.depth GROUP BY k.node)
+SELECT q.conv_id, q.depth, up.conv_id AS parent_conv_id, q.n_convs, q.n_children, n_leaves, saved_tokens, q.ends_sha256
+FROM q JOIN s USING (node) LEFT JOIN n AS up ON up.node = q.parent
+""")
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"), family=5)
