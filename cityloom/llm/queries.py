@@ -17,6 +17,7 @@ from .prefix_trie import prefix_trie
 from .secret_scan import digest, find_secrets
 from .secret_scan import learn as learn_secrets
 from .sentence_pieces import default_model, encode, read_model
+from .simhash import simhash_components
 from .span_dedup import remove_repeated_spans
 from .warc import capture_histories
 
@@ -155,3 +156,8 @@ FROM q JOIN s USING (node) LEFT JOIN n AS up ON up.node = q.parent
 """)
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"), family=5)
+
+
+@query()
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_components(documents(spark, folder))
