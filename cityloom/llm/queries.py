@@ -19,6 +19,7 @@ from .secret_scan import learn as learn_secrets
 from .sentence_pieces import default_model, encode, read_model
 from .simhash import simhash_components
 from .span_dedup import remove_repeated_spans
+from .token_alignment import align
 from .warc import capture_histories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +162,8 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(documents(spark, folder))
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align(documents(spark, folder)).withColumnRenamed("groups", "groups_sha256")
