@@ -67,8 +67,15 @@ def test_random_with_short_blocks(spark):
     rng = random.Random(3)
     rows = [(c, t, "u", rng.choice("ab") if t else "a") for c in range(120) for t in range(rng.choice((1, 1, 2, 5, 7)))]
     rows += [(c, t, "u", f"long {t}") for c in (500, 501, 502) for t in range(11)]
-    assert run(spark, rows, block=3, chunk=8) == brute(rows)
-    assert run(spark, rows, family=5, block=2, chunk=8) == brute(rows, 5)
+    assert run(spark, rows, block=3, chunk=8, group=2) == brute(rows)
+    assert run(spark, rows, family=5, block=2, chunk=8, group=1) == brute(rows, 5)
+    assert run(spark, rows, block=4) == brute(rows)
+
+
+def test_long_conversation(spark):
+    rows = [(c, t, "u", f"{t}" if t < 300 else f"{c} {t}") for c in (1, 2, 3) for t in range(500)]
+    rows += [(4, t, "u", f"{t}") for t in range(130)]
+    assert run(spark, rows) == brute(rows)
 
 
 def test_empty(spark):
