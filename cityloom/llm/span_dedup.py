@@ -13,7 +13,7 @@ so a span that a third of all documents share is split over tasks, never gathere
 
 Defined cases: a null or blank text has no sentences and stays as it is (null gives an empty text). Rows
 that share a doc_id count as one document (a null id is smallest), so spans are not removed from one for
-the other's sake. Text without sentence ends is one sentence to the end of its line; a run of sentences
+the other's sake; what is removed from a row depends on its own text only. Text without sentence ends is one sentence to the end of its line; a run of sentences
 shorter than ``LEAST_WORDS`` words in all has no span. Line ends that cut the same words into other sentences make
 other spans; of such passages only the runs that end alike go. Without ``every_run`` a span has at least
 ``LEAST_SENTENCES`` sentences and only runs from a sentence on are hashed. Other columns, of any name, play no part. An empty
@@ -87,7 +87,7 @@ class Sentences:
         return at, after, prefix_runs(self.words, self.first[at], self.stop[after - 1])
 
 
-SPANS = pa.schema([("span", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("after", pa.int32()),
+SPANS = pa.schema([("span", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("after", pa.int32()),
                    ("again", pa.bool_())])
 
 
@@ -103,8 +103,8 @@ def _emit(every_run: bool):
             _, first = np.unique(own, return_index=True)
             again = np.ones(len(at), bool)
             again[first] = False  # the earliest of its text
-            doc = b.column("doc").to_numpy()[text]
-            yield as_batch({"span": span.view(np.int64), "doc": doc, "at": (at - s.offset[text]).astype(np.int32),
+            doc, own_hash = (b.column(n).to_numpy()[text] for n in ("doc", "hash"))
+            yield as_batch({"span": span.view(np.int64), "doc": doc, "hash": own_hash, "at": (at - s.offset[text]).astype(np.int32),
                             "after": (after - s.offset[text]).astype(np.int32), "again": again}, SPANS)
     return run
 
@@ -127,9 +127,8 @@ def _clean(schema: pa.Schema):
                 n, lo = int(s.per_text[t]), int(s.offset[t])
                 mark = np.zeros(n + 1, np.int64)
                 for c in cover:
-                    if c >> 32 < n:  # rows that share an id may differ in text
-                        mark[c >> 32] += 1
-                        mark[min(c & 0xFFFFFFFF, n)] -= 1
+                    mark[c >> 32] += 1
+                    mark[c & 0xFFFFFFFF] -= 1
                 dead = np.cumsum(mark)[:n] > 0
                 gone[t] = dead.sum()
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], dead, [False]))))
@@ -156,20 +155,22 @@ def remove_repeated_spans(docs: DataFrame, every_run: bool = False) -> DataFrame
     """One row per row of ``docs``: doc_id, n_sentences, n_removed, removed (ranges of code points) and the
     text that is left. With ``every_run`` all repeated runs of ``LEAST_WORDS`` words go, not only those that
     shortest runs from a sentence on make up."""
-    rows = docs.select(docs["doc_id"], _doc(docs).alias("doc"), text_of(docs).alias("text"))
-    spans = written(rows.select("doc", "text").mapInArrow(
-        frugal(_emit(every_run)), "span long, doc long, at int, after int, again boolean"))
+    text = text_of(docs)
+    rows = docs.select(docs["doc_id"], _doc(docs).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    spans = written(rows.select("doc", "hash", "text").mapInArrow(
+        frugal(_emit(every_run)), "span long, doc long, hash long, at int, after int, again boolean"))
     shared = cut(spans.groupBy("span").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
                  .where("n > 1").drop("n"))
     # Never broadcast: one way for any number of shared spans, between bare exchanges.
     later = spans.join(shared.hint("merge"), "span").where((F.col("doc") > F.col("first")) | F.col("again"))
-    covers = written(later.groupBy("doc").agg(F.collect_set(
+    # Ranges belong to a text of an id, not to the id: its other rows may hold other texts.
+    covers = written(later.groupBy("doc", "hash").agg(F.collect_set(
         F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("after").cast("long"))).alias("covers")))
-    touched = covers.select("doc")
+    touched = covers.select("doc", "hash")
     none = F.array().cast("array<long>")
     # Untouched texts need no join with the ranges.
-    hit = join_small(rows, touched, ["doc"], "left_semi").join(covers, "doc").select("doc_id", "text", "covers")
-    rest = join_small(rows, touched, ["doc"], "left_anti").select("doc_id", "text", none.alias("covers"))
+    hit = join_small(rows, touched, ["doc", "hash"], "left_semi").join(covers, ["doc", "hash"]).select("doc_id", "text", "covers")
+    rest = join_small(rows, touched, ["doc", "hash"], "left_anti").select("doc_id", "text", none.alias("covers"))
     name = rows.dtypes[0][1]
     kind = rows.select("doc_id").limit(0).toArrow().schema.field(0).type
     schema = pa.schema([("doc_id", kind), ("n_sentences", pa.int64()), ("n_removed", pa.int64()),

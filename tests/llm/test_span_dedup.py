@@ -141,6 +141,19 @@ def test_tails_and_single_sentences(spark):
     assert {r.doc_id: r.text for r in got}[2] == "Other words. And more."
 
 
+def test_rows_of_one_id_keep_their_own_text(spark):
+    """Ranges found in one row leave other rows of its id, or without an id, alone."""
+    p, own = passage(6, 3), "Unique first sentence of some length that nobody else has written today. Another lone one."
+    twice = f"{passage(5, 7)} {passage(5, 7)}"
+    rows = [(1, p), (2, p), (2, own), (None, twice), (None, f"Third unique. {own[:40]} here. And a tail of it."),
+            (None, "short"), (None, None), (3, twice)]
+    got = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), every_run=True).collect()
+    texts = sorted((str(r.doc_id), r.text) for r in got)
+    assert ("2", own) in texts and ("1", p) in texts and ("2", "") in texts
+    assert ("None", f"Third unique. {own[:40]} here. And a tail of it.") in texts and ("None", "short") in texts
+    assert ("None", passage(5, 7) + " ") in texts and ("3", "") in texts
+
+
 def test_query_removes_every_run(spark, tmp_path):
     from cityloom.llm.queries import op10_span_dedup
 
