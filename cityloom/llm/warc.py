@@ -1,7 +1,7 @@
 """WARC archives: writing pages, reading them back, and merging their capture indexes.
 
 * Every page becomes one record of an archive in the shared folder. Of records whose payloads are equal
-  (length and SHA-1) and have at least ``LEAST_REVISIT`` bytes, the one with the largest page_id is a
+  (length, SHA-1 and a second hash) and have at least ``LEAST_REVISIT`` bytes, the one with the largest page_id is a
   response; the others are revisits, which carry its id and no payload.
 * Archives are written by Spark's text writer, whose line separator is the blank line that ends a record,
   so they may lie in any store that Spark writes to, and a lost task leaves no half record.
@@ -13,7 +13,7 @@
 
 Defined cases: a null html counts as an empty payload. A null url leaves out the target and has an empty
 key; line breaks and other controls in a url are percent-encoded. Rows that repeat the response's page_id are
-responses too; a null page_id is never preferred. Pages with smaller payloads are responses whatever repeats.
+responses too; a null page_id is never preferred. Capture times follow page_id modulo ``CAPTURE_SPAN`` seconds, in UTC. Pages with smaller payloads are responses whatever repeats.
 Other columns, of any name, play no part. An empty table gives an empty result.
 """
 
@@ -31,7 +31,8 @@ from .common import as_batch, cut, frugal, join_small, partitions, shared_folder
 
 LEAST_REVISIT = 1000
 FILE_RECORDS = 10_000
-FIRST_CAPTURE = 1_700_000_000   # capture time of page 0; page n was captured n seconds later
+FIRST_CAPTURE = 1_700_000_000   # capture time of page 0; page n was captured n seconds later,
+CAPTURE_SPAN = 3_000_000_000    # modulo this span, so that every id has a year of four digits
 _CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -52,14 +53,17 @@ def records(pages: DataFrame) -> DataFrame:
     body = F.coalesce(pages["html"].cast("string"), F.lit(""))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"),
                         body.alias("body"), F.octet_length(body).cast("long").alias("size"),
-                        F.sha1(body.cast("binary")).alias("sha1"))
-    same = cut(rows.where(F.col("size") >= LEAST_REVISIT).groupBy("sha1", "size").agg(
+                        F.sha1(body.cast("binary")).alias("sha1"), F.xxhash64(body).alias("other"))
+    same = cut(rows.where(F.col("size") >= LEAST_REVISIT).groupBy("sha1", "size", "other").agg(
         F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    rows = join_small(rows, same, ["sha1", "size"], "left")
+    rows = join_small(rows, same, ["sha1", "size", "other"], "left")
     again = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     target = F.regexp_replace("url", r"[\x00-\x20\x7f]+", "%20")
-    stamp = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.coalesce("page_id", F.lit(0))),
-                          "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # Without a time zone, so that stamps are UTC in every session.
+    second = F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce("page_id", F.lit(0).cast("long")), F.lit(CAPTURE_SPAN))
+    stamp = (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+             + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second.cast("decimal(18,6)"))).cast("string")
+    stamp = F.concat(F.substring(stamp, 1, 10), F.lit("T"), F.substring(stamp, 12, 8), F.lit("Z"))
     inner = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "),
                      F.col("size").cast("string"), F.lit(_CRLF * 2), F.when(again, "").otherwise(F.col("body")))
     head = F.concat(

@@ -91,3 +91,21 @@ def test_damage_is_noticed(spark):
 
 def test_empty_table(spark):
     assert capture_histories(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_any_page_id_and_time_zone(spark):
+    """Ids of any size have a stamp of four-digit year, the same in every session."""
+    ids = [0, 1, 10**13, 3 * 10**11, -5, (1 << 63) - 1, -(1 << 63)]
+    pages = spark.createDataFrame([(i, "http://a.org/", "x") for i in ids], "page_id long, url string, html string")
+    stamps = {}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            stamps[name] = [(r.page_id, r.stamp) for r in capture_histories(pages).select("page_id", "stamp").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert stamps["UTC"] == stamps["Asia/Tokyo"] and len(stamps["UTC"]) == len(ids)
+    assert all(len(s) == 20 and s[4] == "-" and s.endswith("Z") for _, s in stamps["UTC"])
+    assert dict(stamps["UTC"])[1] == "2023-11-14T22:13:21Z"
+    assert [s for _, s in stamps["UTC"]] == sorted(s for _, s in stamps["UTC"])
