@@ -11,6 +11,7 @@ from ..session import cut
 from ..sources.layers import STREETS_SQL, layer, streets, with_layers
 from . import query
 from .planning import disc_sql
+from .shapes import SWEEP, WATER_BUFFER, rounded_sql
 from .spatial import area, boxes, meet, shared
 
 MEASURES = ["early_warning", "flood_barrier", "fire_break", "building_retrofit",
@@ -233,12 +234,19 @@ def land_conversion(spark, d):
         "_area", "_whole")
 
 
-@query(with_layers("parcel", "zone") + f""", {CONV}, s AS (SELECT id, sum(a) AS a,
+@query(with_layers("parcel", "zone", "water") + f""", poly AS (SELECT p.id AS k, 1 AS layer,
+ {rounded_sql('w', WATER_BUFFER)} AS p FROM parcel p JOIN water w ON w.minx-{WATER_BUFFER}<=p.maxx AND w.maxx+{WATER_BUFFER}>=p.minx
+ AND w.miny-{WATER_BUFFER}<=p.maxy AND w.maxy+{WATER_BUFFER}>=p.miny UNION ALL SELECT id, 0, [{{'x': minx, 'y': miny}},
+ {{'x': maxx, 'y': miny}}, {{'x': maxx, 'y': maxy}}, {{'x': minx, 'y': maxy}}, {{'x': minx, 'y': miny}}] FROM parcel p
+ WHERE EXISTS (SELECT 1 FROM water w WHERE w.minx-{WATER_BUFFER}<=p.maxx AND w.maxx+{WATER_BUFFER}>=p.minx
+ AND w.miny-{WATER_BUFFER}<=p.maxy AND w.maxy+{WATER_BUFFER}>=p.miny)), {SWEEP}, {CONV}, s AS (SELECT id, sum(a) AS a,
  sum(CASE WHEN land_use IN ('forest','grassland') THEN a ELSE 0 END) AS gr, sum(a*sens) AS w2,
  count(*) AS n FROM cs GROUP BY id) SELECT p.id, round_even({area('p')},2) AS footprint_area,
  round_even(coalesce(a,0),2) AS area_converted, round_even(coalesce(gr,0),2) AS green_cover_lost,
- 0e0 AS water_buffer_intrusion, round_even(coalesce(w2,0)/{area('p')},4) AS impact_index,
- coalesce(n,0) AS landcover_classes_affected FROM parcel p LEFT JOIN s USING (id)""")
+ round_even(coalesce(sw.both,0),2) AS water_buffer_intrusion, round_even(coalesce(w2,0)/{area('p')},4) AS impact_index,
+ coalesce(n,0) AS landcover_classes_affected FROM parcel p LEFT JOIN s USING (id) LEFT JOIN sw ON sw.k=p.id""")
 def environmental_impact(spark, d):
     p = boxes(spark, d, "parcel")
-    return exposure.environmental_summary(exposure.land_conversion(p, landcover(spark, d)), p)
+    water = boxes(spark, d, "water").select(g.box_rings(*BOX).alias("w_rings"))
+    intrusion = exposure.water_intrusion(p.withColumn("rings", g.box_rings(*BOX)), water, WATER_BUFFER)
+    return exposure.environmental_summary(exposure.land_conversion(p, landcover(spark, d)), p, intrusion)

@@ -474,18 +474,6 @@ def convex_hull(points) -> Column:
     return let(ring, lambda r: F.concat(r, F.slice(r, 1, 1)))
 
 
-def grown_hull(rings, distance, quarter_segments: int = 16) -> Column:
-    """Closed convex ring around the convex hull of ``rings``, grown by ``distance`` with rounded
-    corners: the hull of a regular polygon set on every vertex of the hull."""
-    n, d = 4 * quarter_segments, _c(distance)
-    corners = F.lit([math.cos(2 * math.pi * i / n) for i in range(n)]), F.lit(
-        [math.sin(2 * math.pi * i / n) for i in range(n)])
-    hull = convex_hull(F.flatten(_c(rings)))
-    spread = F.flatten(F.transform(hull, lambda v: F.zip_with(
-        *corners, lambda c, s: vertex(v["x"] + d * c, v["y"] + d * s))))
-    return let(spread, convex_hull)
-
-
 def interpolate(line, distance) -> Column:
     """Vertex at a distance along a line."""
     def between(e, m, seg, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import LANE_CAPACITY, LANE_WIDTH_M, ROAD_SPEEDS, SEVERITY, SEVERITY_WEIGHT
 from ..functions import geometry as g
 from ..functions.scalars import half_even, lookup
+from . import sweep
 from .gridjoin import box_pairs
 from .overlay import BOX, pbox
 
@@ -77,23 +78,25 @@ def constraint_hits(parcels: DataFrame, constraints: DataFrame, *, key: Sequence
 
     ``parcels``: key, area, bounds (and ``rings``); ``constraints``: ``c_``-prefixed
     ``c_type, c_severity, c_weight, c_buffer`` and bounds (and ``c_rings``). The share is that of
-    the buffered constraint; the buffer around rings is that of their convex hull, which is exact for
-    convex shapes and an upper bound for others (whether a pair meets is always exact).
+    the buffered constraint, whose ``c_id`` is unique if there are rings.
     """
     cb = pbox("c_")
     buffer = F.coalesce(F.col("c_buffer"), F.lit(0.0))
     if rings:
-        # Grown once a constraint, not once a pair.
-        constraints = constraints.withColumn("c_grown", F.when(buffer > 0, g.grown_hull("c_rings", buffer)))
         meets = F.when(buffer > 0, g.shape_distance("c_rings", "rings") <= buffer).otherwise(
             g.intersects("rings", "c_rings"))
-        shared = F.when(buffer > 0, g.clip_area_rings("rings", "c_grown")).otherwise(
-            g.overlap_area("rings", "c_rings"))
+        grown = sweep.buffer_shapes(constraints.select("c_id", "c_rings", buffer.alias("_d")), "c_rings", F.col("_d"))
+        grown = grown.select("c_id", "c_rings", *[F.col(c).alias("_g" + c) for c in BOX])
+        covered = sweep.covered_areas(parcels, grown, BOX, ["_g" + c for c in BOX], key, ("rings", "c_rings"),
+                                      group=["c_id"]).withColumnRenamed("area", "_shared")
+        shared = F.coalesce("_shared", F.lit(0.0))
     else:
         meets = g.box_box_distance(cb, BOX) <= buffer
         shared = F.when(buffer > 0, g.ring_area_in_box(g.buffered_box_ring(
             *cb, buffer), BOX)).otherwise(g.box_overlap(BOX, cb))
     pairs = box_pairs(constraints, parcels, cb, BOX, margin=buffer, condition=meets, **kw)
+    if rings:
+        pairs = pairs.join(covered, [*key, "c_id"], "left")
     overlap = F.when(F.col(area) > 0, shared / F.col(area)).otherwise(F.lit(0.0))
     return pairs.select(*key, "c_id", "c_type", "c_severity", "c_weight",
                         overlap.alias("overlap"))

@@ -13,6 +13,7 @@ from ..fixed_values import (DEFAULT_SENSITIVITY, GREEN_COVER, HAZARDS, MEASURES,
 from ..functions import geometry as g
 from ..functions.scalars import clamp, half_even, lookup, ratio
 from .gridjoin import box_pairs
+from . import sweep
 from .overlay import BOX, pbox, union_area
 
 
@@ -214,30 +215,38 @@ def network_impact(base: DataFrame, mitigated: DataFrame, key: Sequence[str] = (
 
 # ------------------------------------------------------------------ flood overlays
 def flood_exposure(hazards: DataFrame, buildings: DataFrame, zones: DataFrame,
-                   facilities: DataFrame) -> DataFrame:
-    """Exposure to the union of hazard boxes (``h_`` bounds): nothing counts twice.
+                   facilities: DataFrame, rings: bool = False) -> DataFrame:
+    """Exposure to the union of hazard areas (``h_`` bounds): nothing counts twice.
 
     ``buildings``: id, bounds, population_estimate; ``zones``: z_ columns; ``facilities``:
-    f_id, x, y.
+    f_id, x, y. With ``rings`` the three layers have shapes (``h_rings``, ``rings``, ``z_rings``);
+    without, their boxes are the shapes.
     """
-    hit = box_pairs(hazards, buildings, HBOX, BOX).select("id").distinct()
+    meets = g.intersects("h_rings", "rings") if rings else None
+    holds = g.covers_point("h_rings", "x", "y") if rings else None
+    hit = box_pairs(hazards, buildings, HBOX, BOX, condition=meets).select("id").distinct()
     b = buildings.join(hit, "id", "left_semi").agg(
         F.count(F.lit(1)).alias("buildings_exposed"),
         F.coalesce(F.sum("population_estimate"), F.lit(0.0)).alias("_bp"))
     total = buildings.agg(F.count(F.lit(1))).scalar()
     zb = [F.col("z_" + c) for c in BOX]
     hb = [F.col(c) for c in HBOX]
-    pieces = box_pairs(zones, hazards, pbox("z_"), HBOX).select(
-        "z_id", F.greatest(zb[0], hb[0]).alias("x0"), F.greatest(zb[1], hb[1]).alias("y0"),
-        F.least(zb[2], hb[2]).alias("x1"), F.least(zb[3], hb[3]).alias("y1"))
-    covered = union_area(pieces.where("x1 > x0 AND y1 > y0"), ["z_id"], ("x0", "y0", "x1", "y1"),
-                         "_a")
+    one = hazards.withColumn("_one", F.lit(1))
+    if rings:
+        covered = sweep.covered_areas(zones, hazards, pbox("z_"), HBOX, ["z_id"], ("z_rings", "h_rings")
+                                      ).withColumnRenamed("area", "_a")
+        whole, union = g.area("z_rings"), sweep.union_area(one, ["_one"], "h_rings", "_u")
+    else:
+        pieces = box_pairs(zones, hazards, pbox("z_"), HBOX).select(
+            "z_id", F.greatest(zb[0], hb[0]).alias("x0"), F.greatest(zb[1], hb[1]).alias("y0"),
+            F.least(zb[2], hb[2]).alias("x1"), F.least(zb[3], hb[3]).alias("y1"))
+        covered = union_area(pieces.where("x1 > x0 AND y1 > y0"), ["z_id"], ("x0", "y0", "x1", "y1"), "_a")
+        whole, union = g.box_area(*pbox("z_")), union_area(one, ["_one"], HBOX, "_u")
     pop = zones.join(covered, "z_id").agg(F.coalesce(F.sum(
-        F.col("z_population") * F.col("_a") / g.box_area(*pbox("z_"))), F.lit(0.0))).scalar()
-    fac = box_pairs(facilities, hazards, ("x", "y", "x", "y"), HBOX).select("f_id").distinct(
-        ).agg(F.count(F.lit(1))).scalar()
-    area = union_area(hazards.withColumn("_one", F.lit(1)), ["_one"], HBOX, "_u").agg(
-        F.sum("_u")).scalar()
+        F.col("z_population") * F.col("_a") / whole), F.lit(0.0))).scalar()
+    fac = box_pairs(facilities, hazards, ("x", "y", "x", "y"), HBOX, condition=holds).select(
+        "f_id").distinct().agg(F.count(F.lit(1))).scalar()
+    area = union.agg(F.sum("_u")).scalar()
     return b.select(
         half_even(area, 2).alias("hazard_area"), "buildings_exposed",
         total.alias("buildings_total"),
@@ -249,20 +258,34 @@ def flood_exposure(hazards: DataFrame, buildings: DataFrame, zones: DataFrame,
 
 # -------------------------------------------------------------------- environment
 def land_conversion(footprints: DataFrame, landcover: DataFrame, *, key: str = "id",
-                    land_use: str = "l_land_use", sensitivity: dict | None = None) -> DataFrame:
-    """footprint x land use: area converted, share and sensitivity weight."""
+                    land_use: str = "l_land_use", sensitivity: dict | None = None,
+                    rings: tuple[str, str] | None = None) -> DataFrame:
+    """footprint x land use: area converted, share and sensitivity weight. ``rings``: shape columns of both
+    layers (``landcover`` then has l_id); without, their boxes are the shapes."""
     sens = sensitivity or SENSITIVITY
-    pairs = box_pairs(footprints, landcover, BOX, pbox("l_"))
     use = F.coalesce(F.col(land_use), F.lit("unknown"))
-    rows = pairs.withColumn("_a", g.box_overlap(BOX, pbox("l_"))).where("_a > 0").groupBy(
-        key, use.alias("land_use")).agg(F.sum("_a").alias("_area"))
-    whole = footprints.select(key, g.box_area(*BOX).alias("_whole"))
+    if rings:
+        pairs = sweep.covered_areas(footprints, landcover.withColumn(land_use, use), BOX, pbox("l_"), [key], rings, group=["l_id", land_use]
+                                    ).withColumnRenamed("area", "_a")
+    else:
+        pairs = box_pairs(footprints, landcover, BOX, pbox("l_")).withColumn("_a", g.box_overlap(BOX, pbox("l_")))
+    rows = pairs.where("_a > 0").groupBy(key, use.alias("land_use")).agg(F.sum("_a").alias("_area"))
+    whole = footprints.select(key, (g.area(rings[0]) if rings else g.box_area(*BOX)).alias("_whole"))
     return rows.join(whole, key).select(
         key, "land_use", "_area", "_whole", half_even("_area", 2).alias("area_converted"),
         half_even(ratio("_area", "_whole"), 4).alias("share_of_footprint"),
         lookup(sens, F.col("land_use"), DEFAULT_SENSITIVITY).alias("sensitivity_weight"))
 
 
+def water_intrusion(footprints: DataFrame, water: DataFrame, distance: float, *, key: str = "id",
+                    rings: tuple[str, str] = ("rings", "w_rings"), quarter_segments: int = 16) -> DataFrame:
+    """``key, area``: how much of each footprint lies in the union of the water bodies grown by ``distance``. Both
+    layers have shapes and ``footprints`` bounds; footprints that no buffer meets are absent."""
+    near = sweep.buffer_shapes(water.select(rings[1]), rings[1], distance, quarter_segments)
+    near = near.select(rings[1], *[F.col(c).alias("_w" + c) for c in BOX])
+    return sweep.covered_areas(footprints, near, BOX, ["_w" + c for c in BOX], [key], rings)
+
+
 def environmental_summary(conversion: DataFrame, footprints: DataFrame,
                           intrusion: DataFrame | None = None, key: str = "id") -> DataFrame:
     """One row per footprint. ``intrusion``: key, area in the water buffer."""
