@@ -69,7 +69,9 @@ def _cut(edges: DataFrame, key: Sequence[str], size: float) -> DataFrame:
     left, right = F.greatest("x0", F.col("cx") * s), F.least("x1", (F.col("cx") + 1) * s)
     e = e.select(*key, "cx", "_layer", "w", "top", "last", left.alias("_l"), right.alias("_r"), _at(left).alias("_yl"),
                  _at(right).alias("_yr")).where("_r > _l")
-    e = e.withColumn("cy", _cells(F.least("_yl", "_yr"), F.col("top"), s)).where("last IS NULL OR cy <= last")
+    # The same last row for all edges of a shape: an upper edge on a border belongs to no cell above it.
+    e = e.withColumn("last", F.coalesce("last", (F.ceil(F.col("top") / s) - 1).cast("long")))
+    e = e.withColumn("cy", _cells(F.least("_yl", "_yr"), F.col("top"), s)).where("cy <= last")
     bottom, ceiling = F.col("cy") * s, (F.col("cy") + 1) * s
     slope = (F.col("_yr") - F.col("_yl")) / (F.col("_r") - F.col("_l"))
 

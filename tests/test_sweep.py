@@ -92,7 +92,7 @@ def test_buffers(spark):
     out = {r.grp: r.area for r in sweep.union_area(sweep.buffer_shapes(df, "rings", 1.0), ["grp"]).collect()}
     disc = 32 * math.sin(2 * math.pi / 64)
     assert out[1] == pytest.approx(100 + 40 + disc)
-    assert out[2] == pytest.approx(12 + 16 + disc - 1 - disc / 4)
+    assert out[2] == pytest.approx(12 + 16 + 1.25 * disc - 1)
     assert out[3] == pytest.approx(100 + 40 + disc - 4)
 
 
