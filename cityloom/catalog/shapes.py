@@ -64,7 +64,7 @@ SWEEP = """ed AS (SELECT k, layer, unnest(list_transform(range(1, len(p)), lambd
  st AS (SELECT k, (b-a)*(lead(y) OVER o-y) AS ar, sum(CASE WHEN layer=0 THEN w ELSE 0 END) OVER u>0 AS i,
  sum(CASE WHEN layer=1 THEN w ELSE 0 END) OVER u>0 AS j FROM ln WINDOW o AS (PARTITION BY k, a ORDER BY y),
  u AS (PARTITION BY k, a ORDER BY y ROWS UNBOUNDED PRECEDING)),
- sw AS (SELECT k, sum(ar) FILTER (i) AS one, sum(ar) FILTER (i AND j) AS both FROM st GROUP BY k)"""
+ sw AS (SELECT k, round(sum(ar) FILTER (i),6) AS one, round(sum(ar) FILTER (i AND j),6) AS both FROM st GROUP BY k)"""
 
 
 def grown_sql(rings: str) -> str:

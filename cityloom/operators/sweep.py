@@ -15,6 +15,7 @@ Outer rings run counter-clockwise and holes clockwise, as everywhere in this pac
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,10 +115,12 @@ def _pieces(edges: DataFrame, key: Sequence[str], size: float, cell_edges: int)
 
 
 def cell_size(shapes: DataFrame, rings: str) -> float:
-    """Side of a cell from one aggregation: the mean extent of a shape, less for shapes of many edges."""
+    """Side of a cell from one aggregation: about the mean extent of a shape, less for shapes of many edges. A power
+    of two, so that cell borders, also of finer cells, are exact numbers."""
     spread = [F.array_max(_values(rings, c)) - F.array_min(_values(rings, c)) for c in "xy"]
     extent, edges = shapes.agg(F.avg(F.greatest(*spread)), F.avg(F.size(F.flatten(F.col(rings))))).head()
-    return max(float(extent or 1.0) / max(1.0, (float(edges or 1.0) / 16.0) ** 0.5), 1e-6)
+    side = float(extent or 1.0) / max(1.0, (float(edges or 1.0) / 16.0) ** 0.5)
+    return 2.0 ** math.ceil(math.log2(max(side, 1e-6)))
 
 
 def overlay_areas(shapes: DataFrame, key: Sequence[str], rings: str = "rings", layer: str | None = None, *,
@@ -147,7 +150,8 @@ def overlay_areas(shapes: DataFrame, key: Sequence[str], rings: str = "rings", l
     strips = lines.select(
         *key, over[0].alias("_i"), over[1].alias("_j"),
         ((F.col("_b") - F.col("_a")) * (F.coalesce(height, (F.col("cy") + 1) * F.col("size")) - F.col("_y"))).alias("_area"))
-    total = [F.sum(F.when(c, F.col("_area")).otherwise(0.0)).alias(n) for c, n in (
+    # A millionth of a square metre is below the noise of sums of slabs.
+    total = [F.round(F.sum(F.when(c, F.col("_area")).otherwise(0.0)), 6).alias(n) for c, n in (
         (F.col("_i"), "area_first"), (F.col("_j"), "area_second"), (F.col("_i") & F.col("_j"), "area_both"))]
     return strips.groupBy(*key).agg(*total)
 
