@@ -8,8 +8,10 @@ from ..functions import geometry as g
 from ..operators import candidates, constraints, mcda
 from ..operators.overlay import BOX, prefixed
 from ..plans import suitability
+from ..session import cut
 from ..sources.layers import layer, table, with_layers
 from . import query
+from .network import AT, edge_sql, edges
 from .spatial import area, meet, shared
 
 
@@ -127,7 +129,7 @@ def zscore_sql(col, cost=False, part=""):
     return f"CASE WHEN {col} IS NULL THEN 0 WHEN {sd}=0 THEN 0.5 ELSE {s} END"
 
 
-NORMED = f"""WITH {METRICS}, n AS (SELECT *, {minmax_sql('population_served')} AS n1,
+NORMED = f"""WITH {METRICS}, n AS (SELECT *, {minmax_sql('population_served')} AS n1, {minmax_sql('travel_time_mean', True)} AS n2,
  {minmax_sql('slope', True)} AS n2, {minmax_sql('flood_risk', True, '0.1e0', '0.8e0')} AS n3 FROM m)"""
 SUM_SCORE = "round_even(n1*0.5,6)+round_even(n2*0.3,6)+round_even(n3*0.2,6)-penalty0"
 
@@ -276,13 +278,15 @@ def older_site_score(spark, d):
 # ------------------------------------------------------------------ site search
 REQ = suitability.Requirements(
     facility_type="hospital", required_area=1500.0, max_slope=15.0, max_flood_risk=0.7,
-    allowed_status=("vacant", "under_development"), service_radius=500.0, top_n=20)
+    allowed_status=("vacant", "under_development"), service_radius=500.0, travel_time_cutoff=60.0,
+    top_n=20)
 
 
 def search(spark, d, req=REQ):
     return suitability.site_suitability(
         parcels(spark, d), req, constraint_layer=constraint_layer(spark, d),
-        zones=layer(spark, d, "zone"), facilities=layer(spark, d, "facility"))
+        zones=layer(spark, d, "zone"), facilities=layer(spark, d, "facility"),
+        edges=cut(edges(spark, d)))
 
 
 # Edge-by-edge area of the 64-corner disc of radius {r} inside a box.
@@ -326,29 +330,46 @@ def population_in_reach(spark, d):
         F.coalesce("population", F.lit(0.0)), 1).alias("population"))
 
 
-SEARCH = CONS + HITS + f""", pen AS (SELECT id, round_even(sum(CASE WHEN severity<>'hard'
+def at_node(x, y):
+    """Nearest node of a place in SQL."""
+    d = f"(x-{x})*(x-{x})+(y-{y})*(y-{y})"
+    return f"(SELECT node FROM pos ORDER BY {d}, CAST(x AS BIGINT), CAST(y AS BIGINT) LIMIT 1)"
+
+
+# Mean time of the zones within a minute, one search a node where a surviving parcel stands.
+TIMES = f"""{edge_sql()}, {AT}, zc AS (SELECT population, (minx+maxx)/2 AS px, (miny+maxy)/2 AS py
+ FROM zone), zp AS (SELECT {at_node('px', 'py')} AS node, sum(population) AS w, count(*) AS n FROM zc GROUP BY 1),
+ pp AS (SELECT id, {at_node('pt.x', 'pt.y')} AS node FROM pt),
+ tm(target, node, c) USING KEY (target, node) AS (SELECT DISTINCT node, node, 0e0 FROM pp
+ UNION SELECT tm.target, e.src, min(tm.c+e.t) FROM tm JOIN e ON e.dst=tm.node LEFT JOIN recurring.tm r
+ ON r.target=tm.target AND r.node=e.src WHERE tm.c+e.t<=60 AND (r.node IS NULL OR tm.c+e.t<r.c)
+ GROUP BY tm.target, e.src), tt AS (SELECT target AS node, CASE WHEN sum(w)>0 THEN sum(c*w)/sum(w)
+ ELSE sum(c*n)/sum(n) END AS mean FROM tm JOIN zp USING (node) GROUP BY 1)"""
+
+SEARCH = CONS.replace("WITH ", "WITH RECURSIVE ", 1) + HITS + f""", pen AS (SELECT id, round_even(sum(CASE WHEN severity<>'hard'
  THEN weight*o END),6) AS s, count(*) FILTER (severity='hard') AS hard FROM hit GROUP BY id),
  alive AS (SELECT p.*, coalesce(pen.s,0) AS pen FROM parcel p LEFT JOIN pen ON pen.id=p.id
- WHERE len({FAILED})=0 AND coalesce(hard,0)=0), """ + REACH.format(src="alive") + f""",
+ WHERE len({FAILED})=0 AND coalesce(hard,0)=0), """ + REACH.format(src="alive") + ", " + TIMES + f""",
  same AS (SELECT pt.id, min(sqrt((pt.x-f.x)*(pt.x-f.x)+(pt.y-f.y)*(pt.y-f.y))) AS dist
  FROM pt JOIN facility f ON f.type='hospital' GROUP BY pt.id),
  m AS (SELECT 'cand-'||a.id AS candidate_id, a.id AS parcel_id, a.pen,
- round_even(coalesce(pop,0),2) AS population_served, CAST(NULL AS DOUBLE) AS travel_time_mean,
+ round_even(coalesce(pop,0),2) AS population_served, round_even(mean,2) AS travel_time_mean,
  round_even(dist,2) AS distance_to_same_type, flood_risk, slope
- FROM alive a LEFT JOIN reach USING (id) LEFT JOIN same USING (id)),
- n AS (SELECT *, {minmax_sql('population_served')} AS n1,
+ FROM alive a LEFT JOIN reach USING (id) LEFT JOIN same USING (id) LEFT JOIN pp USING (id)
+ LEFT JOIN tt ON tt.node=pp.node),
+ n AS (SELECT *, {minmax_sql('population_served')} AS n1, {minmax_sql('travel_time_mean', True)} AS n2,
  {minmax_sql('distance_to_same_type')} AS n3, {minmax_sql('flood_risk', True)} AS n4,
  {minmax_sql('slope', True)} AS n5 FROM m),
- s AS (SELECT *, round_even(least(1,greatest(0,round_even(n1*0.35,6)+round_even(n3*0.15,6)
+ s AS (SELECT *, round_even(least(1,greatest(0,round_even(n1*0.35,6)+round_even(n2*0.25,6)+round_even(n3*0.15,6)
  +round_even(n4*0.15,6)+round_even(n5*0.10,6)-pen)),6) AS score FROM n)"""
 
 
 @query(SEARCH + """ SELECT CAST(row_number() OVER (ORDER BY score DESC, candidate_id) AS BIGINT)
- AS rank, parcel_id, score, population_served
+ AS rank, parcel_id, score, population_served, travel_time_mean
  FROM s ORDER BY score DESC, candidate_id LIMIT 20""")
 def site_suitability(spark, d):
     return search(spark, d).records.select(
-        "rank", "parcel_id", "score", "population_served")
+        "rank", "parcel_id", "score", "population_served", "travel_time_mean")
 
 
 @query(SEARCH + """ SELECT (SELECT count(*) FROM parcel) AS parcels_evaluated,
@@ -359,13 +380,13 @@ def site_suitability_summary(spark, d):
     return search(spark, d).summary
 
 
-@query(SEARCH + """ SELECT parcel_id, 'min_distance_same_type' AS rule FROM s
- WHERE distance_to_same_type < 800""")
+@query(SEARCH + """ SELECT parcel_id, CASE WHEN travel_time_mean > 35 THEN 'max_travel_time'
+ ELSE 'min_distance_same_type' END AS rule FROM s WHERE travel_time_mean > 35 OR distance_to_same_type < 800""")
 def post_score_rules(spark, d):
     req = suitability.Requirements(
         facility_type="hospital", required_area=1500.0, max_slope=15.0, max_flood_risk=0.7,
         allowed_status=("vacant", "under_development"), service_radius=500.0,
-        min_distance_same_type=800.0)
+        travel_time_cutoff=60.0, max_travel_time=35.0, min_distance_same_type=800.0)
     return search(spark, d, req).rejected.select(
         "parcel_id", F.col("reject")["rule"].alias("rule"))
 

@@ -37,6 +37,7 @@ class Requirements:
     max_travel_time: float | None = None
     min_distance_same_type: float | None = None
     service_radius: float = 2000.0
+    travel_time_cutoff: float = 900.0
     top_n: int = 10
     method: str = "areal"
 
@@ -44,10 +45,11 @@ class Requirements:
 def site_suitability(parcels: DataFrame, req: Requirements, *,
                      constraint_layer: DataFrame | None = None,
                      zones: DataFrame | None = None, facilities: DataFrame | None = None,
-                     times: DataFrame | None = None, profile: DataFrame | None = None,
-                     labels: DataFrame | None = None) -> SiteSearch:
+                     times: DataFrame | None = None, edges: DataFrame | None = None,
+                     profile: DataFrame | None = None, labels: DataFrame | None = None) -> SiteSearch:
     """``constraint_layer`` is ``c_``-prefixed (see ``constraint_hits``). ``profile`` is a profile table;
-    else a planner's ``labels`` (label, weight), else the built-in one of the facility type."""
+    else a planner's ``labels`` (label, weight), else the built-in one of the facility type.
+    Travel times come from ``times`` (see ``candidates.generate``) or are found on ``edges``."""
     if profile is None:
         profile = (mcda.builtin_profile(parcels.sparkSession, req.facility_type) if labels is None
                    else mcda.planner_profile(labels, req.facility_type))
@@ -62,10 +64,12 @@ def site_suitability(parcels: DataFrame, req: Requirements, *,
     # Reports feed the survivors, the penalties and the summary: computed once.
     reports = cut(reports)
     alive = constraints.survivors(parcels, reports)
+    if edges is not None:
+        alive = cut(alive)  # read for people, distances and times
     same = None if facilities is None else facilities.where(
         F.col("type") == req.facility_type).select("id", "x", "y")
     found = candidates.generate(alive, zones, same, service_radius=req.service_radius,
-                                times=times, method=req.method,
+                                times=times, edges=edges, cutoff=req.travel_time_cutoff, method=req.method,
                                 penalties=reports.select("id", "soft_penalty"))
     kept, rejected = constraints.post_rules(
         cut(found), max_travel_time=req.max_travel_time,
