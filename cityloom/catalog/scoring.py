@@ -1,26 +1,31 @@
-"""Area scorecards and development packages for four study areas."""
+"""Area scorecards and development packages for four study areas, strips of every tile."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixed_values import DIMENSIONS
+from ..fixed_values import ACCESS_THRESHOLD_SECONDS, DIMENSIONS
 from ..functions import geometry as g
-from ..operators import aggregation, nearest, scorecard, traversal
+from ..operators import aggregation, network, scorecard, traversal
 from ..operators.overlay import BOX
 from ..session import cut
-from ..sources.layers import STREETS_SQL, layer, streets, with_layers
+from ..sources.layers import STREETS_SQL, junction_xy, layer, streets, with_layers
 from . import query
-from .network import REACH, edges
-from .spatial import area, stations, zone_points
+from .network import REACH, edges, roads as street_lines
+from .spatial import area
 
 BY = ["region"]
 NAMES = ("CASE {k}%4 WHEN 0 THEN 'adivali_devad' WHEN 1 THEN 'jnpt_port' "
          "WHEN 2 THEN 'chandigarh' ELSE 'rotterdam' END")
 
 
-def region(col):
-    return F.expr(NAMES.format(k=col))
+def strip(x):
+    """Region of a place by its easting within the tile."""
+    return NAMES.format(k=f"CAST(floor(({x}%10000)/2500) AS BIGINT)")
+
+
+def region(x):
+    return F.expr(strip(x))
 
 
 USES = ("CASE id%7 WHEN 0 THEN 'park' WHEN 1 THEN 'forest' WHEN 2 THEN '' WHEN 3 THEN "
@@ -29,45 +34,64 @@ USES = ("CASE id%7 WHEN 0 THEN 'park' WHEN 1 THEN 'forest' WHEN 2 THEN '' WHEN 3
 
 def parcels(spark, d):
     return layer(spark, d, "parcel").withColumns({
-        "region": region("id"), "area": g.box_area(*BOX), "land_use": F.expr(USES)})
+        "region": region("minx"), "area": g.box_area(*BOX), "land_use": F.expr(USES)})
 
 
 def roads(spark, d):
     s = streets(spark, d)
-    return s.select(region("src").alias("region"), "id", F.col("x0").alias("minx"),
+    return s.select(region("x0").alias("region"), "id", F.col("x0").alias("minx"),
                     F.col("y0").alias("miny"), F.col("x1").alias("maxx"),
                     F.col("y1").alias("maxy"), F.lit(200.0).alias("length_m"))
 
 
 def facilities(spark, d):
-    return layer(spark, d, "facility").withColumn("region", region("id"))
+    return layer(spark, d, "facility").withColumn("region", region("x"))
 
 
 def population(spark, d):
-    return layer(spark, d, "zone").groupBy(region("id").alias("region")).agg(
+    return layer(spark, d, "zone").groupBy(region("minx").alias("region")).agg(
         F.sum("population").alias("population"))
 
 
-def access_share(spark, d):
-    """Percent of people within 900 m of a facility, in place of travel time."""
-    near = nearest.nearest(zone_points(spark, d), stations(spark, d), left_id="zone_id",
-                           right_id="facility_id").withColumnRenamed("distance", "cost")
-    acc = aggregation.zone_access(zone_points(spark, d), near).withColumn(
-        "region", region("zone_id"))
-    return aggregation.access_summary(acc, 900.0, BY).select(
+def region_network(spark, d):
+    """Streets that begin in a region, as its own network."""
+    lines = street_lines(spark, d)
+    lines = lines.withColumn("region", F.expr(strip("line[0].x")))
+    return cut(network.build_edges(lines, "car", by=BY))
+
+
+def access_share(spark, d, net):
+    """Percent of people within 900 s of a facility on their region's network."""
+    nodes = cut(network.nodes_of(net, BY))
+    zones = layer(spark, d, "zone").select(
+        region("minx").alias("region"), F.col("id").alias("zone_id"), "population",
+        ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
+    homes = network.snap(zones, nodes, "zone_id", by=BY)
+    doors = network.snap(facilities(spark, d), nodes, "id", by=BY)
+    times = traversal.nearest_time(net, homes, doors, origin_key="zone_id", by=BY,
+                                   cutoff=ACCESS_THRESHOLD_SECONDS)
+    acc = aggregation.zone_access(zones, times, by=BY)
+    return aggregation.access_summary(acc, ACCESS_THRESHOLD_SECONDS, BY).select(
         "region", (F.col("coverage_ratio") * 100.0).alias("facility_access"))
 
 
+def at_region(of):
+    """Nearest node of the region's network in SQL."""
+    return (f"(SELECT node FROM gp WHERE gp.region={of}.region ORDER BY (x-px)*(x-px)+(y-py)*(y-py),"
+            " CAST(x AS BIGINT), CAST(y AS BIGINT) LIMIT 1)")
+
+
 RAW = with_layers("parcel", "zone", "facility").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
- st AS ({STREETS_SQL}), pa AS (SELECT * EXCLUDE (land_use), {NAMES.format(k='id')} AS region,
+ st AS ({STREETS_SQL}), pa AS (SELECT * EXCLUDE (land_use), {strip('minx')} AS region,
  {USES} AS land_use, {area('parcel')} AS area FROM parcel),
- ro AS (SELECT {NAMES.format(k='src')} AS region, x0, y0, x1, y1 FROM st),
- po AS (SELECT {NAMES.format(k='id')} AS region, sum(population) AS pop FROM zone GROUP BY 1),
+ ro AS (SELECT {strip('x0')} AS region, x0, y0, x1, y1, src, dst, oneway, road_class,
+ 200e0/(greatest(speed,1)*1000e0/3600e0) AS t FROM st),
+ po AS (SELECT {strip('minx')} AS region, sum(population) AS pop FROM zone GROUP BY 1),
  ex AS (SELECT region, (max(x1)-min(x0))*(max(y1)-min(y0))/1e6 AS km2 FROM (SELECT region, x0,
  y0, x1, y1 FROM ro UNION ALL SELECT region, minx, miny, maxx, maxy FROM pa) GROUP BY 1),
  mo AS (SELECT region, 'mobility' AS key, count(*)*0.2e0/any_value(km2) AS raw FROM ro
  JOIN ex USING (region) GROUP BY 1),
- fa AS (SELECT {NAMES.format(k='id')} AS region, type, x, y FROM facility),
+ fa AS (SELECT {strip('x')} AS region, type, x AS px, y AS py FROM facility),
  fc AS (SELECT region, count(*) FILTER (type IN ('hospital','clinic')) AS h,
  count(*) FILTER (type='school') AS e FROM fa GROUP BY 1),
  fp AS (SELECT region, 'healthcare' AS key, 1000e0*h/pop AS raw FROM fc JOIN po USING (region)
@@ -84,23 +108,41 @@ RAW = with_layers("parcel", "zone", "facility").replace("WITH ", "WITH RECURSIVE
  AND ro.y1>=pa.miny-30))/count(*) AS raw FROM pa GROUP BY 1),
  un AS (SELECT region, 'constraints' AS key, 100e0*count(*) FILTER (flood_risk<0.3)
  /count(flood_risk) AS raw FROM pa GROUP BY 1),
- zc AS (SELECT id, {NAMES.format(k='id')} AS region, population, (minx+maxx)/2 AS x,
- (miny+maxy)/2 AS y FROM zone), zn AS (SELECT zc.id, zc.region, population,
- min(sqrt((zc.x-f.x)*(zc.x-f.x)+(zc.y-f.y)*(zc.y-f.y))) AS c FROM zc CROSS JOIN facility f
- GROUP BY 1,2,3), ac AS (SELECT region, 'facility_access' AS key, 100e0*round_even(sum(CASE WHEN c<=900
- THEN population ELSE 0 END)/sum(population),4) AS raw FROM zn GROUP BY 1),
+ ge AS (SELECT region, src, dst, t FROM ro WHERE road_class<>'footway' UNION ALL SELECT region, dst, src, t
+ FROM ro WHERE road_class<>'footway' AND NOT oneway),
+ gn AS (SELECT region, src AS node FROM ge UNION SELECT region, dst FROM ge),
+ gp AS (SELECT *, {junction_xy('node')[0]} AS x, {junction_xy('node')[1]} AS y FROM gn),
+ zc AS (SELECT {strip('minx')} AS region, population, (minx+maxx)/2 AS px, (miny+maxy)/2 AS py FROM zone),
+ zn AS (SELECT region, population, {at_region('zc')} AS node FROM zc),
+ fn AS (SELECT region, {at_region('fa')} AS node FROM fa),
+ sp(region, node, c) USING KEY (region, node) AS (SELECT DISTINCT region, node, 0e0 FROM fn UNION
+ SELECT sp.region, ge.src, min(sp.c+ge.t) FROM sp JOIN ge ON ge.region=sp.region AND ge.dst=sp.node LEFT JOIN
+ recurring.sp r ON r.region=ge.region AND r.node=ge.src WHERE r.node IS NULL OR sp.c+ge.t<r.c
+ GROUP BY sp.region, ge.src),
+ ac AS (SELECT region, 'facility_access' AS key, 100e0*round_even(sum(CASE WHEN c<=900
+ THEN population ELSE 0 END)/sum(population),4) AS raw FROM zn LEFT JOIN sp USING (region, node) GROUP BY 1),
+ gu AS (SELECT region, src, dst FROM ge UNION SELECT region, dst, src FROM ge),
+ lb(region, node, l) USING KEY (region, node) AS (SELECT region, src, src FROM gu GROUP BY region, src UNION
+ SELECT gu.region, gu.dst, min(lb.l) FROM lb JOIN gu ON gu.region=lb.region AND gu.src=lb.node JOIN
+ recurring.lb r ON r.region=gu.region AND r.node=gu.dst WHERE lb.l<r.l GROUP BY gu.region, gu.dst),
+ lc AS (SELECT region, l, count(*) AS n FROM lb GROUP BY 1,2),
+ em AS (SELECT region, least(1,count(*) FILTER (type='fire_station')/3e0)*100 AS cover FROM fa GROUP BY 1),
+ re AS (SELECT region, 'resilience' AS key, 0.7e0*(100e0*max(n)/sum(n))+0.3e0*any_value(coalesce(cover,0)) AS raw
+ FROM lc LEFT JOIN em USING (region) GROUP BY 1),
  raw AS (SELECT * FROM mo UNION ALL SELECT * FROM fp UNION ALL SELECT * FROM gr
  UNION ALL SELECT * FROM mi UNION ALL SELECT * FROM fr UNION ALL SELECT * FROM un
- UNION ALL SELECT * FROM ac UNION ALL SELECT region, 'resilience', CAST(NULL AS DOUBLE) FROM po)"""
+ UNION ALL SELECT * FROM ac UNION ALL SELECT * FROM re)"""
 
 
 def raw(spark, d):
     p, r, f, pop = parcels(spark, d), roads(spark, d), facilities(spark, d), population(spark, d)
-    parts = [scorecard.road_density(r, p, BY),
-             scorecard.facility_provision(f, pop, BY).drop("emergency"),
+    net = region_network(spark, d)
+    provision = scorecard.facility_provision(f, pop, BY)
+    parts = [scorecard.road_density(r, p, BY), provision.drop("emergency"),
              scorecard.green_space(p, pop, BY), scorecard.land_use_mix(p, BY),
              scorecard.frontage_share(p, r, BY), scorecard.unconstrained_share(p, BY),
-             access_share(spark, d)]
+             access_share(spark, d, net), scorecard.resilience_index(
+                 traversal.component_sizes(net, BY), provision, BY)]
     return scorecard.raw_measures(pop, parts, BY)
 
 

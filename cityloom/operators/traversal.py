@@ -441,6 +441,15 @@ def degree_summary(edges: DataFrame) -> DataFrame:
     return e.select(n.alias("nodes"), "edges", F.bround(2.0 * u / n, 3).alias("average_degree"))
 
 
+def component_sizes(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by..., component, n``: nodes of every component of the networks that ``by`` tells apart,
+    all found in one run of :func:`components` over (by..., node) names."""
+    named = edges.select(*[F.struct(*by, F.col(c).alias("node")).alias(c) for c in ("src", "dst")])
+    return components(named).groupBy(
+        *[F.col("node")[k].alias(k) for k in by], F.col("component")["node"].alias("component")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def component_summary(labelled: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("connected_components"),
