@@ -221,10 +221,15 @@ def degree_summary(spark, d):
 
 
 # The core is everything that reaches, and is reached from, the hub of the biggest component.
-@query(f"""WITH RECURSIVE {edge_sql()}, ends AS (SELECT src AS n FROM e UNION SELECT dst FROM e),
- f(a, n) AS (SELECT n, n FROM ends UNION SELECT f.a, e.dst FROM f JOIN e ON e.src=f.n),
- scc AS (SELECT x.a AS node, min(x.n) AS c FROM f x JOIN f y ON y.a=x.n AND y.n=x.a GROUP BY x.a),
- big AS (SELECT c FROM scc GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)
- SELECT node FROM scc WHERE c=(SELECT c FROM big)""")
+def core_sql(tag, edge):
+    """``{tag}core(node)`` from the closure of an edge table."""
+    f, scc = f"{tag}f", f"{tag}scc"
+    return f"""{tag}ends AS (SELECT src AS n FROM {edge} UNION SELECT dst FROM {edge}),
+ {f}(a, n) AS (SELECT n, n FROM {tag}ends UNION SELECT {f}.a, {edge}.dst FROM {f} JOIN {edge} ON {edge}.src={f}.n),
+ {scc} AS (SELECT x.a AS node, min(x.n) AS c FROM {f} x JOIN {f} y ON y.a=x.n AND y.n=x.a GROUP BY x.a),
+ {tag}core AS (SELECT node FROM {scc} WHERE c=(SELECT c FROM {scc} GROUP BY c ORDER BY count(*) DESC, c LIMIT 1))"""
+
+
+@query(f"WITH RECURSIVE {edge_sql()}, {core_sql('', 'e')} SELECT node FROM core")
 def routable_core(spark, d):
     return traversal.routable_core(edges(spark, d)).select(grid_node("node").alias("node"))

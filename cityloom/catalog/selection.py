@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..fixed_values import OFF_NETWORK_WARN_M
 from ..operators import nearest, network, selection
 from ..plans import analysis, response
 from ..session import cut
 from ..sources.layers import junction_xy, layer, with_layers
 from . import query
-from .network import (AT, FAC_AT, edge_sql, edges, facility_nodes, grid_node)
+from .network import core_sql, edge_sql, edges, facility_nodes, grid_node
 from .spatial import stations, zone_points
 
 REACH_M = 1500.0
@@ -207,7 +208,8 @@ def fire_stations(spark, d):
 
 def primary(spark, d, top_n=1):
     net = cut(two_runs(spark, d))
-    core = cut(network.nodes_of(net, ["run"]))
+    core = cut(response.cores(net, ["run"], ["baseline", "degraded"]))
+    # Where people and stations stand may be off the core: they take its nearest node.
     at = cut(response.snap_per_run(incidents(spark, d), core, "incident_id", ["run"]))
     dist = response.times_to(net, at, ["run"])
     resp = response.responses(net, core, at, fire_stations(spark, d), dist, by=["run"])
@@ -223,24 +225,34 @@ def rec(tag, edge, sel):
             f" {edge}.src)")
 
 
-DAT = (", dnodes AS (SELECT DISTINCT src AS node FROM dg UNION SELECT dst FROM dg), dpos AS (SELECT"
-       f" node, {junction_xy('node')[0]} AS x, {junction_xy('node')[1]} AS y FROM dnodes), "
-       + FAC_AT.replace("fa AS", "dfa AS").replace("fs AS", "dfs AS").replace("FROM pos", "FROM dpos")
-       .replace("FROM fa)", "FROM dfa)"))
+def on_core(tag, core):
+    """Facilities at the nearest node of a core, with the distance to it."""
+    (nx, ny), (jx, jy) = junction_xy("node"), junction_xy("j")
+    return (f"{tag}pos AS (SELECT node, {nx} AS x, {ny} AS y FROM {core}), {tag}fs AS (SELECT facility_id, type,"
+            f" near.node AS node, sqrt(near.d) AS snap FROM (SELECT id AS facility_id, type, {jx} AS px, {jy} AS py FROM"
+            f" (SELECT id, type, (id*7919)%(SELECT count(*) FROM part) AS j FROM facility)), LATERAL (SELECT node,"
+            f" (x-px)*(x-px)+(y-py)*(y-py) AS d FROM {tag}pos ORDER BY d, CAST(x AS BIGINT), CAST(y AS BIGINT)"
+            " LIMIT 1) near)")
+
+
 RESP = (with_layers("facility").replace("WITH ", "WITH RECURSIVE ", 1)
-        + f", {EM}, {DEG}, {AT}, {FAC_AT}{DAT}, " + rec("b", "e", "fs") + ", " + rec("q", "dg", "dfs")
-        + """, rs AS (SELECT 'baseline' AS run, inc, facility_id AS st, round_even(c,1) AS drive,
- round_even(c+60,1) AS resp FROM b JOIN fs ON fs.node=b.node AND fs.type='fire_station'
- UNION ALL SELECT 'degraded', inc, facility_id, round_even(c,1), round_even(c+60,1) FROM q JOIN dfs
- ON dfs.node=q.node AND dfs.type='fire_station'), rk AS (SELECT *, row_number() OVER (PARTITION BY
+        + f", {EM}, {DEG}, {core_sql('', 'e')}, {core_sql('d', 'dg')}, {on_core('', 'core')}, {on_core('d', 'dcore')}, "
+        + rec("b", "e", "fs") + ", " + rec("q", "dg", "dfs")
+        + """, rs AS (SELECT 'baseline' AS run, inc, fs.facility_id AS st, round_even(c,1) AS drive,
+ round_even(c+60,1) AS resp, round_even(fs.snap,1) AS home, round_even(h.snap,1) AS stage FROM b JOIN fs ON fs.node=b.node
+ AND fs.type='fire_station' JOIN fs h ON h.facility_id=inc
+ UNION ALL SELECT 'degraded', inc, dfs.facility_id, round_even(c,1), round_even(c+60,1), round_even(dfs.snap,1),
+ round_even(h.snap,1) FROM q JOIN dfs ON dfs.node=q.node AND dfs.type='fire_station' JOIN dfs h ON h.facility_id=inc), rk AS (SELECT *, row_number() OVER (PARTITION BY
  run, inc ORDER BY resp, st) AS rank FROM rs)""")
 
 
-@query(RESP + """ SELECT run, inc AS incident_id, st AS station_id, drive AS drive_time_s,
- resp AS response_time_s, CAST(rank AS INTEGER) AS rank, rank=1 AS is_primary FROM rk WHERE rank<=3""")
+@query(RESP + f""" SELECT run, inc AS incident_id, st AS station_id, drive AS drive_time_s,
+ resp AS response_time_s, CAST(rank AS INTEGER) AS rank, rank=1 AS is_primary,
+ stage AS staging_distance_m, home AS station_snap_distance_m, stage>{OFF_NETWORK_WARN_M} AS off_network FROM rk WHERE rank<=3""")
 def emergency_routes(spark, d):
     return primary(spark, d, 3).select("run", "incident_id", "station_id", "drive_time_s",
-                                       "response_time_s", "rank", "is_primary")
+                                       "response_time_s", "rank", "is_primary", "staging_distance_m",
+                                       "station_snap_distance_m", "off_network")
 
 
 @query(RESP + """, b1 AS (SELECT * FROM rk WHERE rank=1 AND run='baseline'), d1 AS (SELECT * FROM rk
