@@ -6,8 +6,9 @@ repetition, place in the text, and the same of its neighbours). A linear-chain c
 content hold at least ``CONTENT_SHARE`` of its words and the two base rules do not fail it.
 
 The field is fitted on the driver to lines of a bounded sample: ``SAMPLE_TEXTS`` texts of each quality in
-``labels``, picked by a hash of the id, none above ``SAMPLE_CHARS`` characters. All counts are exact and
-come from whole texts inside the scan tasks, without a shuffle.
+``labels``, picked by a hash of the id, none above ``SAMPLE_CHARS`` characters, and to texts spliced from a
+good and a bad one of them, so that changes between the labels are seen. All counts are exact and come from
+whole texts inside the scan tasks, without a shuffle.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+``; a null or blank text has no words, so it fails. Without
 labels to learn from, the base rules decide alone. Repeated rows and null ids are judged by their own text.
@@ -16,6 +17,7 @@ Other columns, of any name, play no part. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,7 @@ WINDOW = 8               # words of a window that counts as repeated
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 CONTENT, BOILERPLATE = 0, 1
+_WORD = re.compile(rb"[^\x20\x09-\x0D]")
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -144,19 +147,38 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return top_per_group(found, ["quality"], [F.col("order"), F.col("id"), F.col("text")], SAMPLE_TEXTS).select("quality", "text")
 
 
+def _worded(text: bytes) -> list[bytes]:
+    return [line for line in text.split(b"\n") if _WORD.search(line)]
+
+
+def splice(good: list[bytes], bad: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
+    """Texts made of a good and a bad one, in turn one after the other, the other way round, and the bad
+    one in the middle of the good one; and the labels of their lines that have a word."""
+    texts, marks = [], []
+    for i, (a, b) in enumerate(zip(good, bad, strict=False)):
+        a, b = _worded(a), _worded(b)
+        at = (len(a), 0, len(a) // 2)[i % 3]
+        texts.append(b"\n".join(a[:at] + b + a[at:]))
+        marks.append(np.repeat([CONTENT, BOILERPLATE, CONTENT], [at, len(b), len(a) - at]))
+    return texts, marks
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> ChainCRF | None:
     """The field fitted to the sample; None unless it has texts of both qualities."""
-    rows = sorted((r["quality"], r["text"]) for r in training_rows(docs, labels).collect())
-    if len({q for q, _ in rows}) < 2:
+    rows = sorted((r["quality"], r["text"].encode()) for r in training_rows(docs, labels).collect())
+    good, bad = ([t for q, t in rows if q == k] for k in (1, 0))
+    if not good or not bad:
         return None
-    lines = Lines([t.encode() for _, t in rows])
-    ends = np.cumsum(lines.per_text)
+    mixed, marks = splice(good, bad)
+    lines = Lines([*bad, *good, *mixed])
+    own = [np.full(n, BOILERPLATE if i < len(bad) else CONTENT)
+           for i, n in enumerate(lines.per_text[:len(rows)])]
     sequences = []
-    for (quality, _), n, end in zip(rows, lines.per_text, ends, strict=True):
-        for at in range(end - n, end, 64):  # long texts are learned from in parts
-            stop = min(at + 64, end)
-            sequences.append((lines.features[at:stop],
-                              np.full(stop - at, CONTENT if quality else BOILERPLATE)))
+    for label, end in zip([*own, *marks], np.cumsum(lines.per_text), strict=True):
+        first = end - len(label)
+        for at in range(0, len(label), 64):  # long texts are learned from in parts
+            part = label[at:at + 64]
+            sequences.append((lines.features[first + at:first + at + len(part)], part))
     return fit(sequences, CARDS, 2)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from cityloom.llm.crf import ChainCRF, fit
-from cityloom.llm.line_quality import judge, learn
+from cityloom.llm.line_quality import CONTENT, Lines, judge, learn, splice
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "doc_id long, text string, key string, n_words string, kept string"
@@ -102,6 +102,22 @@ def test_held_out_labels(spark):
     assert np.mean([r.kept for r in bad]) < 0.05
 
 
+def test_mixed_texts(spark):
+    """Content share of held-out texts spliced from a good and a bad one, in words."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = learn(docs, labels.where("doc_id % 2 = 0"))
+    rows = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").where("length(text) BETWEEN 200 AND 20000").orderBy(
+        "doc_id").select("quality", "text").collect()
+    good, bad = ([r.text.encode() for r in rows if r.quality == q][:300] for q in (1, 0))
+    texts, marks = splice(good, bad)
+    x = Lines(texts)
+    label = model.decode(model.scores(x.features), x.per_text[x.per_text > 0])
+    want = np.bincount(x.line_text, x.line_words * (np.concatenate(marks) == CONTENT)) / x.n_words
+    got = np.bincount(x.line_text, x.line_words * (label == CONTENT), len(texts)) / x.n_words
+    print(len(texts), np.abs(got - want).mean(), np.mean((got == 0) | (got == 1)))
+    assert len(texts) > 100 and np.abs(got - want).mean() < 0.05
+
+
 def test_awkward_rows(spark):
     lines = "one two three four five six seven eight nine\n" * 3
     rows = [(1, None), (2, ""), (3, " \n\t\n"), (4, lines), (None, lines + "é ü | <x> $ 中文\r\n\x0b"), (4, lines),
