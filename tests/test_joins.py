@@ -1,5 +1,6 @@
 """Grid joins, neighbours and ordered scans against brute force, hot spots included."""
 
+import math
 import random
 
 from pyspark.sql import Window
@@ -76,6 +77,39 @@ def test_k_nearest_with_copies_and_far_points(spark):
             assert [got[lid, i + 1] for i in range(k)] == [t[0] for t in order[:k]]
 
 
+def test_far_seekers_of_a_dense_centre_compare_few_places(spark):
+    rng = random.Random(6)
+    right = [(i, rng.gauss(0, 0.5), rng.gauss(0, 0.5)) for i in range(4000)]
+    right += [(4000 + i, rng.uniform(-900, 900), rng.uniform(-900, 900)) for i in range(40)]
+    left = [(i, rng.uniform(-5000, 5000), rng.uniform(-5000, 5000)) for i in range(40)]
+    left += [(40 + i, rng.gauss(0, 0.5), rng.gauss(0, 0.5)) for i in range(40)]
+    ls = spark.createDataFrame(left, "lid int, x double, y double")
+    rs = spark.createDataFrame(right, "rid int, rx double, ry double")
+    k, xy = 3, ("rx", "ry")
+    base, top = nearest._levels(rs, xy, (), k, *nearest._spans(ls, ("x", "y"), rs, xy))
+    cells, _ = nearest.search_cells(ls, rs.withColumns(nearest._base_cell(xy, base)), ("x", "y"), (), k,
+                                    base, top, float("inf"))
+    most = cells.groupBy("x", "y").agg(F.sum("_n").alias("n")).agg(F.max("n"), F.count("n")).head()
+    assert most[0] <= nearest.CROWD + 16 * k and most[1] == len(left)
+    for far in (None, 40.0):
+        got = {(r.lid, r["rank"]): r.rid for r in nearest.k_nearest(
+            ls, rs, k, left_id="lid", right_id="rid", max_distance=far).collect()}
+        want = {}
+        for lid, x, y in left:
+            order = sorted((math.hypot(t[1] - x, t[2] - y), t[0]) for t in right)[:k]
+            want |= {(lid, i + 1): r for i, (d, r) in enumerate(order) if far is None or d <= far}
+        assert got == want
+
+
+def test_groups_with_fewer_places_than_asked(spark):
+    ls = spark.createDataFrame([("a", 1, 0.0, 0.0), ("b", 2, 0.0, 0.0), ("c", 3, 0.0, 0.0),
+                                ("a", 4, None, 0.0)], "g string, lid int, x double, y double")
+    rs = spark.createDataFrame([("a", 7, 3e6, 4e6), ("b", 8, 0.0, 0.0), ("b", 9, 0.0, 0.0),
+                                ("b", 5, -1.0, 0.0)], "g string, rid int, rx double, ry double")
+    got = nearest.k_nearest(ls, rs, 2, left_id="lid", right_id="rid", on=["g"]).collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 7, 5e6, 1), ("b", 2, 8, 0.0, 1), ("b", 2, 9, 0.0, 2)]
+
+
 def test_nothing_to_find(spark):
     ls = spark.createDataFrame([(1, 0.0, 0.0)], "lid int, x double, y double")
     rs = spark.createDataFrame([], "rid int, rx double, ry double")
