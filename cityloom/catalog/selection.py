@@ -90,17 +90,21 @@ def p_median(spark, d):
     return selection.greedy_p_median(pairs, demand, cands, 4)
 
 
-@query(f"""{PAIRS}, op AS (SELECT id AS candidate FROM facility ORDER BY id LIMIT 5), b AS (SELECT
- demand, w, min(cost) AS c FROM pr WHERE candidate IN (SELECT candidate FROM op) GROUP BY 1,2),
- t AS (SELECT sum(population) AS t FROM zone) SELECT round_even(sum(c*w),2) AS
- objective_weighted_cost, round_even(sum(c*w)/sum(w),2) AS mean_cost_per_demand_unit,
+@query(with_layers("zone", "facility") + """, op AS (SELECT * FROM facility ORDER BY id LIMIT 5), b AS (SELECT
+ z.id, population AS w, min(round(sqrt(((minx+maxx)/2-x)*((minx+maxx)/2-x)+((miny+maxy)/2-y)*((miny+maxy)/2-y)),4))
+ AS c FROM zone z CROSS JOIN op GROUP BY 1,2), t AS (SELECT sum(population) AS t FROM zone) SELECT
+ round_even(sum(c*w),2) AS objective_weighted_cost, round_even(sum(c*w)/sum(w),2) AS mean_cost_per_demand_unit,
  sum(w) AS demand_served, any_value(t) AS demand_total, round_even(sum(w)/any_value(t),4)
  AS demand_coverage FROM b, t""")
 def nearest_site_assignment(spark, d):
-    """The plain first-p fallback, assigned and measured."""
-    pairs, demand, cands = problem(spark, d)
-    got = selection.assign_nearest(pairs, demand, selection.first_p(cands, 5))
-    return selection.assignment_metrics(got, demand)
+    """The plain first-p fallback, assigned at any distance and measured."""
+    z, f = zone_points(spark, d), stations(spark, d).withColumnRenamed("facility_id", "candidate")
+    opened = cut(selection.first_p(f, 5))
+    pairs = nearest.nearest(z, f.join(opened, "candidate", "left_semi"), left_id="zone_id",
+                            right_id="candidate").select(
+        F.col("zone_id").alias("demand"), "candidate", F.round("distance", 4).alias("cost"))
+    demand = z.select(F.col("zone_id").alias("demand"), F.col("population").alias("weight"))
+    return selection.assignment_metrics(selection.assign_nearest(pairs, demand, opened), demand)
 
 
 def items(spark, d):
@@ -131,18 +135,16 @@ def budget_metrics(spark, d):
 
 def assignment(spark, d):
     z, f = zone_points(spark, d), stations(spark, d)
-    pairs = nearest.distance_pairs(z, f, REACH_M).select(
-        F.col("zone_id").alias("zone"), F.col("facility_id").alias("facility"), "cost")
-    fac = f.select(F.col("facility_id").alias("facility"),
+    fac = f.select(F.col("facility_id").alias("facility"), "rx", "ry",
                    (F.col("capacity") * 150).alias("capacity"))
-    got = selection.assign_with_capacity(
-        pairs, z.select(F.col("zone_id").alias("zone"), "population"), fac)
+    got = selection.assign_widening(
+        z.select(F.col("zone_id").alias("zone"), "x", "y", "population"), fac, REACH_M)
     return got, fac
 
 
 @query()
 def capacity_assignment(spark, d):
-    """Zones to facilities, nearest first, while there is room."""
+    """Zones to facilities, nearest first, while there is room anywhere."""
     return assignment(spark, d)[0].withColumn(
         "travel_time_seconds", F.bround("travel_time_seconds", 1))
 

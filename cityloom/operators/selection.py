@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even, ratio
 from ..session import cut, is_empty
+from .nearest import distance_pairs
 from .scan import running_total
 
 
@@ -180,15 +182,29 @@ def assign_with_capacity(pairs: DataFrame, zones: DataFrame, facilities: DataFra
     elsewhere and as far as running totals fit. The globally cheapest pair is always
     settled, so each round makes progress.
     """
-    inf = F.lit(float("inf"))
+    todo = pairs.join(zones.select("zone", F.coalesce("population", F.lit(0.0)).alias("pop")), "zone")
+    return _renamed(_settle(todo, cut(_rooms(facilities, respect_capacity)))[0])
+
+
+def _rooms(facilities: DataFrame, respect_capacity: bool, *keep: str) -> DataFrame:
     room = F.when(F.lit(respect_capacity) & (F.coalesce("capacity", F.lit(0.0)) > 0),
-                  F.col("capacity")).otherwise(inf)
-    fac = cut(facilities.select("facility", room.cast("double").alias("room")))
-    todo = cut(pairs.join(zones.select("zone", F.coalesce(
-        "population", F.lit(0.0)).alias("pop")), "zone"))
+                  F.col("capacity")).otherwise(F.lit(float("inf")))
+    return facilities.select("facility", *keep, room.cast("double").alias("room"))
+
+
+def _renamed(done: DataFrame) -> DataFrame:
+    return done.select("zone", "facility", F.col("cost").alias("travel_time_seconds"),
+                       F.col("pop").alias("population"))
+
+
+def _settle(todo: DataFrame, fac: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assigned zones (zone, facility, cost, pop), and the facilities with the room left."""
+    inf = F.lit(float("inf"))
+    extra = [c for c in fac.columns if c not in ("facility", "room")]
+    todo = cut(todo.select("zone", "facility", "cost", "pop"))
     done: DataFrame | None = None
     while True:
-        valid = cut(todo.join(fac, "facility").where(F.col("pop") <= F.col("room")))
+        valid = cut(todo.join(fac.drop(*extra), "facility").where(F.col("pop") <= F.col("room")))
         if is_empty(valid):
             break
         wish = valid.groupBy("zone").agg(F.min(F.struct("cost", "facility")).alias("w"))
@@ -207,12 +223,39 @@ def assign_with_capacity(pairs: DataFrame, zones: DataFrame, facilities: DataFra
         done = accepted if done is None else done.unionByName(accepted)
         used = accepted.groupBy("facility").agg(F.sum("pop").alias("_u"))
         fac = cut(fac.join(used, "facility", "left").select(
-            "facility", (F.col("room") - F.coalesce("_u", F.lit(0.0))).alias("room")))
+            "facility", *extra, (F.col("room") - F.coalesce("_u", F.lit(0.0))).alias("room")))
         todo = cut(valid.select("zone", "facility", "cost", "pop").join(
             accepted.select("zone"), "zone", "left_anti"))
-    out = done if done is not None else todo.limit(0)
-    return out.select("zone", "facility", F.col("cost").alias("travel_time_seconds"),
-                      F.col("pop").alias("population"))
+    return (done if done is not None else todo.limit(0)), fac
+
+
+def assign_widening(zones: DataFrame, facilities: DataFrame, first_reach: float,
+                    respect_capacity: bool = True) -> DataFrame:
+    """:func:`assign_with_capacity` by straight distance, without a reach.
+
+    ``zones``: zone, x, y, population; ``facilities``: facility, rx, ry, capacity. The greedy
+    order takes cheaper pairs first, so pairs are made band by band: up to ``first_reach``, then
+    each time up to twice as far (eight times after an empty band), only between zones still open and facilities with room for
+    them. The result is that of all pairs at once. It ends when no open zone fits anywhere, or
+    the last band has spanned both layers; a zone without a position is never assigned.
+    """
+    open_ = cut(zones.where("x IS NOT NULL AND y IS NOT NULL").select(
+        "zone", "x", "y", F.coalesce("population", F.lit(0.0)).alias("pop")))
+    fac = cut(_rooms(facilities, respect_capacity, "rx", "ry"))
+    ends = open_.select("x", "y").union(fac.select("rx", "ry")).agg(
+        F.max("x") - F.min("x"), F.max("y") - F.min("y")).head()
+    span = 0.0 if ends[0] is None else math.hypot(*ends) * (1 + 1e-9)
+    done, low, high = None, -1.0, float(first_reach)
+    while True:
+        pairs = distance_pairs(open_, fac, high).where(
+            (F.col("cost") > low) & (F.col("pop") <= F.col("room")))
+        got, fac = _settle(pairs, fac)
+        done = got if done is None else done.unionByName(got)
+        open_ = cut(open_.join(got.select("zone"), "zone", "left_anti"))
+        most = fac.agg(F.max("room")).head()[0]
+        if high >= span or most is None or is_empty(open_.where(F.col("pop") <= most)):
+            return _renamed(done)
+        low, high = high, high * (8 if is_empty(got) else 2)
 
 
 def facility_loads(assigned: DataFrame, facilities: DataFrame) -> DataFrame:

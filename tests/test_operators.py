@@ -1,5 +1,6 @@
 """Rules with ordered or NULL semantics against small brute-force versions."""
 
+import math
 import random
 
 import pytest
@@ -91,6 +92,26 @@ def test_capacity_assignment_matches_loop(spark):
         assert {r.zone: r.facility for r in got.collect()} == want
 
 
+def test_assignment_without_a_reach_matches_loop(spark):
+    """Bands that double give what one pass over all pairs gives, far demand included."""
+    rng = random.Random(12)
+    zones = [(z, rng.uniform(0, 50), rng.uniform(0, 50), float(rng.randint(0, 9))) for z in range(20)]
+    zones += [(30, 4000.0, 10.0, 3.0), (31, -9000.0, 0.0, 500.0), (32, None, 0.0, 1.0), (33, 1.0, 1.0, None)]
+    fac = [(0, 5.0, 5.0, 40.0), (1, 6.0, 6.0, 25.0), (2, 45.0, 45.0, 30.0), (3, 900.0, 0.0, 60.0)]  # zone 31 fits nowhere
+    room = {f: c or float("inf") for f, _, _, c in fac}
+    want = {}
+    for d, z, f, pop in sorted((math.hypot(x - a, y - b), z, f, pop or 0.0) for z, x, y, pop in zones
+                               if x is not None for f, a, b, _ in fac):
+        if z not in want and pop <= room[f]:
+            want[z] = f
+            room[f] -= pop
+    got = selection.assign_widening(
+        spark.createDataFrame(zones, "zone int, x double, y double, population double"),
+        spark.createDataFrame(fac, "facility int, rx double, ry double, capacity double"), 30.0)
+    assert {r.zone: r.facility for r in got.collect()} == want
+    assert 31 not in want and 30 in want and 33 in want
+
+
 def test_capacity_tie_skips_and_goes_on(spark):
     pairs = spark.createDataFrame([(1, 1, 1.0), (2, 1, 2.0), (3, 1, 3.0)],
                                   "zone int, facility int, cost double")
