@@ -105,6 +105,8 @@ def _pieces(edges: DataFrame, key: Sequence[str], size: float, cell_edges: int)
         cut = written(_cut(edges, key, size))
         full = written(cut.groupBy(*slot).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_edges).drop("n"))
         last = cuts == MOST_CUTS or not full.limit(1).count()
+        # Tables of pieces are small as files and large as rows: none is broadcast.
+        full = full.hint("merge")
         fine = cut if last else cut.join(full, slot, "left_anti")
         kept = fine if kept is None else kept.unionByName(fine)
         if last:
@@ -136,12 +138,12 @@ def overlay_areas(shapes: DataFrame, key: Sequence[str], rings: str = "rings", l
     before, after = _at(low, "a_") - _at(low, "b_"), _at(high, "a_") - _at(high, "b_")
     order = F.struct(*["a_" + c for c in _PIECE]) < F.struct(*["b_" + c for c in _PIECE])
     # Only pairs that cross come out of this join.
-    crossings = a.join(b, slot).where(order & (low < high) & (before * after < 0)).select(
+    crossings = a.join(b.hint("merge"), slot).where(order & (low < high) & (before * after < 0)).select(
         *slot, (low + (high - low) * (before / (before - after))).alias("x"))
     ends = pieces.select(*slot, F.explode(F.array("x0", "x1")).alias("x"))
     slabs = (ends.unionByName(crossings).distinct().withColumnRenamed("x", "_a")
              .withColumn("_b", F.lead("_a").over(Window.partitionBy(*slot).orderBy("_a"))).where("_b > _a"))
-    lines = slabs.join(pieces, slot).where("x0 <= _a AND x1 >= _b").withColumn(
+    lines = slabs.join(pieces.hint("merge"), slot).where("x0 <= _a AND x1 >= _b").withColumn(
         "_y", _at((F.col("_a") + F.col("_b")) / 2))
     up = Window.partitionBy(*slot, "_a").orderBy("_y", *_PIECE)
     upto = up.rowsBetween(Window.unboundedPreceding, 0)
@@ -178,7 +180,7 @@ def overlay_fraction(left: DataFrame, right: DataFrame, left_box, right_box, key
     """Share of each left shape that the union of the right shapes covers, in 0..1."""
     covered = covered_areas(left, right, left_box, right_box, key, rings, **kw)
     own = left.select(*key, g.area(rings[0]).alias("_whole"))
-    return own.join(covered, list(key), "left").select(*key, F.when(F.col("_whole") > 0, clamp(
+    return own.join(covered.hint("merge"), list(key), "left").select(*key, F.when(F.col("_whole") > 0, clamp(
         F.coalesce("area", F.lit(0.0)) / F.col("_whole"), 0.0, 1.0)).otherwise(F.lit(0.0)).alias("fraction"))
 
 

@@ -149,3 +149,19 @@ def test_union_area_counts_overlaps_once(spark):
             cells = {(a, b) for q, x, y, p, r in rows if q == k
                      for a in range(int(x), int(p)) for b in range(int(y), int(r))}
             assert abs(got[k] - len(cells)) < 1e-6
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    """Small files can hold large rows: beyond the counted limit both sides are shuffled."""
+    rng = random.Random(3)
+    a, b = boxes(rng, 60), boxes(rng, 60)
+    left = spark.createDataFrame(a, SCHEMA)
+    right = prefixed(spark.createDataFrame(b, SCHEMA), "r_")
+
+    def plan(*args, **kw):
+        return gridjoin.box_pairs(*args, **kw)._jdf.queryExecution().sparkPlan().toString()
+
+    monkeypatch.setattr(gridjoin, "BROADCAST_ROWS", 50)
+    large = plan(left, right, BOX, pbox("r_"))
+    assert "SortMergeJoin" in large and "Broadcast" not in large
+    assert pairs(spark, a, b) == brute(a, b)
