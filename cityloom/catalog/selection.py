@@ -213,8 +213,10 @@ def primary(spark, d, top_n=1):
     core = cut(response.cores(net, ["run"], ["baseline", "degraded"]))
     # Where people and stations stand may be off the core: they take its nearest node.
     at = cut(response.snap_per_run(incidents(spark, d), core, "incident_id", ["run"]))
-    dist = response.times_to(net, at, ["run"])
-    resp = response.responses(net, core, at, fire_stations(spark, d), dist, by=["run"])
+    stations = fire_stations(spark, d)
+    home = cut(response.snap_per_run(stations, core, "station_id", ["run"]))
+    dist = response.nearest_times(net, home, at, top_n, ["run"])
+    resp = response.responses(net, core, at, stations, dist, home=home, by=["run"])
     return cut(response.ranked(resp, top_n, ["run"]))
 
 
@@ -274,8 +276,11 @@ def route_geometry(spark, d):
     net = cut(edges(spark, d, "emergency"))
     core = cut(response.cores(net))
     at = cut(network.snap(incidents(spark, d), core, "incident_id"))
-    dist = response.times_to(net, at)
-    resp = response.responses(net, core, at, fire_stations(spark, d), dist)
-    best = cut(response.ranked(resp, 1))
-    return response.ways(net, best, dist).select("incident_id", "station_id", "hop", "x", "y",
+    stations = fire_stations(spark, d)
+    home = cut(network.snap(stations, core, "station_id"))
+    near = response.nearest_times(net, home, at)
+    best = cut(response.ranked(response.responses(net, core, at, stations, near, home=home), 1))
+    # Beyond the chosen station no node lies on its way; the last digits of sums may differ.
+    reach = best.join(near, ["incident_id", "node"]).select("incident_id", (F.col("cost") * (1 + 1e-9) + 1e-6).alias("reach"))
+    return response.ways(net, best, response.times_to(net, at, reach=reach)).select("incident_id", "station_id", "hop", "x", "y",
                                                "length")

@@ -104,3 +104,48 @@ def test_component_sizes_by_region(spark):
         roots = [find(n) for n in list(parent)]
         want += [(name, roots.count(r)) for r in set(roots)]
     assert got == sorted(want)
+
+
+def test_nearest_sources_against_plain_searches(spark):
+    """The k nearest, and all up to the slack behind; labels of farther sources are not handed on."""
+    rows, roads = streets(spark, 5)
+    net = network.build_edges(roads)
+    k, starts = 2, [(0.0, 0.0), (600.0, 600.0), (300.0, 0.0), (0.0, 500.0), (400.0, 400.0)]
+    seeds = spark.createDataFrame(starts, "x double, y double").select(network.node_key(F.col("x"), F.col("y")).alias("node"))
+    x, y = network.node_xy("node")
+    sx, sy = network.node_xy("source")
+    for slack in (0.0, 25.0):
+        got = traversal.nearest_sources(net, seeds, k, slack=slack).select(
+            x.alias("x"), y.alias("y"), sx.alias("sx"), sy.alias("sy"), "cost").collect()
+        times = {s: search(links(rows), s) for s in starts if s in links(rows)}
+        want = set()
+        for node in {n for t in times.values() for n in t}:
+            costs = sorted(t[node] for t in times.values() if node in t)
+            far = costs[:k][-1] + slack + 1e-6
+            want |= {(node, s) for s, t in times.items() if t.get(node, far + 1) <= far}
+        found = {((r.x, r.y), (r.sx, r.sy)): r.cost for r in got if (r.sx, r.sy) in times}
+        assert set(found) == want
+        assert all(abs(c - times[s][n]) < 1e-6 for (n, s), c in found.items())
+    assert any(len(t) > 10 for t in times.values())
+
+
+def test_search_with_a_cutoff_of_its_own(spark):
+    rows, roads = streets(spark, 6)
+    net = network.build_edges(roads)
+    one, two = sorted(links(rows))[3], sorted(links(rows))[-4]
+    seeds = spark.createDataFrame([(*one, 1, 40.0), (*two, 2, 20.0)], "x double, y double, who int, reach double").select(
+        network.node_key(F.col("x"), F.col("y")).alias("node"), "who", "reach", F.lit(0.0).alias("cost"))
+    got = traversal.relax(net, seeds, by=["who", "reach"], cutoff="reach").groupBy("who").count().collect()
+    want = {1: sum(c <= 40.0 for c in search(links(rows), one).values()),
+            2: sum(c <= 20.0 for c in search(links(rows), two).values())}
+    assert dict(map(tuple, got)) == want
+
+
+def test_hub_is_not_bridged(spark):
+    """A star of one-way links: two-edge ways across its middle would be a product."""
+    star = [(i, 0) for i in range(1, 101)] + [(0, i) for i in range(101, 201)]
+    net = spark.createDataFrame(star, "src long, dst long")
+    assert traversal._two_hops(net, [], None, None).count() == 200
+    ring = star + [(200, 1)]  # 1 -> 0 -> 200 -> 1
+    got = traversal.strong_components(spark.createDataFrame(ring, "src long, dst long")).collect()
+    assert {r.node for r in got if r.component == 0} == {0, 1, 200} and len(got) == 201
