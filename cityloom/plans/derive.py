@@ -83,15 +83,15 @@ def land_blocks(areas: DataFrame, roads: DataFrame, cell: float, clearance: floa
         F.array(F.array(g.vertex("ax", "ay"), g.vertex("bx", "by"))).alias("_line"))
     near = box_pairs(cells, lines, ("x", "y", "x", "y"), pbox("r_"), margin=clearance,
                      condition=g.line_distance("_line", "x", "y") <= clearance)
-    free = cells.join(near.select(key, "cx", "cy").distinct(), [key, "cx", "cy"], "left_anti")
+    free = cells.join(near.select(key, "cx", "cy").distinct().hint("merge"), [key, "cx", "cy"], "left_anti")
     free = free.select(key, "cx", "cy", _cell_key(F.col(key), F.col("cx"), F.col("cy")).alias("n"))
     sides = F.explode(F.array(F.struct((F.col("cx") + 1).alias("cx"), F.col("cy").alias("cy")),
                               F.struct(F.col("cx").alias("cx"), (F.col("cy") + 1).alias("cy"))))
     links = free.select(key, F.col("n").alias("a"), sides.alias("s")).select(key, "a", "s.*").join(
-        free.select(key, "cx", "cy", F.col("n").alias("b")), [key, "cx", "cy"])
+        free.select(key, "cx", "cy", F.col("n").alias("b")).hint("merge"), [key, "cx", "cy"])
     selfs = free.select(F.col("n").alias("a"), F.col("n").alias("b"))
     blocks = components(links.select("a", "b").unionByName(selfs), "a", "b")
-    return free.join(blocks.withColumnsRenamed({"node": "n", "component": "block"}), "n").select(
+    return free.join(blocks.withColumnsRenamed({"node": "n", "component": "block"}).hint("merge"), "n").select(
         key, "cx", "cy", "block")
 
 
