@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import (DEFAULT_SENSITIVITY, GREEN_COVER, HAZARDS, MEASURES, SENSITIVITY)
 from ..functions import geometry as g
 from ..functions.scalars import clamp, half_even, lookup, ratio
+from ..session import cut
 from .gridjoin import box_pairs
 from . import sweep
 from .overlay import BOX, pbox, union_area
@@ -130,9 +131,10 @@ def hazard_roads(hazards: DataFrame, roads: DataFrame, key: Sequence[str]) -> Da
     """
     d = g.line_distance("rings", "cx", "cy")
     pairs = box_pairs(hazards, roads, HBOX, pbox("r_"), condition=d <= F.col("reach_m"))
-    rows = pairs.select(*key, "f_roads", F.col("road_id").cast("string").alias("road_id"),
-                        F.when(d <= F.col("core_m"), "blocked").otherwise("slowed")
-                        .alias("effect"))
+    # Read four times below: the join runs once.
+    rows = cut(pairs.select(*key, "f_roads", F.col("road_id").cast("string").alias("road_id"),
+                            F.when(d <= F.col("core_m"), "blocked").otherwise("slowed")
+                            .alias("effect")))
     blocked, slowed = rows.where("effect = 'blocked'"), rows.where("effect = 'slowed'")
     n = blocked.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     partial = blocked.where("f_roads < 1.0")

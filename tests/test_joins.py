@@ -6,7 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cityloom.operators import gridjoin, nearest, overlay, scan
+from cityloom.operators import exposure, gridjoin, nearest, overlay, scan
 from cityloom.operators.overlay import BOX, pbox, prefixed
 
 
@@ -165,3 +165,18 @@ def test_large_sides_are_not_broadcast(spark, monkeypatch):
     large = plan(left, right, BOX, pbox("r_"))
     assert "SortMergeJoin" in large and "Broadcast" not in large
     assert pairs(spark, a, b) == brute(a, b)
+
+
+def test_hazard_roads_join_once(spark, monkeypatch):
+    """The join of hazards and roads is not repeated for each of its readers."""
+    calls = []
+    real = exposure.cut
+    monkeypatch.setattr(exposure, "cut", lambda df: calls.append(1) or real(df))
+    h = spark.createDataFrame([(1, "fire", 0.0, 0.0, 100.0, 1.0, ["road_redundancy"])],
+                              "hazard_id int, hazard_type string, cx double, cy double, radius_m double, intensity double, measures array<string>")
+    lines = spark.range(1, 6).selectExpr(
+        "id AS road_id", "array(array(named_struct('x', 10D * id, 'y', -5D), named_struct('x', 10D * id, 'y', 5D))) AS rings",
+        "10D * id AS r_minx", "-5D AS r_miny", "10D * id AS r_maxx", "5D AS r_maxy")
+    out = exposure.hazard_roads(exposure.build_hazards(h), lines, ["hazard_id"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("line_") == 0 and len(calls) == 1
+    assert {r.effect for r in out.collect()} == {"blocked"} and out.count() == 3
