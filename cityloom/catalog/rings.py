@@ -39,8 +39,8 @@ def ring_dissolved_area(spark, d):
  {grown_sql('ri')}, {SWEEP} SELECT k AS water_id, round_even(one,2) AS area FROM sw""")
 def ring_buffer_area(spark, d):
     """Area of each lake's shape grown by its own distance."""
-    grown = sweep.buffer_shapes(shaped(spark, d, "water"), "rings", F.lit(WATER_BUFFER) + F.col("id") % 3 * 10)
-    return sweep.union_area(grown, ["id"]).select(F.col("id").alias("water_id"), half_even("area", 2).alias("area"))
+    grown = sweep.buffer_areas(shaped(spark, d, "water"), ["id"], "rings", F.lit(WATER_BUFFER) + F.col("id") % 3 * 10)
+    return grown.select(F.col("id").alias("water_id"), half_even("area", 2).alias("area"))
 
 
 @query(with_layers("constraint", "zone", "building", "facility").replace("constraint AS", "cons AS") + f""",

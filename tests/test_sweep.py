@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,34 @@ def test_empty_and_flat(spark):
     flat = [ring((0.0, 0.0), (5.0, 0.0), (2.0, 0.0))]
     assert areas(spark, [(1, 0, flat), (2, 0, [])]) == {}
     assert areas(spark, []) == {}
+
+
+def test_buffer_areas(spark):
+    """In rows as through the grid, also where a key has several shapes or too many corners; the edges of discs, which
+    are a hundred times the shapes, are not exchanged."""
+    rng = random.Random(3)
+    rows = [(k, 0, [star(rng, 9.0 * k, 3.0 * i, 7)]) for k in range(6) for i in range(1 + k)]
+    df = frame(spark, [*rows, (None, 0, [L])])
+    row = sweep.buffer_areas(df, ["grp"], "rings", 1.5)
+    grid = sweep.union_area(sweep.buffer_shapes(df, "rings", 1.5), ["grp"])
+    got, want = ({r.grp: r.area for r in out.collect()} for out in (row, grid))
+    assert sorted(got) == list(range(6)) and got == pytest.approx(want, abs=1e-5)
+    one = sweep.buffer_areas(df.where("grp < 2"), ["grp"], "rings", 1.5)
+    assert "_layer" in (plan := one._jdf.queryExecution().executedPlan().toString())
+    assert "_layer" not in plan[plan.index("Exchange"):]
+
+
+def test_crowded_spot(spark):
+    """Blocks of pairs and slabs end in the same areas as one block."""
+    rng = random.Random(5)
+    rows = [(1, i % 2, [star(rng, rng.uniform(0, 3), rng.uniform(0, 3), 9)]) for i in range(40)]
+    layer, *c, w = (np.array(v, dtype=float) for v in zip(*[
+        (s, *(a + b if a[0] < b[0] else b + a), 1 if a[0] < b[0] else -1)
+        for _, s, (r,) in rows for a, b in zip(r, r[1:], strict=False)], strict=True))
+    whole = sweep._cell_areas(layer, np.array(c), w, 50.0)
+    block, sweep.BLOCK = sweep.BLOCK, 700
+    try:
+        assert sweep._cell_areas(layer, np.array(c), w, 50.0) == pytest.approx(whole)
+    finally:
+        sweep.BLOCK = block
+    assert areas(spark, rows)[1] == pytest.approx(whole, abs=1e-5)
