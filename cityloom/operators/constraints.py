@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import LANE_CAPACITY, LANE_WIDTH_M, ROAD_SPEEDS, SEVERITY, SEVERITY_WEIGHT
 from ..functions import geometry as g
 from ..functions.scalars import half_even, lookup
+from ..session import written
 from . import sweep
 from .gridjoin import box_pairs
 from .overlay import BOX, pbox
@@ -85,10 +86,6 @@ def constraint_hits(parcels: DataFrame, constraints: DataFrame, *, key: Sequence
     if rings:
         meets = F.when(buffer > 0, g.shape_distance("c_rings", "rings") <= buffer).otherwise(
             g.intersects("rings", "c_rings"))
-        grown = sweep.buffer_shapes(constraints.select("c_id", "c_rings", buffer.alias("_d")), "c_rings", F.col("_d"))
-        grown = grown.select("c_id", "c_rings", *[F.col(c).alias("_g" + c) for c in BOX])
-        covered = sweep.covered_areas(parcels, grown, BOX, ["_g" + c for c in BOX], key, ("rings", "c_rings"),
-                                      group=["c_id"]).withColumnRenamed("area", "_shared")
         shared = F.coalesce("_shared", F.lit(0.0))
     else:
         meets = g.box_box_distance(cb, BOX) <= buffer
@@ -96,7 +93,15 @@ def constraint_hits(parcels: DataFrame, constraints: DataFrame, *, key: Sequence
             *cb, buffer), BOX)).otherwise(g.box_overlap(BOX, cb))
     pairs = box_pairs(constraints, parcels, cb, BOX, margin=buffer, condition=meets, **kw)
     if rings:
-        pairs = pairs.join(covered, [*key, "c_id"], "left")
+        pair = [*key, "c_id"]
+        pairs = written(pairs.select(*pair, "c_type", "c_severity", "c_weight", area, buffer.alias("_d"), "c_rings",
+                                     F.col("rings").alias("_own"), *[F.col(b).alias(w) for b, w in zip(BOX, sweep.WINDOW)]))
+        # Only shapes that meet are grown, and only the parts near the parcel are laid over it.
+        grown = sweep.buffer_shapes(pairs.select(*pair, F.col("c_rings").alias("_other"), "_d", *sweep.WINDOW), "_other", F.col("_d"))
+        x0, y0, x1, y1 = (F.col(c) for c in sweep.WINDOW)
+        near = (F.col("minx") <= x1) & (F.col("maxx") >= x0) & (F.col("miny") <= y1) & (F.col("maxy") >= y0)
+        covered = sweep.shared_areas(pairs, grown.where(near), pair).withColumnRenamed("area", "_shared")
+        pairs = pairs.join(covered.hint("merge"), pair, "left")
     overlap = F.when(F.col(area) > 0, shared / F.col(area)).otherwise(F.lit(0.0))
     return pairs.select(*key, "c_id", "c_type", "c_severity", "c_weight",
                         overlap.alias("overlap"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as g
-from cityloom.operators import overlay, sweep
+from cityloom.operators import constraints, overlay, sweep
 
 SHAPE = "id long, grp long, side int, rings array<array<struct<x:double,y:double>>>"
 
@@ -132,3 +132,16 @@ def test_crowded_spot(spark):
     finally:
         sweep.BLOCK = block
     assert areas(spark, rows)[1] == pytest.approx(whole, abs=1e-5)
+
+
+def test_only_meeting_constraints_grow(spark, monkeypatch):
+    """Shapes out of reach of every parcel are not grown; the share is that of the grown shape."""
+    seen, grow = [], sweep.buffer_shapes
+    monkeypatch.setattr(sweep, "buffer_shapes", lambda df, *a: seen.append(df.count()) or grow(df, *a))
+    p = frame(spark, [(1, 0, [box(0.0, 0.0, 10.0, 10.0)])]).select(
+        "id", "rings", g.area("rings").alias("area"), *[g.bounds("rings")[c].alias(c) for c in overlay.BOX])
+    c = frame(spark, [(1, 0, [box(x, 0.0, x + 10.0, 10.0)]) for x in (12.0, 500.0, 900.0)]).select(
+        F.col("id").alias("c_id"), F.col("rings").alias("c_rings"), F.lit("area").alias("c_type"), F.lit("soft").alias("c_severity"),
+        F.lit(1.0).alias("c_weight"), F.lit(5.0).alias("c_buffer"), *[g.bounds("rings")[c].alias("c_" + c) for c in overlay.BOX])
+    got = constraints.constraint_hits(p, c, key=["id"], rings=True).collect()
+    assert [(r.id, r.c_id, round(r.overlap, 6)) for r in got] == [(0, 0, 0.3)] and seen == [1]
