@@ -29,8 +29,8 @@ LEVELS = "CASE p_partkey%7 WHEN 0 THEN '4' WHEN 1 THEN '3715' WHEN 2 THEN '2.9'
 LANES = "CASE p_partkey%5 WHEN 0 THEN '4' WHEN 1 THEN '2;3' WHEN 2 THEN '1' END"
 
 
-def elements(spark, d):
-    """Every part twice (a copy arrives later): nodes, and ways with a square outline."""
+def elements(spark, d, more=()):
+    """Every part twice (a copy arrives later): nodes, and ways with a square outline. ``more``: columns of a part."""
     tags = ["amenity", AMENITY, "leisure", LEISURE, "healthcare", HEALTH, "landuse", LANDUSE,
             "highway", HIGHWAY, "building", BUILDING, "height", HEIGHT, "building:levels", LEVELS,
             "lanes", LANES, "name", "CASE WHEN p_partkey%4<>0 THEN p_name END"]
@@ -38,7 +38,7 @@ def elements(spark, d):
     p = table(spark, d, "part").selectExpr(
         "p_partkey AS id", "CASE WHEN p_partkey%2=0 THEN 'node' ELSE 'way' END AS type",
         "CAST(p_partkey%1000 AS DOUBLE) AS px", "CAST(p_partkey%777 AS DOUBLE) AS py",
-        "CAST(1+p_size AS DOUBLE) AS side", "p_partkey%13=1 AS open_way",
+        "CAST(1+p_size AS DOUBLE) AS side", "p_partkey%13=1 AS open_way", *more,
         f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL) AS tags")
 
     def at(x, y):
@@ -51,7 +51,7 @@ def elements(spark, d):
         F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"), "id", "type",
         F.when(~way, F.col("py")).alias("lat"), F.when(~way, F.col("px")).alias("lon"),
         F.lit(None).cast(overpass.POSITION).alias("center"),
-        F.when(way, ring).alias("geometry"), "tags")
+        F.when(way, ring).alias("geometry"), "tags", *[m.split(" AS ")[-1] for m in more])
 
 
 def cases(value, mapping, default="NULL"):
@@ -129,10 +129,7 @@ LV = "CASE p_partkey%7 WHEN 0 THEN 4e0 WHEN 1 THEN 3715e0 WHEN 2 THEN 2.9e0 END"
  CASE how WHEN 1 THEN 0.95e0 WHEN 2 THEN 0.85e0 ELSE 0.35e0 END AS confidence,
  CAST(round_even(least(5000,a*floors/20e0),0) AS INTEGER) AS population_estimate FROM w""")
 def ingest_buildings(spark, d):
-    e = elements(spark, d).join(
-        table(spark, d, "part").select(F.col("p_partkey").alias("id"),
-                                       ((F.col("p_size") + 1) * (F.col("p_size") + 1))
-                                       .cast("double").alias("m2")), "id")
+    e = elements(spark, d, ["double((p_size+1)*(p_size+1)) AS m2"])
     return overpass.ingest_buildings(e, F.col("m2")).select(
         "id", "floors", F.round("height_m", 2).alias("height_m"), "confidence",
         "population_estimate")

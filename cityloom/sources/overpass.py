@@ -134,32 +134,42 @@ def extract_layer(elements: DataFrame, layer: str, region: str | None = None) ->
 
 # ------------------------------------------------------------------ pilot ingestion
 def first_arrivals(elements: DataFrame) -> DataFrame:
-    """One row for each (id, type): the one that arrived first, by file and position."""
+    """One row for each (id, type): the one that arrived first, by file and position.
+
+    Column by column, so that tags and outlines nobody reads later are not carried; and after the exchange, as
+    Spark would else sort all that a task reads.
+    """
     order = [F.col(c) for c in ("file", "pos") if c in elements.columns]
     if not order:
         return elements
     rest = [c for c in elements.columns if c not in ("id", "type")]
-    return elements.groupBy("id", "type").agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_e")).select("id", "type", "_e.*")
+    return elements.repartition("id", "type").groupBy("id", "type").agg(
+        *[F.min_by(F.col(c), F.struct(*order)).alias(c) for c in rest])
+
+
+def _arrival(elements: DataFrame) -> list[str]:
+    return [c for c in ("id", "type", "file", "pos") if c in elements.columns]
 
 
 def ingest_roads(edges: DataFrame) -> DataFrame:
     """Tagged edges to road rows (class, lanes, speed, capacity, surface, one-way)."""
     cls = F.coalesce(_tag("highway"), F.lit("residential"))
     lanes = F.when(_tag("lanes").rlike("^[0-9]+$"), _tag("lanes").cast("int")).otherwise(2)
-    return first_arrivals(edges).withColumns({
+    return first_arrivals(edges.withColumns({
         "road_class": cls, "lanes": lanes, "width_m": F.lit(7.0),
         "speed_limit": lookup(INGEST_SPEEDS, cls, 30), "capacity": lanes * 600,
         "surface": F.coalesce(_tag("surface"), F.lit("asphalt")),
-        "oneway": F.coalesce(_tag("oneway").isin("yes", "true", "1"), F.lit(False))})
+        "oneway": F.coalesce(_tag("oneway").isin("yes", "true", "1"), F.lit(False))}))
 
 
 def ingest_facilities(elements: DataFrame) -> DataFrame:
     kind = _tag("amenity")
-    rows = first_arrivals(elements).where(kind.isin(list(INGEST_AMENITIES))).withColumn("_p", element_point())
-    return rows.where("_p IS NOT NULL").select(
+    rows = first_arrivals(elements.select(
+        *_arrival(elements), kind.alias("_kind"), _tag("name").alias("_name"), element_point().alias("_p")))
+    kind = F.col("_kind")
+    return rows.where(kind.isin(list(INGEST_AMENITIES)) & F.col("_p").isNotNull()).select(
         "id", kind.alias("type"),
-        F.coalesce(_tag("name"), F.concat(F.lit("Unnamed "), kind)).alias("name"),
+        F.coalesce("_name", F.concat(F.lit("Unnamed "), kind)).alias("name"),
         lookup(INGEST_CAPACITY, kind, 50).alias("capacity"),
         lookup(INGEST_RADIUS, kind, 2000.0).alias("service_radius_m"),
         F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
@@ -191,27 +201,30 @@ def height_model(area: Column, key: Column) -> Column:
 
 def ingest_buildings(elements: DataFrame, area: Column) -> DataFrame:
     """Buildings with modelled height and about 20 m2 of floor per person."""
-    rows = first_arrivals(elements).where(_tag("building").isNotNull()).withColumn("_area", area)
+    rows = elements.withColumn("_area", area)
     rows = rows.withColumn("_h", height_model(F.col("_area"), F.col("id")))
     people = F.bround(F.least(F.lit(5000.0), F.greatest(
         F.lit(0.0), F.col("_area") * F.col("_h.floors") / 20.0)))
-    return rows.withColumns({
+    return first_arrivals(rows.withColumns({
         "height_m": F.least(F.lit(999.0), F.col("_h.height")), "floors": F.col("_h.floors"),
         "building_type": _tag("building"), "land_use": F.lit("mixed"),
         "confidence": F.col("_h.confidence"), "population_estimate": people.cast("int"),
-        "risk_score": F.lit(0.0)}).drop("_h", "_area")
+        "risk_score": F.lit(0.0)}).drop("_h", "_area")).where("building_type IS NOT NULL")
 
 
 def ingest_water(elements: DataFrame) -> DataFrame:
-    return first_arrivals(elements).where(_tag("natural") == "water").withColumn("rings", way_rings(True)).where(
-        "rings IS NOT NULL").select("id", F.coalesce(_tag("water"), F.lit("lake")).alias("type"),
+    first = first_arrivals(elements.select(
+        *_arrival(elements), "geometry", _tag("natural").alias("_natural"), _tag("water").alias("_water")))
+    return first.where("_natural = 'water'").withColumn("rings", way_rings(True)).where(
+        "rings IS NOT NULL").select("id", F.coalesce("_water", F.lit("lake")).alias("type"),
                                     F.lit("perennial").alias("seasonality"), "rings")
 
 
 def ingest_parcels(elements: DataFrame) -> DataFrame:
     """Land-use polygons to parcels: derived zoning, planning defaults, one row per part."""
-    use = _tag("landuse")
-    return first_arrivals(elements).where(use.isNotNull()).withColumn("rings", way_rings(True)).where(
+    first = first_arrivals(elements.select(*_arrival(elements), "geometry", _tag("landuse").alias("_use")))
+    use = F.col("_use")
+    return first.where(use.isNotNull()).withColumn("rings", way_rings(True)).where(
         "rings IS NOT NULL").select(
         "id", use.alias("land_use"), lookup(INGEST_ZONING, use, "R1").alias("zoning"),
         F.lit("vacant").alias("development_status"), F.lit(2.0).alias("slope_deg"),

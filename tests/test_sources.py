@@ -135,3 +135,14 @@ def test_buffered_ring_constraint_covers_like_a_box(spark):
                               + ", ".join("c_" + b for b in box.split(", ")))
     both = [constraints.constraint_hits(p, c, key=["id"], rings=r).head().overlap for r in (False, True)]
     assert abs(both[0] - 0.30) < 0.01 and abs(both[0] - both[1]) < 1e-6
+
+
+def test_first_arrivals_are_narrow(spark):
+    """Nothing is sorted before the exchange, and what no later step reads is not exchanged."""
+    rows = [(1, "way", 1, {"highway": "trunk", "lanes": "3"}, "b"), (1, "way", 0, {"lanes": "4"}, None), (2, "node", 0, {}, "c")]
+    e = spark.createDataFrame(rows, "id long, type string, pos int, tags map<string,string>, note string")
+    first = {r.id: (r.lanes, r.road_class, r.note) for r in overpass.ingest_roads(e).collect()}
+    assert first == {1: (4, "residential", None), 2: (2, "residential", "c")}
+    plan = overpass.ingest_roads(e).select("id", "lanes")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" in plan[:plan.index("Exchange")] and "Sort" not in plan[plan.index("Exchange"):]
+    assert "note" not in plan[:plan.index("Exchange")] and "tags" not in plan[:plan.index("Exchange")]
