@@ -180,3 +180,14 @@ def test_hazard_roads_join_once(spark, monkeypatch):
     out = exposure.hazard_roads(exposure.build_hazards(h), lines, ["hazard_id"])
     assert out._jdf.queryExecution().optimizedPlan().toString().count("line_") == 0 and len(calls) == 1
     assert {r.effect for r in out.collect()} == {"blocked"} and out.count() == 3
+
+
+def test_large_joins_have_tasks_by_rows(spark, monkeypatch):
+    """A task of a large join holds a bounded number of rows, whatever the session's number of partitions."""
+    rng = random.Random(6)
+    a, b = boxes(rng, 300), boxes(rng, 300)
+    monkeypatch.setattr(gridjoin, "TASK_ROWS", 20)
+    left, right = spark.createDataFrame(a, SCHEMA), prefixed(spark.createDataFrame(b, SCHEMA), "r_")
+    out = gridjoin.box_pairs(left, right, BOX, pbox("r_"), cell_rows=200)
+    assert out.rdd.getNumPartitions() == 30
+    assert {(r.id, r.r_id) for r in out.collect()} == brute(a, b)
