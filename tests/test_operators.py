@@ -284,3 +284,28 @@ def test_alignment_rules(spark):
     assert [tuple(r) for r in constraints.displaced_buildings(lines, blds).where("alignment_id = 1").collect()] == [(1, 7)]
     assert [v.rule for v in out[2].failed] == ["min_length"]
     assert "self_intersection" in [v.rule for v in out[3].failed]
+
+
+def test_assignment_chains_end_in_few_rounds(spark, monkeypatch):
+    """Zones and facilities that each wait for the next one are settled in one walk, also over the borders of blocks and
+    where a block is too full."""
+    x, spots = 0.0, []
+    for i in range(24):
+        spots.append(x)
+        x += 50.0 - i
+    fac = [(i, s, 0.0, 1.0) for i, s in enumerate(spots[::2])]
+    zones = [(i, s, 0.0, 1.0) for i, s in enumerate(spots[1::2])]
+    room, want = {f[0]: 1 for f in fac}, {}
+    for _, z, f in sorted((abs(z[1] - f[1]), z[0], f[0]) for z in zones for f in fac):
+        if z not in want and room[f]:
+            want[z], room[f] = f, 0
+    frames = (spark.createDataFrame(zones, "zone int, x double, y double, population double"),
+              spark.createDataFrame(fac, "facility int, rx double, ry double, capacity double"))
+    rounds, empty = [], selection.is_empty
+    monkeypatch.setattr(selection, "is_empty", lambda df: rounds.append(1) or empty(df))
+    got = selection.assign_widening(*frames, 2000.0)
+    assert {r.zone: r.facility for r in got.collect()} == want and len(rounds) <= 4
+    monkeypatch.setattr(selection, "BLOCK_REACHES", 0.2)
+    monkeypatch.setattr(selection, "BLOCK_PAIRS", 40)
+    got = selection.assign_widening(*frames, 300.0)
+    assert {r.zone: r.facility for r in got.collect()} == want
