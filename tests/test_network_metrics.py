@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as g
-from cityloom.operators import candidates, network, traversal
+from cityloom.operators import blocks, candidates, network, traversal
 
 STEP = 100.0
 
@@ -149,3 +149,42 @@ def test_hub_is_not_bridged(spark):
     ring = star + [(200, 1)]  # 1 -> 0 -> 200 -> 1
     got = traversal.strong_components(spark.createDataFrame(ring, "src long, dst long")).collect()
     assert {r.node for r in got if r.component == 0} == {0, 1, 200} and len(got) == 201
+
+
+def _counted(monkeypatch, *modules):
+    calls = []
+    for m in modules:
+        monkeypatch.setattr(m, "cut", lambda df, f=m.cut: calls.append(1) or f(df))
+    return calls
+
+
+def test_a_long_way_needs_few_rounds(spark, monkeypatch):
+    """1,500 edges in a row: a round for each few edges would be hundreds of jobs."""
+    calls = _counted(monkeypatch, traversal, blocks)
+    net = spark.range(1500).selectExpr("id AS src", "id + 1 AS dst", "1.5D AS time", "'r' AS region")
+    start = spark.createDataFrame([(0, 2.0, "r")], "node long, cost double, region string")
+    got = {r.node: r.cost for r in traversal.relax(net, start, by=["region"], edge_by=["region"], cutoff=2000.0).collect()}
+    assert got == {n: 2.0 + 1.5 * n for n in range(1333)}
+    sizes = traversal.component_sizes(net, ["region"]).collect()
+    assert [tuple(r) for r in sizes] == [("r", 0, 1501)] and len(calls) < 25
+
+
+def test_search_and_components_across_small_blocks(spark, monkeypatch):
+    """Blocks of six edges and tasks of one search give what one search over everything gives."""
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 6)
+    monkeypatch.setattr(blocks, "BLOCK_RUNS", 1)
+    monkeypatch.setattr(blocks, "FINE", 9)
+    rows, roads = streets(spark, 6)
+    net = network.build_edges(roads)
+    starts = [sorted(links(rows))[i] for i in (0, 9, -3)]
+    seeds = spark.createDataFrame([(*s, i) for i, s in enumerate(starts)], "x double, y double, who int").select(
+        network.node_key(F.col("x"), F.col("y")).alias("node"), "who", F.lit(0.0).alias("cost"))
+    got = {}
+    x, y = network.node_xy("node")
+    for r in traversal.relax(net, seeds, by=["who"], cutoff=60.0).withColumns({"x": x, "y": y}).collect():
+        got[r.who, (r.x, r.y)] = r.cost
+    want = {(i, n): c for i, s in enumerate(starts) for n, c in search(links(rows), s).items() if c <= 60.0}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    one = traversal.components(net).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    both = traversal.component_sizes(net.withColumn("region", F.lit("r")), ["region"])
+    assert sorted(map(tuple, both.drop("region").collect())) == sorted(map(tuple, one.collect()))
