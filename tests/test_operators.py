@@ -121,6 +121,31 @@ def test_capacity_tie_skips_and_goes_on(spark):
     assert {r.zone for r in got.collect()} == {1, 3}
 
 
+def chain(spark, n):
+    """Zone i prefers facility i - 1, which zone i - 1 has just filled, to facility i."""
+    pairs = [(i, i, i + 0.5) for i in range(n)] + [(i, i - 1, float(i)) for i in range(1, n)]
+    return (spark.createDataFrame(pairs, "zone int, facility int, cost double"),
+            spark.createDataFrame([(i, 1.0) for i in range(n)], "zone int, population double"),
+            spark.createDataFrame([(i, 1.0, 100.0 * i, 0.0) for i in range(n)],
+                                  "facility int, capacity double, rx double, ry double"))
+
+
+def test_many_rounds_of_an_assignment_stay_cheap(spark):
+    """What a round costs must not grow with the rounds before it."""
+    pairs, zones, fac = chain(spark, 20)
+    got = selection.assign_with_capacity(pairs, zones, fac.drop("rx", "ry"))
+    assert {r.zone: r.facility for r in got.collect()} == {i: i for i in range(20)}
+
+
+def test_facilities_with_places_share_a_round(spark, monkeypatch):
+    pairs, zones, fac = chain(spark, 12)
+    rounds, blocks = [], selection._blocks
+    monkeypatch.setattr(selection, "_blocks", lambda v, side, n: rounds.append(n) or blocks(v, side, n))
+    got = selection.assign_with_capacity(pairs, zones, fac)
+    assert {r.zone: r.facility for r in got.collect()} == {i: i for i in range(12)}
+    assert rounds == [0]
+
+
 def test_budget_skips_and_goes_on(spark):
     rng = random.Random(4)
     items = [(i, float(rng.randint(1, 40))) for i in range(60)]
