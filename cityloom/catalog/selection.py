@@ -210,7 +210,7 @@ def fire_stations(spark, d):
 
 def primary(spark, d, top_n=1):
     net = cut(two_runs(spark, d))
-    core = cut(response.cores(net, ["run"], ["baseline", "degraded"]))
+    core = cut(response.cores(net, ["run"], grid_node))
     # Where people and stations stand may be off the core: they take its nearest node.
     at = cut(response.snap_per_run(incidents(spark, d), core, "incident_id", ["run"]))
     stations = fire_stations(spark, d)
@@ -274,7 +274,7 @@ def compare_routes(spark, d):
 def route_geometry(spark, d):
     """Node by node way of the first responder to every incident."""
     net = cut(edges(spark, d, "emergency"))
-    core = cut(response.cores(net))
+    core = cut(response.cores(net, name=grid_node))
     at = cut(network.snap(incidents(spark, d), core, "incident_id"))
     stations = fire_stations(spark, d)
     home = cut(network.snap(stations, core, "station_id"))

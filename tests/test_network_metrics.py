@@ -188,3 +188,38 @@ def test_search_and_components_across_small_blocks(spark, monkeypatch):
     one = traversal.components(net).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     both = traversal.component_sizes(net.withColumn("region", F.lit("r")), ["region"])
     assert sorted(map(tuple, both.drop("region").collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_strong_components_across_small_blocks(spark, monkeypatch):
+    """Blocks of six edges give the components of every network by itself."""
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 6)
+    monkeypatch.setattr(blocks, "FINE", 9)
+    nets = {name: streets(spark, seed) for name, seed in (("a", 7), ("b", 8))}
+    both = [network.build_edges(roads).withColumn("run", F.lit(n)) for n, (_, roads) in nets.items()]
+    got = {}
+    for r in traversal.strong_components(both[0].unionByName(both[1]), ["run"]).collect():
+        got.setdefault((r.run, r.component), set()).add(r.node)
+    for (run, name), nodes in got.items():
+        assert name == min(nodes)
+    key = {p: n for n, p in ((r.node, (r.x, r.y)) for r in network.nodes_of(both[0].unionByName(both[1])).collect())}
+    want = set()
+    for run, (rows, _) in nets.items():
+        reach = {s: set(search(links(rows), s)) for s in links(rows)}
+        want |= {(run, frozenset(key[n] for n in reach[s] if s in reach[n])) for s in reach}
+    assert {(run, frozenset(n)) for (run, _), n in got.items()} == want and max(len(n) for _, n in want) > 10
+
+
+def test_strong_components_need_few_rounds(spark, monkeypatch):
+    """Rings in a row, tied by one-way links: trimming or colouring would take them one by one."""
+    calls = _counted(monkeypatch, traversal, blocks)
+    rings = spark.range(3000).selectExpr("id AS src", "CASE WHEN id%3=2 THEN id-2 ELSE id+1 END AS dst")
+    tied = rings.unionByName(spark.range(999).selectExpr("id*3+2 AS src", "id*3+3 AS dst"))
+    got = traversal.strong_components(tied).groupBy("component").count().collect()
+    assert {tuple(r) for r in got} == {(3 * i, 3) for i in range(1000)} and len(calls) < 12
+
+
+def test_first_of_equal_cores_is_named_by_junction(spark, tmp_path):
+    from cityloom.catalog.network import routable_core
+    spark.createDataFrame([(10, 1), (11, 1), (100, 1), (101, 1)], "p_partkey long, p_size int").write.parquet(
+        str(tmp_path / "part.parquet"))
+    assert sorted(r.node for r in routable_core(spark, str(tmp_path)).collect()) == [10, 11]
