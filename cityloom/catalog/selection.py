@@ -214,8 +214,8 @@ def primary(spark, d, top_n=1):
     # Where people and stations stand may be off the core: they take its nearest node.
     at = cut(response.snap_per_run(incidents(spark, d), core, "incident_id", ["run"]))
     stations = fire_stations(spark, d)
-    home = cut(response.snap_per_run(stations, core, "station_id", ["run"]))
-    dist = response.nearest_times(net, home, at, top_n, ["run"])
+    home = cut(response.first_at_node(response.snap_per_run(stations, core, "station_id", ["run"]), top_n, ["run"]))
+    dist = response.nearest_times(cut(response.within(net, core, ["run"])), home, at, top_n, ["run"])
     resp = response.responses(net, core, at, stations, dist, home=home, by=["run"])
     return cut(response.ranked(resp, top_n, ["run"]))
 
@@ -275,12 +275,10 @@ def route_geometry(spark, d):
     """Node by node way of the first responder to every incident."""
     net = cut(edges(spark, d, "emergency"))
     core = cut(response.cores(net, name=grid_node))
+    net = cut(response.within(net, core))
     at = cut(network.snap(incidents(spark, d), core, "incident_id"))
     stations = fire_stations(spark, d)
-    home = cut(network.snap(stations, core, "station_id"))
+    home = cut(response.first_at_node(network.snap(stations, core, "station_id"), 1))
     near = response.nearest_times(net, home, at)
     best = cut(response.ranked(response.responses(net, core, at, stations, near, home=home), 1))
-    # Beyond the chosen station no node lies on its way; the last digits of sums may differ.
-    reach = best.join(near, ["incident_id", "node"]).select("incident_id", (F.col("cost") * (1 + 1e-9) + 1e-6).alias("reach"))
-    return response.ways(net, best, response.times_to(net, at, reach=reach)).select("incident_id", "station_id", "hop", "x", "y",
-                                               "length")
+    return response.first_ways(net, best, at, near).select("incident_id", "station_id", "hop", "x", "y", "length")

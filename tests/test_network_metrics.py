@@ -223,3 +223,54 @@ def test_first_of_equal_cores_is_named_by_junction(spark, tmp_path):
     spark.createDataFrame([(10, 1), (11, 1), (100, 1), (101, 1)], "p_partkey long, p_size int").write.parquet(
         str(tmp_path / "part.parquet"))
     assert sorted(r.node for r in routable_core(spark, str(tmp_path)).collect()) == [10, 11]
+
+
+def test_nearest_sources_across_small_blocks(spark, monkeypatch):
+    """Blocks of six edges hand on the labels that one search over everything keeps."""
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 6)
+    monkeypatch.setattr(blocks, "FINE", 9)
+    rows, roads = streets(spark, 9)
+    calls = _counted(monkeypatch, traversal, blocks)
+    test_nearest_sources_against_plain_searches(spark)
+    net = network.build_edges(roads).withColumn("run", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    nodes = [r.node for r in net.select(F.col("src").alias("node")).distinct().orderBy("node").collect()]
+    seeds = spark.createDataFrame([("a", nodes[0]), ("a", nodes[9]), ("b", nodes[-5])], "run string, node long")
+    got = {(r.run, r.node, r.source): r.cost for r in traversal.nearest_sources(net, seeds, 1, by=["run"]).collect()}
+    place = {r.node: (r.x, r.y) for r in network.nodes_of(net).collect()}
+    want = {}
+    for run, starts in (("a", (nodes[0], nodes[9])), ("b", (nodes[-5],))):
+        times = {s: search(links(rows), place[s]) for s in starts}
+        for n, p in place.items():
+            best = min((t.get(p, 1e9) for t in times.values()), default=1e9)
+            want |= {(run, n, s): t[p] for s, t in times.items() if t.get(p, 2e9) <= best + 1e-6}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 for i in want) and calls
+
+
+def test_nearest_sources_on_a_long_way_need_few_rounds(spark, monkeypatch):
+    calls = _counted(monkeypatch, traversal, blocks)
+    net = spark.range(1500).selectExpr("id AS src", "id + 1 AS dst", "1.5D AS time")
+    seeds = spark.createDataFrame([(0,), (700,)], "node long")
+    got = traversal.nearest_sources(net, seeds, 1).collect()
+    assert {(r.node, r.source): r.cost for r in got} == {
+        (n, 700 * (n >= 700)): 1.5 * (n - 700 * (n >= 700)) for n in range(1501)} and len(calls) < 12
+
+
+def test_stations_at_one_node_are_not_paired_with_every_incident(spark):
+    """Forty stations and forty incidents at the ends of one street: three pairs an incident, not forty."""
+    from cityloom.plans import response
+    net = spark.createDataFrame([(0, 1, 5.0, 9.0), (1, 0, 5.0, 9.0), (1, 2, 1.0, 9.0)], "src long, dst long, time double, length double")
+    core = spark.createDataFrame([(0,), (1,)], "node long")
+    inner = response.within(net, core)
+    assert sorted((r.src, r.dst) for r in inner.collect()) == [(0, 1), (1, 0)]
+    home = spark.range(40).selectExpr("id AS station_id", "0L AS node", "0D AS snap_m")
+    at = spark.range(40).selectExpr("id AS incident_id", "1L AS node", "0D AS snap_m")
+    few = response.first_at_node(home, 3)
+    dist = response.nearest_times(inner, few, at, 3)
+    pairs = response.responses(inner, core, at, None, dist, home=few)
+    assert pairs.count() == 120
+    both = [response.ranked(response.responses(inner, core, at, None, dist, home=h), 3) for h in (few, home)]
+    assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, both[1].collect()))
+    best = response.ranked(pairs, 1)
+    ways = response.first_ways(inner, best, at, dist).collect()
+    assert sorted((r.incident_id, r.station_id, r.hop, r.length) for r in ways) == sorted(
+        (i, 0, h, length) for i in range(40) for h, length in ((0, 9.0), (1, None)))
