@@ -145,3 +145,22 @@ def test_only_meeting_constraints_grow(spark, monkeypatch):
         F.lit(1.0).alias("c_weight"), F.lit(5.0).alias("c_buffer"), *[g.bounds("rings")[c].alias("c_" + c) for c in overlay.BOX])
     got = constraints.constraint_hits(p, c, key=["id"], rings=True).collect()
     assert [(r.id, r.c_id, round(r.overlap, 6)) for r in got] == [(0, 0, 0.3)] and seen == [1]
+
+
+def test_flood_exposure_does_not_broadcast_zones(spark):
+    """Zones with shapes are far larger than their file: a broadcast by estimate runs through the driver."""
+    from cityloom.catalog import shapes
+    from cityloom.operators import exposure
+    BOX = overlay.BOX
+
+    def boxes(prefix, **more):
+        df = spark.createDataFrame([(1, 0.0, 0.0, 40.0, 40.0), (2, 20.0, 20.0, 60.0, 60.0)],
+                                   ", ".join(f"{prefix}{c} {t}" for c, t in zip(("id", *BOX), ("long", *["double"] * 4))))
+        return df.withColumn(prefix + "rings", shapes.hexagon(prefix)).withColumns(
+            {prefix + k: F.lit(v) for k, v in more.items()})
+    points = spark.createDataFrame([(1, 5.0, 20.0)], "f_id long, x double, y double")
+    out = exposure.flood_exposure(boxes("h_"), boxes("", population_estimate=3.0), boxes("z_", population=8.0), points, rings=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [z_id" in plan and "BroadcastHashJoin [z_id" not in plan
+    row = out.head()
+    assert row.buildings_exposed == 2 and row.population_exposed == 16.0 and row.facilities_exposed == 1
