@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,10 @@ from ..operators import network
 from ..operators.gridjoin import box_pairs
 from ..operators.overlay import BOX, containers_of, pbox, prefixed
 from ..operators.traversal import components
+from ..session import written
+
+#: Cells a side of the squares in which cells are joined; a column of one is a number of 64 bits.
+SQUARE = 64
 
 
 def quadrant_wards(areas: DataFrame) -> DataFrame:
@@ -69,30 +77,91 @@ def land_blocks(areas: DataFrame, roads: DataFrame, cell: float, clearance: floa
     """Road-bounded blocks on a grid: cells of each area whose middle is further than the
     clearance from every road, joined with their four neighbours into blocks.
 
-    ``roads``: straight pieces ``ax, ay, bx, by``. Returns key, cx, cy, block.
+    ``roads``: straight pieces ``ax, ay, bx, by``. Returns key, cx, cy, block. Cells are joined square by square in
+    one task each; only links between squares go through rounds.
     """
-    def axis(lo, hi):
-        return F.sequence(F.floor(F.col(lo) / cell).cast("long"),
-                          (F.ceil(F.col(hi) / cell) - 1).cast("long"))
-    cells = areas.select(key, F.explode(axis("minx", "maxx")).alias("cx"), "miny", "maxy")
-    cells = cells.select(key, "cx", F.explode(axis("miny", "maxy")).alias("cy"))
-    cells = cells.withColumns({"x": (F.col("cx") + 0.5) * cell, "y": (F.col("cy") + 0.5) * cell})
-    lines = roads.select(
-        F.least("ax", "bx").alias("r_minx"), F.least("ay", "by").alias("r_miny"),
-        F.greatest("ax", "bx").alias("r_maxx"), F.greatest("ay", "by").alias("r_maxy"),
-        F.array(F.array(g.vertex("ax", "ay"), g.vertex("bx", "by"))).alias("_line"))
-    near = box_pairs(cells, lines, ("x", "y", "x", "y"), pbox("r_"), margin=clearance,
-                     condition=g.line_distance("_line", "x", "y") <= clearance)
-    free = cells.join(near.select(key, "cx", "cy").distinct().hint("merge"), [key, "cx", "cy"], "left_anti")
-    free = free.select(key, "cx", "cy", _cell_key(F.col(key), F.col("cx"), F.col("cy")).alias("n"))
-    sides = F.explode(F.array(F.struct((F.col("cx") + 1).alias("cx"), F.col("cy").alias("cy")),
-                              F.struct(F.col("cx").alias("cx"), (F.col("cy") + 1).alias("cy"))))
-    links = free.select(key, F.col("n").alias("a"), sides.alias("s")).select(key, "a", "s.*").join(
-        free.select(key, "cx", "cy", F.col("n").alias("b")).hint("merge"), [key, "cx", "cy"])
-    selfs = free.select(F.col("n").alias("a"), F.col("n").alias("b"))
-    blocks = components(links.select("a", "b").unionByName(selfs), "a", "b")
-    return free.join(blocks.withColumnsRenamed({"node": "n", "component": "block"}).hint("merge"), "n").select(
-        key, "cx", "cy", "block")
+    def cells(lo, hi):
+        return F.floor(F.col(lo) / cell).cast("long"), (F.ceil(F.col(hi) / cell) - 1).cast("long")
+
+    def squares(first, last):
+        return F.explode(F.sequence(*[F.floor(F.col(c) / SQUARE).cast("long") for c in (first, last)]))
+    (x0, x1), (y0, y1) = cells("minx", "maxx"), cells("miny", "maxy")
+    land = areas.select(key, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")).where("x0 <= x1 AND y0 <= y1")
+    land = land.withColumn("sx", squares("x0", "x1")).withColumn("sy", squares("y0", "y1"))
+    spot = ["sx", "sy"]
+    schema = land.select(key, *[F.col(c) for c in ("x0", "y0", "x1", "y1")]).withColumnsRenamed(
+        {"x0": "cx", "y0": "cy", "x1": "rx", "y1": "ry"}).schema
+    near = _near_columns(roads, cell, clearance)
+    free = written(land.groupBy(*spot).cogroup(near.groupBy(*spot)).applyInArrow(_square_pieces(key), schema))
+    root = F.struct(key, "rx", "ry")
+    links = None
+    for c, other in (("cx", "cy"), ("cy", "cx")):
+        low = free.where(F.pmod(c, F.lit(SQUARE)) == 0).select(key, (F.col(c) - 1).alias(c), other, root.alias("b"))
+        high = free.where(F.pmod(c, F.lit(SQUARE)) == SQUARE - 1).select(key, c, other, root.alias("a"))
+        tied = high.join(low.hint("merge"), [key, "cx", "cy"]).select("a", "b").distinct()
+        links = tied if links is None else links.unionByName(tied)
+    blocks = components(links, "a", "b").select(F.col("node")[key].alias(key), *[F.col("node")[c].alias(c) for c in ("rx", "ry")],
+                                                *[F.col("component")[c].alias("_" + c) for c in ("rx", "ry")])
+    named = free.join(blocks.hint("merge"), [key, "rx", "ry"], "left")
+    return named.select(key, "cx", "cy", _cell_key(F.col(key), F.coalesce("_rx", "rx"), F.coalesce("_ry", "ry")).alias("block"))
+
+
+def _near_columns(roads: DataFrame, cell: float, clearance: float) -> DataFrame:
+    """``sx, sy, cx, bits``: cells within the clearance of a road, by columns of cells in squares. A bit is a cell."""
+    def cells(lo, hi):
+        return F.explode(F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long")))
+    # Some room for rounding: the exact distance decides.
+    ends, reach = ("ax", "ay", "bx", "by"), clearance + cell * 1e-6
+    r = roads.select(*ends, cells(F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach).alias("cx"))
+    r = r.withColumn("x", (F.col("cx") + 0.5) * cell)
+    lo, hi = F.greatest(F.least("ax", "bx"), F.col("x") - reach), F.least(F.greatest("ax", "bx"), F.col("x") + reach)
+    slope = F.when(F.col("bx") == F.col("ax"), F.lit(None)).otherwise((F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
+    y = [F.coalesce(F.col("ay") + (x - F.col("ax")) * slope, F.col(end)) for x, end in ((lo, "ay"), (hi, "by"))]
+    r = r.where(lo <= hi).withColumn("cy", cells(F.least(*y) - reach, F.greatest(*y) + reach))
+    line = F.array(F.array(g.vertex("ax", "ay"), g.vertex("bx", "by")))
+    r = r.withColumns({"y": (F.col("cy") + 0.5) * cell, "_line": line}).where(g.line_distance("_line", "x", "y") <= clearance)
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(cy, {SQUARE}) AS INT))")
+    return r.groupBy(*[F.floor(F.col(c) / SQUARE).cast("long").alias(s) for c, s in (("cx", "sx"), ("cy", "sy"))], "cx").agg(
+        F.bit_or(bit).alias("bits"))
+
+
+def _square_pieces(key: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Free cells of one square, each with the first cell of its piece."""
+    def pieces(land: pa.Table, near: pa.Table) -> pa.Table:
+        names, kind = [key, "cx", "cy", "rx", "ry"], land.schema.field(key).type
+        if not land.num_rows:
+            return pa.table([pa.array([], kind), *[pa.array([], pa.int64())] * 4], names=names)
+        left, low = (land.column(c)[0].as_py() * SQUARE for c in ("sx", "sy"))
+        off = np.ones((SQUARE, SQUARE), bool)
+        if near.num_rows:
+            bits = near.column("bits").to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
+            off[near.column("cx").to_numpy() - left] = ~np.unpackbits(bits, axis=1, bitorder="little").astype(bool)
+        own: dict = {}
+        for area, *bounds in zip(*[land.column(c).to_pylist() for c in (key, "x0", "x1", "y0", "y1")], strict=True):
+            x0, x1, y0, y1 = (max(0, b) for b in (bounds[0] - left, bounds[1] - left + 1, bounds[2] - low, bounds[3] - low + 1))
+            own.setdefault(area, np.zeros((SQUARE, SQUARE), bool))[x0:x1, y0:y1] = True
+        areas, found = [], []
+        for area, mine in own.items():
+            free = mine & off
+            # Runs of cells in a column, numbered in the order of their first cells; neighbouring columns tie them.
+            new = free & ~np.pad(free, ((0, 0), (1, 0)))[:, :-1]
+            run = np.cumsum(new).reshape(free.shape) - 1
+            tie = free[:-1] & free[1:]
+            up = list(range(int(new.sum())))
+            for a, b in set(zip(run[:-1][tie].tolist(), run[1:][tie].tolist(), strict=True)):
+                while up[a] != a:
+                    up[a] = a = up[up[a]]
+                while up[b] != b:
+                    up[b] = b = up[up[b]]
+                up[max(a, b)] = min(a, b)
+            for i, a in enumerate(up):
+                up[i] = up[a]  # a lower run, whose root is known
+            first = np.flatnonzero(new)[np.array(up, dtype=int)[run[free]]] if up else np.array([], int)
+            cell = np.flatnonzero(free)
+            areas += [area] * len(cell)
+            found.append(np.stack([cell // SQUARE + left, cell % SQUARE + low, first // SQUARE + left, first % SQUARE + low]))
+        return pa.table([pa.array(areas, kind), *[pa.array(c, pa.int64()) for c in np.concatenate(found, axis=1)]], names=names)
+    return pieces
 
 
 def _cell_key(area: Column, cx: Column, cy: Column) -> Column:

@@ -191,3 +191,43 @@ def test_large_joins_have_tasks_by_rows(spark, monkeypatch):
     out = gridjoin.box_pairs(left, right, BOX, pbox("r_"), cell_rows=200)
     assert out.rdd.getNumPartitions() == 30
     assert {(r.id, r.r_id) for r in out.collect()} == brute(a, b)
+
+
+def test_land_blocks_across_squares(spark, monkeypatch):
+    """Blocks that wind through many squares, slanted roads and areas that touch, against a flood fill."""
+    from cityloom.operators import traversal
+    from cityloom.plans import derive
+    rng, cell, clearance = random.Random(3), 10.0, 6.0
+    areas = [("a", -900.0, -300.0, 800.0, 700.0), ("b", 800.0, -305.0, 1000.0, 200.0), ("c", -900.0, -300.0, -850.0, -250.0)]
+    roads = [(x, y, x + rng.choice([0.0, 300.0, -250.0]), y + rng.choice([0.0, 280.0, 120.0])) for x, y in (
+        (rng.uniform(-1000, 1000), rng.uniform(-400, 700)) for _ in range(60))]
+    calls = []
+    monkeypatch.setattr(traversal, "cut", lambda df, f=traversal.cut: calls.append(1) or f(df))
+    got = {}
+    for r in derive.land_blocks(spark.createDataFrame(areas, "area_id string, minx double, miny double, maxx double, maxy double"),
+                                spark.createDataFrame(roads, "ax double, ay double, bx double, by double"), cell, clearance).collect():
+        got[r.area_id, r.cx, r.cy] = r.block
+    want = {}
+    for name, x0, y0, x1, y1 in areas:
+        free = set()
+        for cx in range(math.floor(x0 / cell), math.ceil(x1 / cell)):
+            for cy in range(math.floor(y0 / cell), math.ceil(y1 / cell)):
+                x, y = (cx + 0.5) * cell, (cy + 0.5) * cell
+                if all(_segment_distance(x, y, *r) > clearance for r in roads):
+                    free.add((cx, cy))
+        for start in sorted(free):
+            if (name, *start) in want:
+                continue
+            todo, label = [start], f"{name}/{start[0] + 10**9:012d}/{start[1] + 10**9:012d}"
+            while todo:
+                cx, cy = todo.pop()
+                if (cx, cy) in free and (name, cx, cy) not in want:
+                    want[name, cx, cy] = label
+                    todo += [(cx + 1, cy), (cx - 1, cy), (cx, cy + 1), (cx, cy - 1)]
+    assert got == want and len(set(want.values())) > 10 and len(calls) < 8
+
+
+def _segment_distance(x, y, ax, ay, bx, by):
+    l2 = (bx - ax) ** 2 + (by - ay) ** 2
+    t = 0.0 if l2 == 0 else min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / l2))
+    return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
